@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirelake.llm import bpe
+from quirelake.llm import bpe, canon
 from quirelake.sources.tables import table
 
 
@@ -15,8 +16,30 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, directory, "documents"))
 
 
+def p5_mapped(spark: SparkSession, directory: str) -> DataFrame:
+    """Typed venues and publishers with the entry meant and the score of the choice."""
+    venues = canon.read_list(table(spark, directory, "venue_list"), "venue_id", "venue_name", "issn_code")
+    publishers = canon.read_list(table(spark, directory, "publisher_list"), "publisher_id", "publisher_name")
+    typed = [
+        ("venue", canon.map_values(table(spark, directory, "oa_records"), "rec_no", "venue", venues)),
+        ("canonical_publisher", canon.map_values(table(spark, directory, "enriched_records"), "rec_no", "canonical_publisher", publishers)),
+    ]
+    named = [df.select(F.lit(field).alias("field_name"), F.col("key").alias("rec_no"), "value", "ref_id", "score") for field, df in typed]
+    return named[0].unionByName(named[1])
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p5_mapped(spark, directory).select("field_name", "rec_no", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, directory: str) -> DataFrame:
+    """The values that no entry matches, with the number of their rows."""
+    left = p5_mapped(spark, directory).where("ref_id = 0")
+    return left.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
