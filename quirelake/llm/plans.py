@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon
+from quirelake.llm import bpe, canon, mojibake
 from quirelake.sources.tables import table
 
 
@@ -16,6 +16,16 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, directory, "documents"))
 
 
+def p3_restored(spark: SparkSession, directory: str) -> DataFrame:
+    """Fields that were decoded wrongly, as stored and as restored."""
+    found = mojibake.find_damage(table(spark, directory, "oa_records"), "rec_no", ("title", "abstract", "authors"))
+    return found.withColumnRenamed("key", "rec_no")
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p3_restored(spark, directory).select("rec_no", "field_name")
+
+
 def p5_mapped(spark: SparkSession, directory: str) -> DataFrame:
     """Typed venues and publishers with the entry meant and the score of the choice."""
     venues = canon.read_list(table(spark, directory, "venue_list"), "venue_id", "venue_name", "issn_code")
@@ -39,7 +49,7 @@ def p5_unmatched(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
