@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, mojibake
+from quirelake.llm import bpe, canon, mojibake, truncation
 from quirelake.sources.tables import table
 
 
@@ -26,6 +26,23 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return p3_restored(spark, directory).select("rec_no", "field_name")
 
 
+def p4_evidence(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows whose abstract was cut, with what shows it."""
+    found = truncation.find_cut(table(spark, directory, "oa_records"), "rec_no", "abstract", "source")
+    return found.withColumnRenamed("key", "rec_no")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p4_evidence(spark, directory).select("rec_no")
+
+
+def p4_sources(spark: SparkSession, directory: str) -> DataFrame:
+    """The share of cut abstracts of each source."""
+    rows = table(spark, directory, "oa_records")
+    cut = truncation.find_cut(rows, "rec_no", "abstract", "source")
+    return truncation.report(rows, cut, "rec_no", "abstract", "source")
+
+
 def p5_mapped(spark: SparkSession, directory: str) -> DataFrame:
     """Typed venues and publishers with the entry meant and the score of the choice."""
     venues = canon.read_list(table(spark, directory, "venue_list"), "venue_id", "venue_name", "issn_code")
@@ -49,7 +66,7 @@ def p5_unmatched(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
