@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,9 @@ WORDS_AT_ONCE = 200_000
 CONTEXT = "\x00"
 
 _SPECIAL_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
-_RUN = re.compile(r"[À-ÖØ-öø-ÿ¸¨\u0080-\u009f -¿?]{4,}")
+_RUN = re.compile(r"[À-ÿ¸¨]{4,}")
+_BEYOND = re.compile(r"[^\x00-\x7f]{2,}")
+_FOREIGN = re.compile(r"[À-ÿ¸¨]{2,}")
 _CONTROL = re.compile("[\u0080-\u009f]")
 _ODD_CASE = re.compile(r"\b[а-яё][А-ЯЁ]{3,}\b")
 _UPPER = re.compile(r"[А-ЯЁ]{4,}")
@@ -129,8 +132,16 @@ def _neighbour(char: str) -> str:
     return "0" if char.isdigit() else char
 
 
+@lru_cache(maxsize=200_000)
+def _may_be_utf8(run: str) -> bool:
+    """Whether some table makes a common character of part of a run of characters beyond ASCII."""
+    return any(c.decoded(m.group()) is not None for c in channels() for m in c.pattern.finditer(run))
+
+
 def unread_utf8(text: str) -> tuple[str, bool]:
     """`text` with UTF-8 that was read through other tables decoded, and whether there was any."""
+    if not any(_may_be_utf8(run) for run in set(_BEYOND.findall(text))):
+        return text, False
     found = False
     for _ in range(ROUNDS):
         best, most = None, 0
@@ -147,7 +158,7 @@ def unread_utf8(text: str) -> tuple[str, bool]:
 def _confused(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     """Text of another script that was read through the table of a third one."""
     if _RUN.search(text):
-        span = re.compile(r"[À-ÖØ-öø-ÿ¸¨\u0080-\u009f -¿]{2,}")
+        span = _FOREIGN
     elif _ODD_CASE.search(text) or _UPPER.search(text):
         span = _CYRILLIC
     else:
@@ -165,7 +176,7 @@ def _confused(text: str, lexicon: Lexicon) -> tuple[str, bool]:
             best, gain = table, score - (plain - 4.0 * sum(map(_odd, words)))
     if best is None:
         return text, False
-    low = re.compile(r"[À-ÖØ-öø-ÿ¸¨\u0080-¿]+") if span is not _CYRILLIC else re.compile(r"[А-яЁё]+")
+    low = re.compile(r"[À-ÿ¸¨]+") if span is _FOREIGN else re.compile(r"[А-яЁё]+")
     return low.sub(lambda m: m.group().translate(best), text), True
 
 
@@ -207,24 +218,28 @@ def learn_lexicon(rows: DataFrame, fields: tuple[str, ...], most: int = LEXICON_
     taken = rows.select(*fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        places: Counter[str] = Counter()
         for batch in batches:
             for column in batch.columns:
                 for value in column.to_pylist():
                     for text in _texts(value):
                         if not text.isascii() and LOST not in text and not _CONTROL.search(text) and not _RUN.search(text) and not unread_utf8(text)[1]:
-                            seen.update(w for w in _SPECIAL_WORD.findall(text) if not _odd(w))
-                            seen.update(CONTEXT + c for c in _SPECIAL_BETWEEN.findall(_DIGIT.sub("0", f" {text} ")))
-            if len(seen) > WORDS_AT_ONCE:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
+                            words.update(_SPECIAL_WORD.findall(text))
+                            places.update(_SPECIAL_BETWEEN.findall(f" {text} "))
+            if len(words) > WORDS_AT_ONCE:
+                yield _counted(words, places)
+                words, places = Counter(), Counter()
+        yield _counted(words, places)
 
     counts = taken.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
 
 
-def _counted(seen: Counter[str]) -> pa.RecordBatch:
+def _counted(words: Counter[str], places: Counter[str]) -> pa.RecordBatch:
+    seen = Counter({w: n for w, n in words.items() if not _odd(w)})
+    for place, n in places.items():
+        seen[CONTEXT + _DIGIT.sub("0", place)] += n
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
