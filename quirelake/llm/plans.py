@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, mojibake, truncation
+from quirelake.llm import bpe, canon, mojibake, residue, truncation
 from quirelake.sources.tables import table
 
 
@@ -65,8 +65,23 @@ def p5_unmatched(spark: SparkSession, directory: str) -> DataFrame:
     return left.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p9_coverage(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with residue in place of content, the share of it and its kinds."""
+    return residue.find_residue(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p9_coverage(spark, directory).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """The corpus without these documents."""
+    docs = table(spark, directory, "documents")
+    return residue.without_residue(docs, residue.find_residue(docs, "doc_id", "text"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
