@@ -32,11 +32,12 @@ BITS = 18
 LINE_RATIO = 0.35
 #: Lines under so many characters need a higher ratio, as titles and menus do too.
 SHORT, SHORT_RATIO = 30, 1.2
-#: Ratio of a line's first characters from which it is filler, if no prose follows.
-OPENING, OPENING_RATIO = 24, 2.5
+#: Ratio of a line's first characters from which it is filler, if what follows is no prose.
+OPENING, OPENING_RATIO = 24, 1.8
 SENTENCE_RATIO = 0.9
-#: Ratio below which a sentence is plain prose.
-PROSE_RATIO = -1.2
+#: A sentence is plain prose below this ratio, if its probability a character is not so far below the corpus's mean.
+PROSE_RATIO = -0.4
+STRANGE = 2.0
 #: Ratio of a whole window, in nats, that residue needs.
 WEIGHT = 14.0
 _SMOOTH = 0.05
@@ -111,6 +112,8 @@ class ResidueModel:
 
     def __init__(self, prose: np.ndarray):
         background = np.log((prose + _SMOOTH) / (prose.sum() + _SMOOTH * len(prose)))
+        self.background = background.astype(np.float32)
+        self.mean = float((prose * background).sum() / max(1, prose.sum()))
         seeds = [seed_counts(s) for s in (residue_seeds.FILLER, residue_seeds.ERRORS, residue_seeds.NOTICES)]
         seeds.append(sum(seeds))
         self.ratios = np.stack([np.log(0.7 * c / c.sum() + 0.3 * np.exp(background) + 1e-7) - background for c in seeds]).astype(np.float32)
@@ -122,6 +125,11 @@ class ResidueModel:
             return 0.0, 0
         return float(self.ratios[:, at].mean(axis=1).max()), len(at)
 
+    def natural(self, text: str) -> bool:
+        """Whether a text is about as probable as prose is on average."""
+        at = grams(plain(text))
+        return len(at) > 0 and float(self.background[at].mean()) > self.mean - STRANGE
+
     def windows(self, text: str) -> list[tuple[int, str]]:
         """(characters, kind) of each residue window of a text."""
         found = [(len(s), "slot") for s in slots(text)]
@@ -133,12 +141,13 @@ class ResidueModel:
             parts = _SENTENCE.split(bare)
             if len(parts) == 1:
                 least = SHORT_RATIO if size < SHORT else LINE_RATIO
-                opens = mean < least and mean > PROSE_RATIO and size >= OPENING and self.ratio(bare[:OPENING])[0] >= OPENING_RATIO
+                start = bare.lstrip()
+                opens = mean < least and len(start) > OPENING and self.ratio(start[:OPENING])[0] >= OPENING_RATIO and not self.natural(start[OPENING:])
                 if (mean >= least and mean * size >= WEIGHT or opens) and not talks(bare):
                     found.append((len(line), "line"))
                 continue
             scored = [(p, *self.ratio(p)) for p in parts if p.strip()]
-            prose = any(m < PROSE_RATIO and n > 40 for _, m, n in scored)
+            prose = any(m < PROSE_RATIO and n > 40 and self.natural(p) for p, m, n in scored)
             if not prose and mean >= LINE_RATIO and mean * size >= WEIGHT:
                 found.append((len(line), "line"))
             elif not prose:
