@@ -18,10 +18,11 @@ many rows as there are partitions.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,6 +34,8 @@ from quirelake.operators.staging import staged
 
 #: How often the corpus must end sentences with the same last words.
 SEEN_ENDINGS = 2
+#: Texts sampled for each partition to divide the sorted order; only the partitions' sizes depend on them.
+SAMPLED_FOR_ORDER = 40
 #: A length is a source's limit if so many of its open texts of that length, and such a share of them, are cut.
 LIMIT_CUTS = 5
 LIMIT_SHARE = 0.6
@@ -48,8 +51,9 @@ _NUMBER = r"(?s)\d\.\s*$"
 _REFERENCE = re.compile(r"&#?\w{0,8}$")
 # Signs that something was left out.
 _DOTS = re.compile(r"(?:\s*(?:…|\.{2,}|[\[(](?:…|\.{2,}|more)[\])]|\b(?:read|show|view|see) more\b))+\s*$", re.I)
-_SPACE = re.compile(r"\s+")
-_DIGITS = re.compile(r"\d+")
+#: Characters at the end of a text in which its end marks are looked for.
+_TAIL = 48
+_DIGIT = re.compile(r"[1-9]")
 
 
 def evened(text: str) -> str:
@@ -57,39 +61,46 @@ def evened(text: str) -> str:
     text = repaired(text) or ""
     if "&" in text:
         text = _REFERENCE.sub("", html.unescape(html.unescape(text).strip()))
-    return _DOTS.sub("", _SPACE.sub(" ", text).strip().casefold())
+    text = " ".join(text.split()).casefold()
+    return text[:-_TAIL] + _DOTS.sub("", text[-_TAIL:])
 
 
-def _digest(text: str) -> bytes:
+def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def last_words(text: str) -> str:
-    """The last two words of an evened text, numbers as 0."""
-    return _DIGITS.sub("0", " ".join(text.rstrip(" .!?\"”’»)]").split(" ")[-2:]))
+    """The last two words of an evened text, digits as 0."""
+    return _DIGIT.sub("0", " ".join(text[-400:].rstrip(" .!?\"”’»)]").split(" ")[-2:]))
 
 
 def _open(text: F.Column) -> F.Column:
-    return ~text.rlike(_ENDED) | text.rlike(_NUMBER)
+    end = F.right(F.rtrim(text), F.lit(_TAIL))
+    return ~end.rlike(_ENDED) | end.rlike(_NUMBER)
 
 
-def _keys(texts: DataFrame) -> DataFrame:
-    """(key, cand) of the texts, each once for a task; cand tells the texts that may be cut."""
+def _filled(rows: DataFrame, text: str) -> DataFrame:
+    return rows.where(rows[text].rlike(r"\S"))
+
+
+def _keys(texts: DataFrame, cuts, even: Callable[[str], str]) -> DataFrame:
+    """(part, key, cand) of the texts, each once for a task; cand tells the texts that may be cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             keys, flags = [], []
             for text, cand in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = evened(text)
-                mark = _digest(key + "\x00" * cand)
+                key = even(text)
+                mark = digest(key + "\x00" * cand)
                 if key and mark not in seen:
                     seen.add(mark)
                     keys.append(key)
                     flags.append(cand)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(flags, pa.bool_())], names=["key", "cand"])
+            parts = [bisect.bisect_right(cuts.value, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string()), pa.array(flags, pa.bool_())], names=["part", "key", "cand"])
 
-    return texts.mapInArrow(run, "key string, cand boolean")
+    return texts.mapInArrow(run, "part int, key string, cand boolean")
 
 
 def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +112,7 @@ def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(key: str) -> None:
         if last is not None and waits and key.startswith(last):
-            out.append(("hit", part, _digest(last), None, key[len(last) : len(last) + 4]))
+            out.append(("hit", part, digest(last), None, key[len(last) : len(last) + 4]))
 
     for batch in batches:
         for key, cand in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -113,15 +124,28 @@ def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 waits = waits or cand
     if last is not None and waits:
-        out.append(("last", part, _digest(last), last, None))
+        out.append(("last", part, digest(last), last, None))
     names = ["kind", "part", "digest", "key", "rest"]
     types = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.string()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
 
-def longer_copies(texts: DataFrame) -> DataFrame:
-    """(digest, rest): each text that may be cut and is a strict prefix of another, with the first characters of what follows."""
-    ordered = _keys(texts).repartitionByRange("key").sortWithinPartitions("key")
+def _cuts(texts: DataFrame, parts: int, even: Callable[[str], str]) -> list[str]:
+    """Keys that divide the sorted texts into about equal parts, from a bounded sample."""
+    share = min(1.0, SAMPLED_FOR_ORDER * parts / max(1, texts.count()))
+    keys = sorted(even(r.text) for r in texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).limit(2 * SAMPLED_FOR_ORDER * parts).collect())
+    return [k[:200] for k in keys[len(keys) // parts :: max(1, len(keys) // parts)][: parts - 1]]
+
+
+def longer_copies(texts: DataFrame, even: Callable[[str], str] = evened) -> DataFrame:
+    """(digest, rest): each text that may be cut and is a strict prefix of another, with the first characters of what follows.
+
+    `texts` has the columns text and cand (whether it may be cut); `even` gives
+    the form that is compared and digested.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = texts.sparkSession.sparkContext.broadcast(_cuts(texts, parts, even))
+    ordered = _keys(texts, shared, even).repartitionById(parts, F.col("part")).sortWithinPartitions("key").select("key", "cand")
     found = staged(ordered.mapInArrow(_scan_sorted, "kind string, part int, digest binary, key string, rest string"))
     # one row a partition: the first key that follows the partition
     firsts = found.where("kind = 'first'").select("part", F.col("key").alias("first"))
@@ -144,7 +168,7 @@ def _candidates(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([_digest(k) for k in keys], pa.binary()),
+                    pa.array([digest(k) for k in keys], pa.binary()),
                     pa.array([last_words(k) for k in keys], pa.string()),
                     pa.array([_NOTE_END.search(k) is not None or k.endswith((")", "]")) for k in keys], pa.bool_()),
                     pa.array([_DOTS.search(t) is not None for t in texts], pa.bool_()),
@@ -159,9 +183,10 @@ def _candidates(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 def ending_counts(rows: DataFrame, text: str) -> DataFrame:
     """(tail, n): how often sentences of the corpus end with the same two words."""
-    low = F.regexp_replace(F.lower(rows[text]), r"\d+", "0")
-    ends = F.regexp_extract_all(low, F.lit(r"(\S+\s+\S+?)[.!?][\"”’»)]*(?=\s+\S)"), 1)
-    return rows.select(F.explode(ends).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    sentences = F.split(rows[text], r"[.!?][\"”’»)]*\s+(?=\S)")
+    ends = F.transform(F.slice(sentences, 1, F.greatest(F.size(sentences) - 1, F.lit(0))), lambda s: F.substring_index(s, " ", -2))
+    tails = rows.select(F.explode(ends).alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    return tails.groupBy(F.translate(F.lower("tail"), "123456789", "0" * 9).alias("tail")).agg(F.sum("n").alias("n"))
 
 
 def find_cut(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -176,7 +201,7 @@ def find_cut(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
     table; texts of any length are compared whole. A null source is a source of
     its own. Other columns aren't read.
     """
-    filled = rows.where(F.trim(F.regexp_replace(rows[text], r"\s+", " ")) != "")
+    filled = _filled(rows, text)
     texts = filled.select(filled[text].alias("text"), _open(filled[text]).alias("cand"))
     copies = longer_copies(texts).groupBy("digest").agg(F.min("rest").alias("rest"))
     judged = _candidates(filled, key, text, source).join(copies, "digest", "left").join(ending_counts(filled, text), "tail", "left")
@@ -195,7 +220,7 @@ def find_cut(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 def report(rows: DataFrame, cut: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(source, n_texts, n_cut, cut_share): how often each source cuts its texts."""
-    filled = rows.where(F.trim(F.regexp_replace(rows[text], r"\s+", " ")) != "").select(rows[key].alias("key"), rows[source].alias("source"))
+    filled = _filled(rows, text).select(rows[key].alias("key"), rows[source].alias("source"))
     marked = filled.join(cut.select("key", F.lit(1).alias("is_cut")), "key", "left")
     counts = marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count("is_cut").alias("n_cut"))
     return counts.withColumn("cut_share", F.col("n_cut") / F.col("n_texts"))
