@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, mojibake, residue, truncation
+from quirelake.llm import bpe, canon, mojibake, residue, survivor, truncation
 from quirelake.sources.tables import table
 
 
@@ -16,6 +16,16 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, directory, "documents"))
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The row whose value survives, for each work and field."""
+    return survivor.find_survivors(table(spark, directory, "enriched_records"))
+
+
+def p1_records(spark: SparkSession, directory: str) -> DataFrame:
+    """The surviving record of each work, built field by field."""
+    return survivor.surviving_records(table(spark, directory, "enriched_records"))
+
+
 def p3_restored(spark: SparkSession, directory: str) -> DataFrame:
     """Fields that were decoded wrongly, as stored and as restored."""
     found = mojibake.find_damage(table(spark, directory, "oa_records"), "rec_no", ("title", "abstract", "authors"))
@@ -81,7 +91,7 @@ def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
