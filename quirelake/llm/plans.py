@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, mojibake, residue, survivor, truncation
+from quirelake.llm import bpe, canon, mojibake, names, residue, survivor, truncation
 from quirelake.sources.tables import table
 
 
@@ -26,6 +26,16 @@ def p1_records(spark: SparkSession, directory: str) -> DataFrame:
     return survivor.surviving_records(table(spark, directory, "enriched_records"))
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of spellings of the same author or group."""
+    return names.find_variants(table(spark, directory, "oa_records"), "authors")
+
+
+def p2_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """Every spelling with the number of its entity."""
+    return names.entities(table(spark, directory, "oa_records"), "authors")
+
+
 def p3_restored(spark: SparkSession, directory: str) -> DataFrame:
     """Fields that were decoded wrongly, as stored and as restored."""
     found = mojibake.find_damage(table(spark, directory, "oa_records"), "rec_no", ("title", "abstract", "authors"))
@@ -91,7 +101,7 @@ def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
