@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, mojibake, names, residue, survivor, truncation
+from quirelake.llm import bpe, canon, matching, mojibake, names, residue, survivor, truncation
 from quirelake.sources.tables import table
 
 
@@ -85,6 +85,15 @@ def p5_unmatched(spark: SparkSession, directory: str) -> DataFrame:
     return left.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p6_matches(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows of both tables that describe the same work, with a confidence."""
+    return matching.find_matches(table(spark, directory, "oa_records"), table(spark, directory, "repo_records"))
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p6_matches(spark, directory).select("rec_no", "repo_rec_no")
+
+
 def p9_coverage(spark: SparkSession, directory: str) -> DataFrame:
     """Documents with residue in place of content, the share of it and its kinds."""
     return residue.find_residue(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -101,7 +110,7 @@ def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
