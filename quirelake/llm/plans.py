@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, matching, mojibake, names, residue, survivor, truncation
+from quirelake.llm import bpe, canon, matching, mixing, mojibake, names, residue, survivor, truncation
 from quirelake.sources.tables import table
 
 
@@ -94,6 +94,17 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return p6_matches(spark, directory).select("rec_no", "repo_rec_no")
 
 
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document of each plan's mix, how often it occurs, and the shares wanted and reached."""
+    return mixing.find_mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """For each line of the plans, the share reached and the size of its part."""
+    docs, plans = table(spark, directory, "documents"), table(spark, directory, "mix_targets")
+    return mixing.shares(mixing.find_mix(docs, plans), plans, mixing.count_tokens(docs, "text", ("doc_id",)))
+
+
 def p9_coverage(spark: SparkSession, directory: str) -> DataFrame:
     """Documents with residue in place of content, the share of it and its kinds."""
     return residue.find_residue(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
@@ -110,7 +121,7 @@ def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
