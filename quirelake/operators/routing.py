@@ -46,7 +46,8 @@ def select_sources(queries: DataFrame, metrics: DataFrame, profile: str = "docum
     more) and succeed often enough (0.5 or more), up to the strategy's number.
     """
     spark = queries.sparkSession
-    analysed = queries.withColumn("a", analysis(F.col("query"), profile)).withColumn("strategy", strategy(F.col("a")))
+    # the generator keeps the optimiser from copying the analysis into each of its uses
+    analysed = queries.select("*", F.explode(F.array(analysis(F.col("query"), profile))).alias("a")).withColumn("strategy", strategy(F.col("a")))
     # a few dozen rows: six strategies of at most six sources
     plan = strategy_table(spark).join(metrics, "source", "inner" if learning else "left").withColumn("score", source_score(F.col("latency"), F.col("success"), F.col("quality")))
     if learning:

@@ -71,8 +71,8 @@ QUERIES["metrics_decay"] = lambda spark, d: rounded(telemetry.decayed(routing.so
 SQL["metrics_decay"] = f"WITH {_DIMS} SELECT source, round(latency * pow(0.95, 40), 6) AS latency, round(greatest(success * pow(0.95, 40), 0.1), 6) AS success, round(greatest(quality * pow(0.95, 40), 0.1), 6) AS quality FROM src"
 QUERIES["metrics_join"] = lambda spark, d: rounded(telemetry.fallback_summary(calls(spark, d)).join(routing.source_table(spark).select("source", F.col("latency").alias("prior")), "source").select("source", "n_calls", "mean_ms", "prior"), "mean_ms", "prior")
 SQL["metrics_join"] = CALLS.rstrip() + f", {_DIMS} SELECT source, count(*) AS n_calls, round(avg(calls.latency), 6) AS mean_ms, any_value(src.latency)::DOUBLE AS prior FROM calls JOIN src USING (source) GROUP BY source"
-QUERIES["running_mean"] = lambda spark, d: telemetry.running_means(points(spark, d), "service", "latency").select("point_id", F.round("running_mean", 3).alias("running_mean"))
-SQL["running_mean"] = POINTS + "SELECT point_id, round(avg(latency) OVER (PARTITION BY service ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING), 3) AS running_mean FROM points"
+QUERIES["running_mean"] = lambda spark, d: telemetry.running_means(points(spark, d), "service", "latency").select("point_id", F.round(F.col("running_mean") + 1e-9, 4).alias("running_mean"))
+SQL["running_mean"] = POINTS + "SELECT point_id, round(avg(latency) OVER (PARTITION BY service ORDER BY ts, point_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS running_mean FROM points"
 QUERIES["throughput_lag"] = lambda spark, d: rounded(telemetry.throughput(points(spark, d)).select("point_id", "throughput"), "throughput")
 SQL["throughput_lag"] = POINTS.rstrip() + ", l AS (SELECT point_id, lag(requests,1) OVER w AS r1, lag(requests,2) OVER w AS r2, epoch_us(lag(ts,1) OVER w) AS t1, epoch_us(lag(ts,2) OVER w) AS t2 FROM points WINDOW w AS (PARTITION BY service ORDER BY ts, point_id)) SELECT point_id, round(coalesce(CASE WHEN t1 - t2 > 0 THEN (r1 - r2) / ((t1 - t2) / 1e6) END, 0.0), 6) AS throughput FROM l"
 QUERIES["latest_per_service"] = lambda spark, d: telemetry.latest(points(spark, d), "service").select("service", "point_id", "requests")

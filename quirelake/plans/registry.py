@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import activity, records, texts
+from quirelake.plans import activity, feeds, records, texts
 
 flagship = records.flagship
-_MODULES = (records, texts, activity)
+_MODULES = (records, texts, activity, feeds)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
