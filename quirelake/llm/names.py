@@ -66,6 +66,8 @@ _INITIALS = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}$")
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.casefold()
     flat = unicodedata.normalize("NFKD", text.casefold())
     return "".join(c for c in flat if not unicodedata.combining(c)).translate(_LETTERS)
 
@@ -111,6 +113,10 @@ def read_name(name: str) -> tuple[list[str], list[str], str, bool]:
     return full, initials, hint, False
 
 
+#: read_name for callers that meet the same names again and again; they mustn't change what it gives.
+name_parts = lru_cache(maxsize=200_000)(read_name)
+
+
 def key_hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x01".join(parts)) - (1 << 63)
 
