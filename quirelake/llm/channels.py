@@ -84,6 +84,9 @@ class Channel:
                 if not fine and not cyrillic(char):
                     beside = text[max(0, start - 1) : start] + text[end : end + 1]
                     fine = end - start > 2 or any(c.isalpha() and not cyrillic(c) for c in beside) or alone
+            elif end - start == 2 and span[1] in QUOTES and not any(c.isalpha() for c in text[max(0, start - 1) : start] + text[end : end + 1]):
+                # a capital before a closing quotation mark
+                fine = False
             total += (end - start) * bool(fine)
         return total
 

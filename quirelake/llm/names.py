@@ -72,6 +72,12 @@ def fold(text: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c)).translate(_LETTERS)
 
 
+@lru_cache(maxsize=1)
+def established_names() -> frozenset[str]:
+    """Given names that need no proof: short forms and the names they stand for."""
+    return frozenset(NICKNAMES) | frozenset(f for names in NICKNAMES.values() for f in names.split())
+
+
 @lru_cache(maxsize=1)
 def formal_names() -> dict[str, tuple[str, ...]]:
     return {short: tuple(dict.fromkeys(names.split())) for short, names in NICKNAMES.items()}
@@ -237,8 +243,9 @@ def _filed(types: DataFrame, shared) -> DataFrame:
 
     A type is filed by its mistyped surname with the given name or the initial
     in the file's key, by its mistyped given name with the surname there, and a
-    group by each of its words with the other words there. Side 1 entries look
-    for side 0 entries.
+    group by each of its words with the other words there. Entries of side 1
+    only look for others, those of side 0 are only found, those of side 2 both:
+    a short form looks for its formal name, never the other way round.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +264,9 @@ def _filed(types: DataFrame, shared) -> DataFrame:
                     put(2, who, "s", given, surname)
                     for formal in formal_names().get(given, ()):
                         put(1, who, "s", formal, surname)
-                    put(1 if facts.get(given, (1, 0, 0))[0] < GIVEN_PARTNERS else 0, who, "g", surname, given)
-                    put(1 if facts.get(given, (1, 0, 0))[0] < GIVEN_PARTNERS else 0, who, "i", first, surname)
+                    doubtful = facts.get(given, (1, 0, 0))[0] < GIVEN_PARTNERS and given not in established_names()
+                    put(2 * doubtful, who, "g", surname, given)
+                    put(2 * doubtful, who, "i", first, surname)
                 elif kind == "initials":
                     put(1, who, "i", first, surname)
                 elif kind == "group":
@@ -322,7 +330,7 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     families = types.where("kind = 'full'").groupBy("surname").agg(F.count(F.lit(1)).alias("family"))
     weighed = types.join(families, "surname", "left").select("id", "kind", "surname", "given", "mid", "first", F.struct((F.coalesce("family", F.lit(0)) > 1).alias("kin"), "names", "uses", F.col("id").alias("id")).alias("w"), F.coalesce("family", F.lit(0)).alias("family"))
     filed = _filed(types, shared)
-    seek, found = filed.where("side >= 1").select("file", F.col("id").alias("a")), filed.select("file", F.col("id").alias("b"))
+    seek, found = filed.where("side >= 1").select("file", F.col("id").alias("a")), filed.where("side <> 1").select("file", F.col("id").alias("b"))
     near = seek.join(found, "file").where("a <> b").select("a", "b").distinct()
     pairs = near.join(_side(weighed, "a"), "a").join(_side(weighed, "b"), "b")
     # the lesser type attaches to the greater; of two surnames the mistyped one has no family
