@@ -22,18 +22,32 @@ def fresh_at(entries: DataFrame, now: Column) -> DataFrame:
     return entries.withColumn("level", level)
 
 
-def evicted(entries: DataFrame, most: int, share: float = 0.2) -> DataFrame:
-    """The oldest fifth, if there are more than `most` entries; entries need a `seq`, the order of insertion.
+def nth_smallest(rows: DataFrame, column: str, n: int, bins: int = 4096) -> int | None:
+    """The n-th smallest value of a whole-number column, without sorting: each round counts bins and looks into the one that holds it."""
+    low, high = rows.agg(F.min(column), F.max(column)).collect()[0]
+    if low is None or n < 1:
+        return None
+    while low < high:
+        width = -(-(high - low + 1) // bins)
+        within = rows.where((F.col(column) >= low) & (F.col(column) <= high))
+        counts = within.groupBy(F.floor((F.col(column) - low) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # at most `bins` rows
+        for r in counts:
+            if n <= r.n:
+                low, high = low + r.bin * width, min(high, low + (r.bin + 1) * width - 1)
+                break
+            n -= r.n
+        else:
+            return high
+    return low
+
 
-    The place of an entry is counted by the number of older ones: a range cut
-    at the sequence number that the quantile gives, not a sort of all entries.
-    """
+def evicted(entries: DataFrame, most: int, share: float = 0.2) -> DataFrame:
+    """The oldest fifth, if there are more than `most` entries; entries need a `seq`, the order of insertion."""
     n = entries.count()
     out = int(n * share)
     if n <= most or out == 0:
         return entries.where(F.lit(False))
-    cut = entries.orderBy("seq").limit(out).agg(F.max("seq")).collect()[0][0]
-    return entries.where(F.col("seq") <= cut)
+    return entries.where(F.col("seq") <= nth_smallest(entries, "seq", out))
 
 
 def pruned(records: DataFrame, most: int = 500) -> DataFrame:

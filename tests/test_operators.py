@@ -9,7 +9,7 @@ from quirelake import schema
 from quirelake.engine import Engine, Index
 from quirelake.functions import citations, querylang
 from quirelake.functions.text import round_half_up, strip_html, trim_all
-from quirelake.operators import merge, search
+from quirelake.operators import cache, merge, search
 from quirelake.operators.search import Filters, Search
 from quirelake.sources import parsers
 
@@ -132,3 +132,17 @@ def test_invalid_payloads(spark):
     raw = spark.createDataFrame([("not json",), ("",), (None,), ("{}",)], "raw string")
     assert parsers.parse(raw, "openalex").count() == 0
     assert parsers.parse(raw, "nowhere").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 500, 999, 1000])
+def test_nth_smallest(spark, n):
+    values = [(i * 7919) % 100_003 for i in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "seq bigint")
+    assert cache.nth_smallest(rows, "seq", n, bins=16) == sorted(values)[n - 1]
+
+
+def test_latest_and_upsert(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    assert sorted((r.id, r.v) for r in cache.upserted(old, old.limit(0)).collect()) == [("a", 1), ("b", 1)]
+    new = spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int")
+    assert sorted((r.id, r.v) for r in cache.upserted(old, new).collect()) == [("a", 1), ("b", 2), ("c", 2)]
