@@ -50,7 +50,7 @@ def _selected(spark, d):
 
 
 QUERIES["select_sources"] = _selected
-SQL["select_sources"] = _PLAN + "SELECT ord, string_agg(source, ',' ORDER BY k) AS sources, round(least(0.5 + CASE WHEN any_value(domain) <> 'general' THEN 0.2 ELSE 0 END + CASE WHEN any_value(type) <> 'mixed' THEN 0.1 ELSE 0 END + 0.3 * avg(success::DOUBLE), 1.0), 6) AS confidence, round(max(latency), 6) AS latency FROM tr WHERE k <= most GROUP BY ord"
+SQL["select_sources"] = _PLAN + "SELECT ord, string_agg(source, ',' ORDER BY k) AS sources, round(least(0.5 + CASE WHEN any_value(domain) <> 'general' THEN 0.2 ELSE 0 END + CASE WHEN any_value(type) <> 'mixed' THEN 0.1 ELSE 0 END + 0.3 * avg(success::DOUBLE), 1.0), 6) AS confidence, round(max(latency)::DOUBLE, 6) AS latency FROM tr WHERE k <= most GROUP BY ord"
 QUERIES["source_rank"] = lambda spark, d: rounded(routing.source_rank(routing.source_table(spark)), "score")
 SQL["source_rank"] = f"WITH {_DIMS} SELECT source, round({_SCORE}, 6) AS score, row_number() OVER (ORDER BY {_SCORE} DESC, source)::INT AS rank FROM src"
 QUERIES["routing_selftest"] = lambda spark, d: routing.self_test(spark).select("query", "type", "domain", "passed")

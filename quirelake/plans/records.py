@@ -199,7 +199,7 @@ QUERIES["total_count"] = lambda spark, d: records(spark, d).groupBy("source").ag
 SQL["total_count"] = R + "SELECT count(*)::BIGINT AS total FROM r"
 
 
-@add("total_estimate", "SELECT * FROM (VALUES ('legacy', 2880.0), ('live', 1200.0)) t(profile, total)")
+@add("total_estimate", "SELECT profile, total::DOUBLE AS total FROM (VALUES ('legacy', 2880.0), ('live', 1200.0)) t(profile, total)")
 def _estimate(spark, d):
     f = Filters(source=("arxiv",), years=("2024", "2023"), publication_type=("peer-reviewed",), topics=("a", "b"), oa_status=("published",), year_from=2020)
     return spark.createDataFrame([("legacy", search.estimated_total(80_000, f)), ("live", search.estimated_total(10_000, f, "live"))], "profile string, total double")
