@@ -50,8 +50,9 @@ EDITION_WORDS = {"vol", "volume", "no", "nr", "issue", "print", "online", "ed",
 
 def words_of(value: str, keep: bool = False) -> list[str]:
     """Lower-case words without accents, punctuation and, unless `keep`, function words."""
-    flat = unicodedata.normalize("NFKD", value.casefold())
-    flat = "".join(c for c in flat if not unicodedata.combining(c))
+    flat = value.casefold()
+    if not flat.isascii():
+        flat = "".join(c for c in unicodedata.normalize("NFKD", flat) if not unicodedata.combining(c))
     return [w for w in re.findall(r"[^\W_]+", flat) if keep or w not in FUNCTION_WORDS]
 
 

@@ -60,6 +60,7 @@ NICKNAMES = {
     "kat": "katarina", "katya": "katarina ekaterina", "kate": "katarina katherine", "kati": "katarina", "lori": "ludovica", "vica": "ludovica", "lulu": "ludovica", "leo": "leonardo leonard", "lars": "laurentius", "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "margaret", "masha": "maria", "mia": "maria", "mary": "maria", "mike": "michael", "mick": "michael", "misha": "michael mikhail", "kolya": "nikolai", "nick": "nicholas nikolai", "niko": "nikolai", "oxana": "oksana", "ksenia": "xenia oksana", "ksyusha": "oksana xenia",
     "pasha": "pavel", "pavlik": "pavel", "pauly": "paul", "paulie": "paul", "polly": "paula", "paulina": "paula", "quin": "quentin", "rick": "richard", "dick": "richard", "rich": "richard", "ricky": "richard", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "rosa": "rosalind", "ros": "rosalind", "roz": "rosalind", "lindy": "rosalind", "sam": "samuel samantha", "sammy": "samuel", "stefi": "stefania", "steffi": "stefania", "stefa": "stefania", "sue": "susanna susan", "susie": "susanna", "sanna": "susanna", "susi": "susanna", "tanya": "tatiana", "tania": "tatiana", "thea": "theodora", "dora": "theodora", "teddy": "theodora theodore", "tom": "tomas thomas", "tomek": "tomas", "tommy": "tomas thomas", "ulla": "ursula", "uschi": "ursula", "vik": "viktor", "vitya": "viktor", "vic": "viktor victor", "volodya": "vladimir", "vlad": "vladimir", "vova": "vladimir", "bill": "william", "will": "william", "billy": "william", "liam": "william", "zosia": "zofia", "zosha": "zofia", "sofie": "zofia", "hanna": "hana johanna", "ines": "agnes", "ingo": "ingrid", "inga": "ingrid", "bego": "begona", "delfi": "delphine", "fina": "delphine josefina", "leila": "layla", "jorg": "georg", "jurgen": "georg", "xeni": "xenia", "noora": "noor", "matt": "matthew matthias", "max": "maximilian", "steve": "stephen stefan", "greg": "gregory", "gus": "august gustav", "manu": "manuel emmanuel", "nacho": "ignacio", "lola": "dolores", "chema": "josemaria", "zeca": "jose", "ze": "jose", "chico": "francisco", "kiko": "francisco", "lena": "elena helena magdalena", "natasha": "natalia", "olya": "olga", "yura": "yuri", "zhenya": "evgeny evgenia", "vanya": "ivan", "seryozha": "sergei", "lyosha": "alexei", "grisha": "grigori",
 }
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _SPLIT = re.compile(r"[^\w.'’-]+|_")
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.?-?){1,3}$")
 
@@ -68,8 +69,7 @@ def fold(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.casefold()
-    flat = unicodedata.normalize("NFKD", text.casefold())
-    return "".join(c for c in flat if not unicodedata.combining(c)).translate(_LETTERS)
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold())).translate(_LETTERS)
 
 
 @lru_cache(maxsize=1)
@@ -336,14 +336,15 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     # the lesser type attaches to the greater; of two surnames the mistyped one has no family
     pairs = pairs.where("a_w < b_w or (a_kind = 'initials' and b_kind = 'full')").where("a_surname = b_surname or a_family <= 1").where("not (a_kind = 'full' and b_kind = 'initials')").where("not (a_kind = 'initials' and a_surname = b_surname)")
     mistyped = _verified(pairs).join(_side(weighed, "b").select("b", "b_w"), "b").groupBy("a").agg(F.min(F.struct("cost", (-F.col("b_w.names")).alias("k"), (-F.col("b_w.uses")).alias("u"), "b")).alias("best"))
-    typed = mistyped.select(F.col("a").alias("id"), F.col("best.b").alias("up"), F.col("best.cost").alias("cost"))
+    typed = staged(mistyped.select(F.col("a").alias("id"), F.col("best.b").alias("up")))
 
     short = [(s, f) for s, names_ in formal_names().items() for f in names_]
     table = spark.createDataFrame(short, "given string, formal string")
     full = types.where("kind = 'full'")
     nick = full.join(F.broadcast(table), "given").select("id", "surname", "formal").join(full.select("surname", F.col("given").alias("formal"), F.col("id").alias("up")), ["surname", "formal"])
     nick = nick.groupBy("id").agg(F.min("up").alias("up"), F.max("up").alias("other")).where("up = other").select("id", "up")
-    up = typed.join(nick, "id", "left_anti").select("id", "up").unionByName(nick)
+    nick = staged(nick)
+    up = staged(typed.join(nick, "id", "left_anti").select("id", "up").unionByName(nick))
     full_up = staged(_roots(full.select("id"), up.join(types.where("kind <> 'initials'").select("id"), "id", "left_semi")))
 
     # initials stand for the only full name of the family that fits
@@ -354,7 +355,7 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     free = initial.join(any_mid, ["surname", "first"]).where("m = ''").select("id", "low", "high")
     bound = initial.where("m <> ''").join(by_mid.withColumnRenamed("m", "fm"), ["surname", "first"]).where("fm = m or fm = ''").groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.when(F.col("fm") == F.col("m"), F.col("low"))).alias("exact_low"), F.max(F.when(F.col("fm") == F.col("m"), F.col("high"))).alias("exact_high"))
     bound = bound.select("id", F.coalesce("exact_low", "low").alias("low"), F.coalesce("exact_high", "high").alias("high"))
-    stands = free.unionByName(bound)
+    stands = staged(free.unionByName(bound))
     sure = stands.where("low = high").select("id", F.col("low").alias("up"))
     # without a full name, initials of one family go together if the rest of them agrees
     alone = initial.join(stands.select("id"), "id", "left_anti").join(typed.select("id"), "id", "left_anti")
@@ -363,7 +364,7 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     doubtful = stands.where("low <> high").join(initial, "id").groupBy("surname", "first", "m").agg(F.min("id").alias("up"), F.collect_set("id").alias("ids"))
     doubtful = doubtful.select(F.explode("ids").alias("id"), "up")
     typed_initials = typed.join(initial.select("id"), "id", "left_semi").join(stands.select("id"), "id", "left_anti").select("id", "up")
-    links = up.join(types.where("kind <> 'initials'").select("id"), "id", "left_semi").unionByName(sure).unionByName(together).unionByName(doubtful).unionByName(typed_initials).where("id <> up")
+    links = staged(up.join(types.where("kind <> 'initials'").select("id"), "id", "left_semi").unionByName(sure).unionByName(together).unionByName(doubtful).unionByName(typed_initials).where("id <> up"))
     return chosen.join(_roots(types.select("id"), links), "id").select("name", "root")
 
 
