@@ -130,21 +130,23 @@ def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
 
-def _cuts(texts: DataFrame, parts: int, even: Callable[[str], str]) -> list[str]:
+def _cuts(texts: DataFrame, parts: int, even: Callable[[str], str], total: int | None, thin: Callable[[float], DataFrame] | None) -> list[str]:
     """Keys that divide the sorted texts into about equal parts, from a bounded sample."""
-    share = min(1.0, SAMPLED_FOR_ORDER * parts / max(1, texts.count()))
-    keys = sorted(even(r.text) for r in texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))).limit(2 * SAMPLED_FOR_ORDER * parts).collect())
+    share = min(1.0, SAMPLED_FOR_ORDER * parts / max(1, texts.count() if total is None else total))
+    taken = thin(share) if thin else texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    keys = sorted(even(r.text) for r in taken.select("text").limit(2 * SAMPLED_FOR_ORDER * parts).collect())
     return [k[:200] for k in keys[len(keys) // parts :: max(1, len(keys) // parts)][: parts - 1]]
 
 
-def longer_copies(texts: DataFrame, even: Callable[[str], str] = evened) -> DataFrame:
+def longer_copies(texts: DataFrame, even: Callable[[str], str] = evened, total: int | None = None, thin: Callable[[float], DataFrame] | None = None) -> DataFrame:
     """(digest, rest): each text that may be cut and is a strict prefix of another, with the first characters of what follows.
 
     `texts` has the columns text and cand (whether it may be cut); `even` gives
-    the form that is compared and digested.
+    the form that is compared and digested. Where texts are costly to make,
+    `total` tells how many there are about, and `thin` gives a share of them.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = texts.sparkSession.sparkContext.broadcast(_cuts(texts, parts, even))
+    shared = texts.sparkSession.sparkContext.broadcast(_cuts(texts, parts, even, total, thin))
     ordered = _keys(texts, shared, even).repartitionById(parts, F.col("part")).sortWithinPartitions("key").select("key", "cand")
     found = staged(ordered.mapInArrow(_scan_sorted, "kind string, part int, digest binary, key string, rest string"))
     # one row a partition: the first key that follows the partition
