@@ -43,7 +43,10 @@ def scan_all(spark: SparkSession, connectors: list[Connector]) -> tuple[DataFram
 
 
 class PayloadSource(DataSource):
-    """`spark.read.format("quirelake").option("root", folder).load()`: payload files below root/<source>/, one partition a source; filters on source prune the partitions."""
+    """`spark.read.format("quirelake").option("root", folder).load()`: payload files below root/<source>/, one partition a source; filters on source prune the partitions.
+
+    The session needs `spark.sql.python.filterPushdown.enabled`.
+    """
 
     @classmethod
     def name(cls) -> str:
