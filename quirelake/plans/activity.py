@@ -138,8 +138,9 @@ QUERIES["multi_key_index"] = lambda spark, d: cache.paper_keys(records(spark, d)
 SQL["multi_key_index"] = R.rstrip() + r", k AS (SELECT ord, id, 'paper' AS space, id AS key FROM r UNION ALL SELECT ord, id, 'doi', lower(trim(doi)) FROM r UNION ALL SELECT ord, id, 'title', regexp_replace(regexp_replace(regexp_replace(lower(title), '^[\s\x{FEFF}\p{Z}]+|[\s\x{FEFF}\p{Z}]+$', '', 'g'), '\s+', ' ', 'g'), '[^\w\s]', '', 'g') FROM r UNION ALL SELECT ord, id, 'metadata', id FROM r) SELECT ord, id, space, key FROM k WHERE key IS NOT NULL AND key <> ''"
 QUERIES["upsert_latest"] = lambda spark, d: cache.latest_per(table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
 SQL["upsert_latest"] = "SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
-QUERIES["upsert_index"] = lambda spark, d: cache.upserted(records(spark, d).where("ord % 3 <> 0").select("ord", "id"), records(spark, d).where("ord % 3 = 0").select("ord", "id"))
-SQL["upsert_index"] = R + "SELECT ord, id FROM r WHERE ord % 3 = 0 UNION ALL SELECT ord, id FROM r WHERE ord % 3 <> 0 AND id NOT IN (SELECT id FROM r WHERE ord % 3 = 0)"
+QUERIES["upsert_index"] = lambda spark, d: cache.upserted(records(spark, d).select("ord", "id"), records(spark, d).where("updated_at is not null").select("ord", "id"))
+SQL["upsert_index"] = R + "SELECT ord, id FROM r WHERE updated_at IS NOT NULL UNION ALL SELECT ord, id FROM r WHERE id NOT IN (SELECT id FROM r WHERE updated_at IS NOT NULL)"
+
 
 # windows of time, beyond what searches need
 QUERIES["win_tumbling"] = lambda spark, d: calls(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "service").agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp("w.start").alias("start"), "service", "n")

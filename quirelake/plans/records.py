@@ -91,7 +91,7 @@ for _name, (_sort, _sql) in _SORTS.items():
     QUERIES[_name] = lambda spark, d, s=_sort: search.page_of(records(spark, d), Search(page=2, page_size=25, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
     SQL[_name] = R + f"SELECT ord, id, row_number() OVER (ORDER BY {_sql}, ord) AS place FROM r QUALIFY place BETWEEN 26 AND 50"
 for _name, _column in (("sort_title_page", "title"), ("sort_venue_page", "venue"), ("sort_author_page", "author")):
-    QUERIES[_name] = lambda spark, d, s=_column: search.page_of(records(spark, d).where("regexp_like(coalesce(title,''), '^[ -~]*$') and regexp_like(coalesce(venue,''), '^[ -~]*$') and regexp_like(array_join(authors,''), '^[ -~]*$')"), Search(page=1, page_size=40, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
+    QUERIES[_name] = lambda spark, d, s=_column: search.page_of(records(spark, d), Search(page=1, page_size=40, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
 
 _SCORE = """(CASE WHEN title <> '' THEN 10 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 10 ELSE 0 END + CASE WHEN year <> 0 THEN 5 ELSE 0 END + CASE WHEN venue <> '' THEN 5 ELSE 0 END + CASE WHEN abstract <> '' THEN 10 ELSE 0 END
  + CASE WHEN oa_status = 'published' THEN 10 WHEN oa_status = 'preprint' THEN 5 ELSE 0 END + CASE WHEN citation_count <> 0 THEN least(citation_count / 10, 10) ELSE 0 END)"""
