@@ -12,7 +12,9 @@ probability. Matches spread to the rows that carry the same DOI or id.
 
 The vectors are fitted on a bounded sample (`SAMPLED`), as an index may be; all
 rows are filed, and the number of buckets follows the number of rows, so that
-buckets stay small. Rarity is counted over all rows; only the `COMMON_TOKENS`
+buckets stay small. The more buckets, the rarer two near records meet in one
+table; so the number of tables follows the number of buckets (`tables_for`),
+and near records meet as surely at every size. Rarity is counted over all rows; only the `COMMON_TOKENS`
 most frequent tokens need to be known for it, all others are rare.
 """
 
@@ -39,7 +41,8 @@ SLOTS, WIDTH = 1 << 15, 64
 COMMON_TOKENS = 50_000
 #: How far rarity weighs; at 1 one mistyped rare word would move a record too far.
 RARITY = 0.4
-TABLES = 8
+#: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
+MEET_AT, MEET = 30, 0.95
 #: Bits of the sketch, and how many of them may differ.
 SKETCH, DIFFER = 128, 38
 #: Nearest hyperplanes that are crossed alone, and in pairs.
@@ -139,6 +142,30 @@ def _halves(mask: int) -> tuple[int, int]:
     return _signed(mask & ((1 << 64) - 1)), _signed(mask >> 64)
 
 
+def index_bits(n: int) -> int:
+    """Hyperplanes of a table: about 15 of `n` rows in a bucket."""
+    return min(36, max(6, math.ceil(math.log2(max(2, n))) - 4))
+
+
+def looked_into(part: np.ndarray) -> np.ndarray:
+    """Bucket numbers in one table that each row looks into, its own first, from its distances to the table's hyperplanes."""
+    weights = np.int64(1) << np.arange(part.shape[1], dtype=np.int64)
+    base = (part > 0) @ weights
+    ones = weights[np.argsort(np.abs(part), axis=1)[:, :CROSS_ONE]]
+    two = [base ^ ones[:, i] ^ ones[:, j] for i in range(CROSS_TWO) for j in range(i)]
+    return np.concatenate([base[:, None], base[:, None] ^ ones, np.stack(two, axis=1)], axis=1)
+
+
+def tables_for(bits: int) -> int:
+    """How many tables of so many hyperplanes `MEET` needs, by simulation of pairs that differ by `MEET_AT`."""
+    rng = np.random.default_rng(SEED + 2)
+    x, other = rng.standard_normal((2, 40_000, bits))
+    turn = math.pi * MEET_AT / SKETCH
+    y = math.cos(turn) * x + math.sin(turn) * other
+    met = (looked_into(x) == looked_into(y)[:, :1]).any(axis=1).mean()
+    return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - min(0.9, max(1e-4, met)))))
+
+
 class RecordVectors:
     """Vectors of records and their hyperplane hashes."""
 
@@ -147,7 +174,8 @@ class RecordVectors:
         self.records = max(1, records)
         self.rare = max(RARE_LEAST, int(RARE_SHARE * records))
         rng = np.random.default_rng(SEED + 1)
-        self.planes = rng.standard_normal((WIDTH, TABLES * bits + SKETCH)).astype(np.float32)
+        self.tables = tables_for(bits)
+        self.planes = rng.standard_normal((WIDTH, self.tables * bits + SKETCH)).astype(np.float32)
         self.nothing = np.zeros(WIDTH, np.float32)
         self.cache: dict[str, np.ndarray] = {}
 
@@ -184,18 +212,11 @@ class RecordVectors:
     def buckets(self, far: np.ndarray, probe: bool) -> np.ndarray:
         """Bucket numbers of each row, one a table, or all that are looked into."""
         bits = self.bits
-        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         found = []
-        for t in range(TABLES):
+        for t in range(self.tables):
             part = far[:, t * bits : (t + 1) * bits]
-            base = (part > 0) @ weights + (np.int64(t) << np.int64(40))
-            found.append(base[:, None])
-            if probe:
-                near = np.argsort(np.abs(part), axis=1)[:, :CROSS_ONE]
-                ones = weights[near]
-                found.append(base[:, None] ^ ones)
-                two = [(i, j) for i in range(CROSS_TWO) for j in range(i)]
-                found.append(np.stack([base ^ ones[:, i] ^ ones[:, j] for i, j in two], axis=1))
+            into = looked_into(part) if probe else ((part > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64)))[:, None]
+            found.append(into + (np.int64(t) << np.int64(40)))
         return np.concatenate(found, axis=1)
 
     def sketch(self, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +297,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     n_left, n_right = left.count(), right.count()
     both = left.select("rec_no", *_FIELDS).unionByName(right.select("rec_no", *_FIELDS))
     sample = _sample(left, SAMPLED * 3 // 4, n_left) + _sample(right, SAMPLED // 4, n_right)
-    bits = min(36, max(6, math.ceil(math.log2(max(2, n_left))) + 1))
-    model = (train_vectors(sample), token_frequency(both), n_left + n_right, bits)
+    model = (train_vectors(sample), token_frequency(both), n_left + n_right, index_bits(n_left))
     shared = left.sparkSession.sparkContext.broadcast(model)
     filed = _hashed(left, shared, False).select("rec_no", F.explode("buckets").alias("bucket"), "s0", "s1", "words", "p0", "p1")
     looked = _hashed(right, shared, True).select(F.col("rec_no").alias("repo_rec_no"), F.explode("buckets").alias("bucket"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), F.col("words").alias("r_words"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))

@@ -184,6 +184,21 @@ def test_candidates_against_brute_force(spark):
     assert matching.find_matches(left.limit(0), right).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2_400, 240_000, 24_000_000])
+def test_near_records_meet_at_every_size(rows):
+    import numpy as np
+
+    bits = matching.index_bits(rows)
+    index = matching.RecordVectors(np.zeros((1, matching.WIDTH), np.float32), {}, rows, bits)
+    rng = np.random.default_rng(3)
+    x, z = rng.standard_normal((2, 1500, matching.WIDTH)).astype(np.float32)
+    turn = np.pi * 25 / matching.SKETCH
+    y = np.cos(turn) * x + np.sin(turn) * z
+    filed, looked = index.buckets(x @ index.planes, False), index.buckets(y @ index.planes, True)
+    met = [np.isin(a, b).any() for a, b in zip(filed, looked, strict=True)]
+    assert np.mean(met) >= 0.93
+
+
 # p8: mixing
 def test_capped_shares():
     got = mixing.capped_shares({"a": 0.5, "b": 0.5, "none": 0.2}, {"a": 10.0, "b": 1000.0}, 100.0)
