@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,14 @@ RARITY = 0.4
 #: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
 MEET_AT, MEET = 30, 0.95
 #: Bits of the sketch, and how many of them may differ.
-SKETCH, DIFFER = 128, 38
+SKETCH, DIFFER = 128, 44
 #: Nearest hyperplanes that are crossed alone, and in pairs.
 CROSS_ONE, CROSS_TWO = 7, 4
-#: Share of the shorter title's words, as bits, that both must have.
-SHARED_WORDS = 0.55
-#: Tokens in at most this share of all records (and in `RARE_LEAST` anyway) are rare; records that have some must share one, unless their sketches all but agree.
-RARE_SHARE, RARE_LEAST, ALIKE = 0.0005, 8, 14
+#: Share of the smaller set of trigrams of the titles, as bits, that both must have; titles of fewer than `SHORT` words need less.
+SHARED_TITLE, SHARED_SHORT, SHORT = 0.6, 0.3, 5
+#: Where both name authors and no title is short, such a share of the authors' trigrams, or of the titles', must agree.
+SHARED_AUTHORS, ALIKE = 0.6, 0.85
+TITLE_BITS, AUTHOR_BITS = 128, 256
 SEED = 20240229
 
 
@@ -58,10 +60,12 @@ def record_tokens(title, authors, year, venue) -> list[tuple[str, float]]:
     """(token, weight of its attribute) of a record; the record's edges in the graph."""
     words, _, _ = matchrules.title_words(title)
     found = [(w, 1.0) for w in words if len(w) > 1]
-    for a in (authors or [])[:64]:
+    # many authors together weigh no more than 64
+    weight = 0.4 * min(1.0, math.sqrt(64 / max(1, len(authors or []))))
+    for a in authors or []:
         if a:
             full, _, _, _ = name_parts(a)
-            found += [("a:" + t, 0.4) for t in full if len(t) > 2 and t not in ("et", "al")]
+            found += [("a:" + t, weight) for t in full if len(t) > 2 and t not in ("et", "al")]
     if year:
         found.append((f"y:{year}", 0.1))
     if venue:
@@ -127,19 +131,21 @@ def train_vectors(sample: list[list[str]], rounds: int = 1, walks: int = 2, step
     return vectors / np.maximum(norms, 1e-6)
 
 
-def _bits(tokens: list[str], size: int) -> int:
-    mask = 0
-    for t in tokens:
-        mask |= 1 << (xxhash.xxh3_64_intdigest(t) % size)
+@lru_cache(maxsize=300_000)
+def _trigram_bits(token: str, size: int) -> int:
+    text, mask = f"<{token}>", 0
+    for i in range(len(text) - 2):
+        mask |= 1 << (xxhash.xxh3_64_intdigest(text[i : i + 3]) % size)
     return mask
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def _halves(mask: int) -> tuple[int, int]:
-    return _signed(mask & ((1 << 64) - 1)), _signed(mask >> 64)
+def _bits(tokens: list[str], size: int) -> list[int]:
+    """The trigrams of the tokens as bits of signed numbers; mistyped, torn and joined words keep most of theirs."""
+    mask = 0
+    for t in tokens:
+        mask |= _trigram_bits(t, size)
+    parts = [mask >> at & ((1 << 64) - 1) for at in range(0, size, 64)]
+    return [x - (1 << 64) if x >> 63 else x for x in parts]
 
 
 def index_bits(n: int) -> int:
@@ -172,7 +178,6 @@ class RecordVectors:
     def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int):
         self.vectors, self.frequency, self.bits = vectors, frequency, bits
         self.records = max(1, records)
-        self.rare = max(RARE_LEAST, int(RARE_SHARE * records))
         rng = np.random.default_rng(SEED + 1)
         self.tables = tables_for(bits)
         self.planes = rng.standard_normal((WIDTH, self.tables * bits + SKETCH)).astype(np.float32)
@@ -194,20 +199,18 @@ class RecordVectors:
         return known
 
     def project(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' distances to all hyperplanes, and their titles' words and their rare tokens as bits."""
+        """The rows' distances to all hyperplanes, and what their titles and authors are made of as bits, with the number of words."""
         vectors: list[np.ndarray] = []
         rows_of, masks = [], []
         for row in rows:
             tokens = dict(record_tokens(*row))
             words = [t for t in tokens if t[1:2] != ":"]
-            known = self.frequency
-            rare = [t for t in words if len(t) > 3 and known.get(t, 1) <= self.rare]
-            rare += [t[2:] for t in tokens if t[:2] == "a:" and len(t) > 5 and known.get(t[2:], 1) <= self.rare]
-            masks.append((_signed(_bits(words, 64)), *_halves(_bits(rare, 128))))
+            people = [t[2:] for t in tokens if t[:2] == "a:"]
+            masks.append((*_bits(words, TITLE_BITS), *_bits(people, AUTHOR_BITS), len(words)))
             rows_of.append(len(vectors))
             vectors += [self.token_vector(t, w) for t, w in tokens.items()] or [self.nothing]
         sums = np.add.reduceat(np.stack(vectors), rows_of, axis=0) if vectors else np.zeros((0, WIDTH), np.float32)
-        return sums @ self.planes, np.array(masks, np.int64).reshape(-1, 3)
+        return sums @ self.planes, np.array(masks, np.int64).reshape(-1, len(_MASKS))
 
     def buckets(self, far: np.ndarray, probe: bool) -> np.ndarray:
         """Bucket numbers of each row, one a table, or all that are looked into."""
@@ -226,10 +229,11 @@ class RecordVectors:
 
 _known: dict[int, RecordVectors] = {}
 _FIELDS = ("title", "authors", "pub_year", "venue")
+_MASKS = ("t0", "t1", "p0", "p1", "p2", "p3", "words")
 
 
 def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
-    """(rec_no, buckets, s0, s1, words) of each record with a title."""
+    """(rec_no, buckets, s0, s1, masks) of each record with a title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = id(shared.value)
@@ -244,10 +248,10 @@ def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
             found = vectors.buckets(far, probe)
             s0, s1 = vectors.sketch(far)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(3))], names=["rec_no", "buckets", "s0", "s1", "words", "p0", "p1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(len(_MASKS)))], names=["rec_no", "buckets", "s0", "s1", *_MASKS])
 
     usable = rows.where(F.length(F.trim(F.coalesce("title", F.lit("")))) > 2)
-    return usable.select("rec_no", *_FIELDS).mapInArrow(run, "rec_no bigint, buckets array<bigint>, s0 bigint, s1 bigint, words bigint, p0 bigint, p1 bigint")
+    return usable.select("rec_no", *_FIELDS).mapInArrow(run, "rec_no bigint, buckets array<bigint>, s0 bigint, s1 bigint, " + ", ".join(f"{m} bigint" for m in _MASKS))
 
 
 def token_frequency(rows: DataFrame) -> dict[str, int]:
@@ -292,6 +296,21 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "rec_no bigint, repo_rec_no bigint, cosine double, score double")
 
 
+def _evidence() -> Column:
+    """Whether titles and authors have enough trigrams in common to be worth comparing."""
+    plus = lambda columns: reduce(Column.__add__, columns)
+    count = lambda names: plus([F.bit_count(n) for n in names])
+
+    def agree(masks: tuple[str, ...], share: float) -> Column:
+        both = plus([F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
+        return both >= share * F.least(count(masks), count([f"r_{m}" for m in masks]))
+
+    title, people = ("t0", "t1"), ("p0", "p1", "p2", "p3")
+    short = F.least("words", "r_words") < SHORT
+    # without authors the least of both counts is 0, which any share agrees with
+    return agree(title, SHARED_SHORT) & (short | agree(title, SHARED_TITLE) & (agree(people, SHARED_AUTHORS) | agree(title, ALIKE)))
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(rec_no, repo_rec_no, cosine): what meets in a bucket and agrees in the sketch."""
     n_left, n_right = left.count(), right.count()
@@ -299,13 +318,10 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     sample = _sample(left, SAMPLED * 3 // 4, n_left) + _sample(right, SAMPLED // 4, n_right)
     model = (train_vectors(sample), token_frequency(both), n_left + n_right, index_bits(n_left))
     shared = left.sparkSession.sparkContext.broadcast(model)
-    filed = _hashed(left, shared, False).select("rec_no", F.explode("buckets").alias("bucket"), "s0", "s1", "words", "p0", "p1")
-    looked = _hashed(right, shared, True).select(F.col("rec_no").alias("repo_rec_no"), F.explode("buckets").alias("bucket"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), F.col("words").alias("r_words"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    filed = _hashed(left, shared, False).select("rec_no", F.explode("buckets").alias("bucket"), "s0", "s1", *_MASKS)
+    looked = _hashed(right, shared, True).select(F.col("rec_no").alias("repo_rec_no"), F.explode("buckets").alias("bucket"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), *(F.col(m).alias(f"r_{m}") for m in _MASKS))
     differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("r1")))
-    common = F.bit_count(F.col("words").bitwiseAND(F.col("r_words"))) >= SHARED_WORDS * F.least(F.bit_count("words"), F.bit_count("r_words"))
-    mine, other = F.bit_count("q0") + F.bit_count("q1"), F.bit_count("p0") + F.bit_count("p1")
-    shared_rare = (F.col("p0").bitwiseAND(F.col("q0")) != 0) | (F.col("p1").bitwiseAND(F.col("q1")) != 0) | (mine == 0) | (other == 0) | (F.col("differ") <= ALIKE)
-    met = filed.join(looked, "bucket").withColumn("differ", differ).where((F.col("differ") <= DIFFER) & common & shared_rare)
+    met = filed.join(looked, "bucket").withColumn("differ", differ).where((F.col("differ") <= DIFFER) & _evidence())
     return met.groupBy("rec_no", "repo_rec_no").agg(F.min("differ").alias("differ")).select("rec_no", "repo_rec_no", F.cos(F.col("differ") * (math.pi / SKETCH)).alias("cosine"))
 
 

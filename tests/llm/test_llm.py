@@ -199,6 +199,17 @@ def test_near_records_meet_at_every_size(rows):
     assert np.mean(met) >= 0.93
 
 
+def test_mistyped_titles_stay_candidates(spark):
+    names = ["Karvolin", "Bestrupak", "Ommizand", "Tulgorev", "Wexaphil", "Dranosky", "Hublinter", "Ysorvant", "Quillemor", "Fjandreth", "Pembrusc", "Zothalin"]
+    kind = "rec_no bigint, title string, authors array<string>, pub_year int, venue string"
+    left = [(i, f"Effects of urban soil recovery on {n} in catalogue records", [f"Alba {n[::-1]}", f"Otto {n[2:]}berg"], 2001, "Soil Letters") for i, n in enumerate(names)]
+    left += [(50, "Molten Glacier Hymns", ["Ada Brunswijk"], 1999, None), (51, "A trial of many hands", [f"Person Number{i:03d}" for i in range(300)], 2010, None)]
+    right = [(100 + i, f"Effects of urban soil recovery on {n[:2] + n[3:]} in catalogue records", [], 2001, None) for i, n in enumerate(names)]
+    right += [(150, "Moltn Glacier Hymns", ["Brunswijk, Ada"], 1999, None), (151, "A trial of many hands", [f"Person Number{i:03d}" for i in range(299, -1, -1)], 2010, None)]
+    got = {(r.rec_no, r.repo_rec_no) for r in matching.candidates(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)).collect()}
+    assert {(r[0], r[0] + 100) for r in left} <= got
+
+
 # p8: mixing
 def test_capped_shares():
     got = mixing.capped_shares({"a": 0.5, "b": 0.5, "none": 0.2}, {"a": 10.0, "b": 1000.0}, 100.0)
