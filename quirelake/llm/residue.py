@@ -2,7 +2,9 @@
 
 Method: character n-gram models. One model each is fitted for filler, error
 messages and notices from the seed lines (`residue_seeds`), and one for natural
-prose from all documents. The likelihood ratio of the best residue model to
+prose from all documents, each different line once but for short ones such as
+headings: a page that a third of the documents repeat must not become probable
+prose by that. The likelihood ratio of the best residue model to
 prose, taken over the windows that lines and sentences form, localises residue.
 A window counts as residue where it stands for itself: as a line or sentence
 among no prose of the same paragraph. So prose that mentions or quotes such
@@ -11,8 +13,8 @@ a sentence doesn't talk about them. A document is excluded by the number of
 characters that residue windows cover (`coverage`).
 
 The models are tables of 2^18 buckets of hashed 4-grams, whatever the size of
-the corpus; the prose counts are summed over all documents before they reach
-the driver.
+the corpus; the prose counts are summed over all different lines before they
+reach the driver.
 """
 
 from __future__ import annotations
@@ -73,27 +75,33 @@ def grams(text: str) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def grams_of(texts: list[str]) -> np.ndarray:
+    """Buckets of the 4-grams of several texts, as `grams` of each gives them."""
+    flat = plain("\x00".join(t.replace("\x00", " ").strip() for t in texts)).replace("\x00", " \x00  ")
+    apart = np.frombuffer(f"  {flat} ".encode("utf-32-le", "replace"), np.uint32) == 0
+    return grams(flat)[~(apart[:-3] | apart[1:-2] | apart[2:-1] | apart[3:])] if len(apart) > 3 else grams(flat)
+
+
 def plain(text: str) -> str:
     """Lower case, even white space, digits as 0."""
     return _DIGIT.sub("0", _SPACE.sub(" ", text.casefold())).strip()
 
 
 def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Counts of all 4-grams of all documents, by bucket."""
+    """Counts of the 4-grams of all documents, by bucket, each different line counted once, lines under `SHORT` characters each time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for start in range(0, len(value), 1 << 20):
-                    seen += np.bincount(grams(plain(value[start : start + (1 << 20)])), minlength=1 << BITS) if len(value) > 20_000 else 0
-                if len(value) <= 20_000:
-                    buckets, n = np.unique(grams(plain(value)), return_counts=True)
-                    seen[buckets] += n
+            seen += np.bincount(grams_of(batch.column(0).to_pylist()), minlength=1 << BITS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "n"])
 
-    total = docs.select(docs[text].alias("text")).where("text is not null").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    lines = docs.select(F.explode(F.split(docs[text], r"[\r\n]+")).alias("text"))
+    even = F.regexp_replace(F.regexp_replace(F.lower("text"), r"\s+", " "), r"\d", "0")
+    lines = lines.select(F.trim(even).alias("text")).where("text <> ''")
+    once = lines.where(F.length("text") >= SHORT).distinct().unionAll(lines.where(F.length("text") < SHORT))
+    total = once.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << BITS, np.int64)
     counts[total["bucket"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
     return counts

@@ -246,3 +246,20 @@ def test_residue(spark):
     got = {r.key for r in found.where("key < 0").collect()}
     assert got == {k for k, _, bad in cases if bad}
     assert residue.without_residue(rows, found, "doc_id").where(F.col("doc_id").isin(*[k for k, _, bad in cases if bad])).count() == 0
+
+
+def test_grams_of_many_texts():
+    import numpy as np
+
+    texts = ["Rivers rise  in 1990.", "a", "Überall Nebel", "x y z"]
+    assert np.array_equal(residue.grams_of(texts), np.concatenate([residue.grams(residue.plain(t)) for t in texts]))
+
+
+@needs_data
+def test_residue_that_a_third_of_the_rows_repeat(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    page = "Sorry, an unexpected error occurred while loading this record."
+    n = docs.count() // 4
+    pages = [(-1 - i, page) for i in range(n)] + [(-1 - n - i, f"Soil recovery near river {chr(97 + i)}ornau\n{page}") for i in range(n)]
+    rows = docs.unionByName(spark.createDataFrame(pages, "doc_id bigint, text string"))
+    assert residue.find_residue(rows, "doc_id", "text").where("key < 0").count() == len(pages)
