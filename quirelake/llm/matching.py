@@ -1,21 +1,26 @@
 """Matching records of two tables that share no identifier.
 
-Method: a graph of records, their attributes and the tokens in them. Random
-walks over it train skip-gram vectors of the tokens; a record's vector is the
-sum of its tokens' vectors, weighted by rarity over all records. Random
-hyperplanes hash the vectors in several tables. Records of one table are filed
-under one bucket a table; those of the other look into their bucket and the
-buckets across their nearest hyperplanes. What meets there and agrees in enough
-of a sketch of further hyperplanes is compared exactly, field by field
-(`matchrules`), and the cosine that the sketch estimates is calibrated to a
-probability. Matches spread to the rows that carry the same DOI or id.
+Method: a graph of records, their attributes (authors, venue, year) and the
+tokens in them. Random walks over it train skip-gram vectors of the tokens until
+the loss settles; what all vectors have in common is taken out of them. A
+record's vector is the sum of its title's and its authors' tokens, weighted by
+rarity over all records, each token together with its trigrams, by which
+mistyped words stay near. Random hyperplanes hash the vectors in several
+tables. Records of one table are filed under one bucket a table; those of the
+other look into their bucket and the buckets across their nearest hyperplanes.
+What meets there, agrees in enough of a sketch of further hyperplanes and has
+enough trigrams in common is compared exactly, field by field (`matchrules`).
+The confidence is calibrated on records that were perturbed on purpose, from
+the cosine and the agreement. Matches spread to the rows that carry the same
+DOI or id.
 
 The vectors are fitted on a bounded sample (`SAMPLED`), as an index may be; all
 rows are filed, and the number of buckets follows the number of rows, so that
 buckets stay small. The more buckets, the rarer two near records meet in one
 table; so the number of tables follows the number of buckets (`tables_for`),
-and near records meet as surely at every size. Rarity is counted over all rows; only the `COMMON_TOKENS`
-most frequent tokens need to be known for it, all others are rare.
+and near records meet as surely at every size. Rarity is counted over all rows;
+only the `COMMON_TOKENS` most frequent tokens need to be known for it, all
+others are rare, and likewise for the titles that many rows share.
 """
 
 from __future__ import annotations
@@ -31,126 +36,148 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import matchrules
+from quirelake.llm.held import held
 from quirelake.llm.names import fold, name_parts
 from quirelake.operators.staging import staged
 
 #: Records from which the vectors are fitted.
 SAMPLED = 12_000
 #: Buckets and dimensions of token vectors.
-SLOTS, WIDTH = 1 << 15, 64
-#: Tokens whose frequency the workers hold.
-COMMON_TOKENS = 50_000
+SLOTS, WIDTH = 1 << 15, 128
+#: Rounds of training at most, walks from each record in one, and the gain of the loss below which training ends.
+ROUNDS, WALKS, SETTLED = 12, 6, 0.004
+#: Directions common to all trained vectors that are taken out.
+COMMON_DIRECTIONS = 40
+#: Tokens and titles whose frequency the workers hold.
+COMMON_TOKENS, COMMON_TITLES = 50_000, 50_000
 #: How far rarity weighs; at 1 one mistyped rare word would move a record too far.
-RARITY = 0.4
+RARITY = 0.6
+#: Weight of the authors' part of a vector against the title's.
+AUTHORS = 0.5
 #: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
-MEET_AT, MEET = 30, 0.95
+MEET_AT, MEET = 32, 0.9
 #: Bits of the sketch, and how many of them may differ.
-SKETCH, DIFFER = 128, 44
+SKETCH, DIFFER = 128, 47
 #: Nearest hyperplanes that are crossed alone, and in pairs.
 CROSS_ONE, CROSS_TWO = 7, 4
-#: Share of the smaller set of trigrams of the titles, as bits, that both must have; titles of fewer than `SHORT` words need less.
-SHARED_TITLE, SHARED_SHORT, SHORT = 0.6, 0.3, 5
-#: Where both name authors and no title is short, such a share of the authors' trigrams, or of the titles', must agree.
-SHARED_AUTHORS, ALIKE = 0.6, 0.85
-TITLE_BITS, AUTHOR_BITS = 128, 256
+#: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and of titles with half the authors' share.
+SHARED_TITLE, SHARED_AUTHORS, SHARED = 0.78, 0.5, 1.2
+#: Titles of fewer than `SHORT` words need only such a share.
+SHORT, SHARED_SHORT = 5, 0.5
+TITLE_BITS, AUTHOR_BITS = 256, 256
 SEED = 20240229
 
 
-def record_tokens(title, authors, year, venue) -> list[tuple[str, float]]:
-    """(token, weight of its attribute) of a record; the record's edges in the graph."""
-    words, _, _ = matchrules.title_words(title)
-    found = [(w, 1.0) for w in words if len(w) > 1]
-    # many authors together weigh no more than 64
-    weight = 0.4 * min(1.0, math.sqrt(64 / max(1, len(authors or []))))
-    for a in authors or []:
-        if a:
-            full, _, _, _ = name_parts(a)
-            found += [("a:" + t, weight) for t in full if len(t) > 2 and t not in ("et", "al")]
+def record_tokens(title, authors) -> tuple[list[str], list[str]]:
+    """The different words of a title, and the different name parts of authors."""
+    words = dict.fromkeys(w for w in matchrules.words_of_title(title) if len(w) > 1 or w.isdigit())
+    people = dict.fromkeys(t for a in authors or [] if a for t in name_parts(a)[0] if len(t) > 2 and t not in ("et", "al"))
+    return list(words), list(people)
+
+
+def graph_tokens(title, authors, year, venue) -> list[str]:
+    """A record's edges in the graph: to the tokens of its title and to its attributes and theirs."""
+    words, people = record_tokens(title, authors)
+    found = words + ["a:" + t for t in people]
     if year:
-        found.append((f"y:{year}", 0.1))
-    if venue:
-        found += [("v:" + w[:4], 0.12) for w in matchrules.words_of(venue) if not w.isdigit()]
-    return found
+        found.append(f"y:{year}")
+    return found + ["v:" + w for w in dict.fromkeys(matchrules.words_of(venue or "")) if not w.isdigit()]
 
 
 def slot(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token) & (SLOTS - 1)
 
 
-def pieces(token: str) -> list[int]:
-    """Slots of a token and, after the first, of its trigrams, by which mistyped words stay near."""
-    found = [slot(token)]
-    if len(token) > 4 and token[1:2] != ":" or token.startswith("a:"):
-        text = f"<{token.removeprefix('a:')}>"
-        found += [slot("3:" + text[i : i + 3]) for i in range(len(text) - 2)]
-    return found
+def trigrams(token: str) -> list[str]:
+    text = f"<{token}>"
+    return [text[i : i + 3] for i in range(len(text) - 2)]
 
 
-def train_vectors(sample: list[list[str]], rounds: int = 1, walks: int = 2, step: float = 0.02) -> np.ndarray:
+def train_vectors(sample: list[list[str]], rounds: int = ROUNDS, walks: int = WALKS, step: float = 0.1, losses: list[float] | None = None) -> np.ndarray:
     """Skip-gram vectors with negative sampling from random walks record - token - record - token.
 
-    Slots that no walk visits keep their random start, which sets unknown
-    tokens apart from each other. Training is short: measured on the test
-    tables, long training draws the stock words of titles together and fills
-    the same buckets.
+    Frequent tokens are passed over in proportion to their frequency, negatives
+    are drawn by frequency to the power 3/4, and rounds go on until the loss
+    gains less than `SETTLED`. Slots that no walk visits keep their random
+    start, which sets unknown tokens and trigrams apart from each other.
     """
     rng = np.random.default_rng(SEED)
     vectors = rng.standard_normal((SLOTS, WIDTH)).astype(np.float32) / math.sqrt(WIDTH)
-    sample = [[slot(t) for t in r] for r in sample if len(r) > 1]
-    if not sample:
-        return vectors
-    sizes = np.array([len(r) for r in sample])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+    records = [[slot(t) for t in r] for r in sample if len(r) > 1]
+    if not records:
+        return unit(vectors)
+    sizes = np.array([len(r) for r in records])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    tokens = np.concatenate([np.array(r) for r in sample])
-    owner = np.repeat(np.arange(len(sample)), sizes)
+    tokens = np.concatenate([np.array(r) for r in records])
+    owner = np.repeat(np.arange(len(records)), sizes)
     order = np.argsort(tokens, kind="stable")
     at_token = np.searchsorted(tokens[order], np.arange(SLOTS + 1))
     records_of = owner[order]
+    frequency = np.bincount(tokens, minlength=SLOTS).astype(np.float64)
+    kept = np.minimum(1.0, np.sqrt(1e-3 * len(tokens) / np.maximum(frequency, 1)))
+    noise = np.cumsum(frequency**0.75)
     pick = lambda r: tokens[starts[r] + (rng.random(len(r)) * sizes[r]).astype(np.int64)]
     contexts = np.zeros((SLOTS, WIDTH), np.float32)
+    before = math.inf
     for _ in range(rounds):
-        record = np.tile(np.arange(len(sample)), walks)
-        token = pick(record)
-        centre, context = [token], [pick(record)]
-        low, high = at_token[token], at_token[token + 1]
-        beyond = records_of[low + (rng.random(len(token)) * (high - low)).astype(np.int64)]
-        centre.append(context[0])
-        context.append(pick(beyond))
-        c, o = np.concatenate(centre), np.concatenate(context)
-        mixed = rng.permutation(len(c))
-        for chunk in np.array_split(mixed, max(1, len(mixed) // 4096)):
-            x, y = c[chunk], o[chunk]
-            n = tokens[rng.integers(0, len(tokens), len(chunk))]
+        record = np.tile(np.arange(len(records)), walks)
+        first = pick(record)
+        low, high = at_token[first], at_token[first + 1]
+        beyond = records_of[low + (rng.random(len(first)) * (high - low)).astype(np.int64)]
+        second = pick(record)
+        centre, context = np.concatenate([first, second]), np.concatenate([second, pick(beyond)])
+        fine = (rng.random(len(centre)) < kept[centre]) & (rng.random(len(centre)) < kept[context]) & (centre != context)
+        centre, context = centre[fine], context[fine]
+        if not len(centre):
+            break
+        loss = 0.0
+        for chunk in np.array_split(rng.permutation(len(centre)), max(1, len(centre) // 2048)):
+            x, y = centre[chunk], context[chunk]
+            n = np.searchsorted(noise, rng.random((len(x), 3)) * noise[-1])
             v = vectors[x]
-            pull = 1 / (1 + np.exp((v * contexts[y]).sum(1))) * step
-            push = -1 / (1 + np.exp(-(v * contexts[n]).sum(1))) * step
-            np.add.at(vectors, x, pull[:, None] * contexts[y] + push[:, None] * contexts[n])
+            near, far = (v * contexts[y]).sum(1), np.einsum("bd,bkd->bk", v, contexts[n])
+            pull, push = step / (1 + np.exp(near)), -step / (1 + np.exp(-far))
+            loss += float(np.log1p(np.exp(-near)).sum() + np.log1p(np.exp(far)).sum())
+            change = pull[:, None] * contexts[y] + np.einsum("bk,bkd->bd", push, contexts[n])
             np.add.at(contexts, y, pull[:, None] * v)
-            np.add.at(contexts, n, push[:, None] * v)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.maximum(norms, 1e-6)
+            np.add.at(contexts, n.ravel(), (push[:, :, None] * v[:, None, :]).reshape(-1, WIDTH))
+            np.add.at(vectors, x, change)
+        loss /= len(centre)
+        if losses is not None:
+            losses.append(loss)
+        if before - loss < SETTLED * loss:
+            break
+        before = loss
+    vectors = unit(vectors)
+    seen = np.unique(tokens)
+    return unit(_without_common(vectors, seen, frequency[seen]))
+
+
+def _without_common(vectors: np.ndarray, seen: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """`vectors` with their mean and the most common directions taken out of those that were trained."""
+    trained = vectors[seen] - np.average(vectors[seen], axis=0, weights=weight)
+    scaled = trained * np.sqrt(weight)[:, None]
+    _, directions = np.linalg.eigh(scaled.T @ scaled)
+    common = directions[:, -min(COMMON_DIRECTIONS, len(seen) // 4, WIDTH // 2) :] if len(seen) >= 4 else directions[:, :0]
+    out = vectors.copy()
+    out[seen] = trained - (trained @ common) @ common.T
+    return out
 
 
 @lru_cache(maxsize=300_000)
-def _trigram_bits(token: str, size: int) -> int:
-    text, mask = f"<{token}>", 0
-    for i in range(len(text) - 2):
-        mask |= 1 << (xxhash.xxh3_64_intdigest(text[i : i + 3]) % size)
-    return mask
-
-
-def _bits(tokens: list[str], size: int) -> list[int]:
-    """The trigrams of the tokens as bits of signed numbers; mistyped, torn and joined words keep most of theirs."""
+def _trigram_bits(token: str, size: int) -> tuple[int, ...]:
+    """The trigrams of a token as bits of signed numbers; mistyped, torn and joined words keep most of theirs."""
     mask = 0
-    for t in tokens:
-        mask |= _trigram_bits(t, size)
+    for t in trigrams(token):
+        mask |= 1 << (xxhash.xxh3_64_intdigest(t) % size)
     parts = [mask >> at & ((1 << 64) - 1) for at in range(0, size, 64)]
-    return [x - (1 << 64) if x >> 63 else x for x in parts]
+    return tuple(x - (1 << 64) if x >> 63 else x for x in parts)
 
 
 def index_bits(n: int) -> int:
-    """Hyperplanes of a table: about 15 of `n` rows in a bucket."""
-    return min(36, max(6, math.ceil(math.log2(max(2, n))) - 4))
+    """Hyperplanes of a table: about 60 of `n` rows in a bucket."""
+    return min(36, max(5, math.ceil(math.log2(max(2, n))) - 6))
 
 
 def looked_into(part: np.ndarray) -> np.ndarray:
@@ -175,42 +202,65 @@ def tables_for(bits: int) -> int:
 class RecordVectors:
     """Vectors of records and their hyperplane hashes."""
 
-    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int):
+    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int, common: dict[int, int] | None = None):
         self.vectors, self.frequency, self.bits = vectors, frequency, bits
+        self.common = common or {}
         self.records = max(1, records)
         rng = np.random.default_rng(SEED + 1)
         self.tables = tables_for(bits)
         self.planes = rng.standard_normal((WIDTH, self.tables * bits + SKETCH)).astype(np.float32)
-        self.nothing = np.zeros(WIDTH, np.float32)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def token_vector(self, token: str, weight: float) -> np.ndarray:
-        known = self.cache.get(token)
-        if known is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            at = pieces(token)
-            v = self.vectors[at[0]]
-            if len(at) > 1:
-                rest = self.vectors[at[1:]].sum(axis=0)
-                v = 0.62 * v + 0.78 * rest / max(1e-6, float(np.linalg.norm(rest)))
-            rarity = math.log(1 + self.records / self.frequency.get(token.removeprefix("a:"), 1)) if token[1:2] != ":" or token[0] == "a" else 4.0
-            known = self.cache[token] = (v * (weight * rarity**RARITY)).astype(np.float32)
-        return known
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with the row of no token."""
+        self.at: dict[str, int] = {}
+        self.known = np.zeros((4096, WIDTH), np.float32)
+        self.bits_of = np.zeros((4096, TITLE_BITS // 64), np.int64)
+        self.filled = 1
+
+    def row(self, token: str, author: bool) -> int:
+        """Where the token's weighted vector and trigram bits stand."""
+        key = "a:" + token if author else token
+        at = self.at.get(key)
+        if at is None:
+            if self.filled == len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+                self.bits_of = np.concatenate([self.bits_of, np.zeros_like(self.bits_of)])
+            rest = self.vectors[[slot("3:" + t) for t in trigrams(token)]].sum(axis=0)
+            v = 0.6 * self.vectors[slot(key)] + 0.8 * rest / max(1e-6, float(np.linalg.norm(rest)))
+            at = self.at[key] = self.filled
+            self.known[at] = v * math.log(1 + self.records / self.frequency.get(token, 1)) ** RARITY
+            self.bits_of[at] = _trigram_bits(token, TITLE_BITS)
+            self.filled += 1
+        return at
+
+    def vectors_of(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' vectors, and what their titles and authors are made of as bits, with the number of words."""
+        if self.filled > 400_000:
+            self._forget()
+        title, people, title_at, people_at, words = [], [], [], [], []
+        for row in rows:
+            t, p = record_tokens(row[0], row[1])
+            title_at.append(len(title))
+            people_at.append(len(people))
+            words.append(len(t))
+            title += [self.row(x, False) for x in t] or [0]
+            people += [self.row(x, True) for x in p] or [0]
+        if not title_at:
+            return np.zeros((0, WIDTH), np.float32), np.zeros((0, len(_MASKS)), np.int64)
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+        sums = [unit(np.add.reduceat(self.known[rows_], at, axis=0)) for rows_, at in ((title, title_at), (people, people_at))]
+        masks = [np.bitwise_or.reduceat(self.bits_of[rows_], at, axis=0) for rows_, at in ((title, title_at), (people, people_at))]
+        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([*masks, np.array(words, np.int64)[:, None]], axis=1)
 
     def project(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' distances to all hyperplanes, and what their titles and authors are made of as bits, with the number of words."""
-        vectors: list[np.ndarray] = []
-        rows_of, masks = [], []
-        for row in rows:
-            tokens = dict(record_tokens(*row))
-            words = [t for t in tokens if t[1:2] != ":"]
-            people = [t[2:] for t in tokens if t[:2] == "a:"]
-            masks.append((*_bits(words, TITLE_BITS), *_bits(people, AUTHOR_BITS), len(words)))
-            rows_of.append(len(vectors))
-            vectors += [self.token_vector(t, w) for t, w in tokens.items()] or [self.nothing]
-        sums = np.add.reduceat(np.stack(vectors), rows_of, axis=0) if vectors else np.zeros((0, WIDTH), np.float32)
-        return sums @ self.planes, np.array(masks, np.int64).reshape(-1, len(_MASKS))
+        """The rows' distances to all hyperplanes, and their bits."""
+        vectors, masks = self.vectors_of(rows)
+        return vectors @ self.planes, masks
+
+    def hopeless(self, title: str | None, authors: list[str] | None) -> bool:
+        """Whether so many rows share a title that without authors no other field can make a match."""
+        return not any(authors or []) and matchrules.common_title(self.common.get(title_key(title), 1)) > matchrules.WITHOUT_AUTHORS
 
     def buckets(self, far: np.ndarray, probe: bool) -> np.ndarray:
         """Bucket numbers of each row, one a table, or all that are looked into."""
@@ -227,31 +277,32 @@ class RecordVectors:
         return bits[:, 0].copy(), bits[:, 1].copy()
 
 
-_known: dict[int, RecordVectors] = {}
 _FIELDS = ("title", "authors", "pub_year", "venue")
-_MASKS = ("t0", "t1", "p0", "p1", "p2", "p3", "words")
+_MASKS = ("t0", "t1", "t2", "t3", "p0", "p1", "p2", "p3", "words")
+
+
+def title_key(title: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join((title or "").lower().split()))
 
 
 def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
-    """(rec_no, buckets, s0, s1, masks) of each record with a title."""
+    """(rec_no, buckets, s0, s1, masks) of each record with a title that can be matched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = id(shared.value)
-        if number not in _known:
-            _known.clear()
-            _known[number] = RecordVectors(*shared.value)
-        vectors = _known[number]
+        vectors = held("records", shared.value, lambda v: RecordVectors(*v))
         for batch in batches:
-            if not batch.num_rows:
+            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            fine = [i for i, p in enumerate(pairs) if not vectors.hopeless(*p)]
+            if not fine:
                 continue
-            far, masks = vectors.project(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True))
+            far, masks = vectors.project(pairs[i] for i in fine)
             found = vectors.buckets(far, probe)
             s0, s1 = vectors.sketch(far)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(len(_MASKS)))], names=["rec_no", "buckets", "s0", "s1", *_MASKS])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fine, pa.int64())), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(len(_MASKS)))], names=["rec_no", "buckets", "s0", "s1", *_MASKS])
 
     usable = rows.where(F.length(F.trim(F.coalesce("title", F.lit("")))) > 2)
-    return usable.select("rec_no", *_FIELDS).mapInArrow(run, "rec_no bigint, buckets array<bigint>, s0 bigint, s1 bigint, " + ", ".join(f"{m} bigint" for m in _MASKS))
+    return usable.select("rec_no", "title", "authors").mapInArrow(run, "rec_no bigint, buckets array<bigint>, s0 bigint, s1 bigint, " + ", ".join(f"{m} bigint" for m in _MASKS))
 
 
 def token_frequency(rows: DataFrame) -> dict[str, int]:
@@ -266,34 +317,48 @@ def token_frequency(rows: DataFrame) -> dict[str, int]:
     return found
 
 
-def _sample(rows: DataFrame, n: int, total: int) -> list[list[str]]:
+def title_frequency(rows: DataFrame) -> dict[int, int]:
+    """How many rows have each of the titles that many rows share, over all rows."""
+    titles = rows.where("title is not null").groupBy(F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    many = titles.where(F.col("n") > matchrules.COMMON).orderBy(F.desc("n"), "title").limit(COMMON_TITLES).collect()
+    found: dict[int, int] = {}
+    for r in many:
+        found[title_key(r.title)] = found.get(title_key(r.title), 0) + r.n
+    return found
+
+
+def _sample(rows: DataFrame, n: int, total: int) -> list[tuple]:
     share = min(1_000_000, round(1_000_000 * n / max(1, total)))
-    taken = rows.where(F.pmod(F.xxhash64("rec_no"), F.lit(1_000_000)) < share).select(*_FIELDS).limit(2 * n).collect()
-    return [[t for t, _ in record_tokens(*r)] for r in taken]
+    taken = rows.where(F.pmod(F.xxhash64("rec_no"), F.lit(1_000_000)) < share).select("rec_no", *_FIELDS).limit(2 * n).collect()
+    return [tuple(r)[1:] for r in sorted(taken, key=lambda r: r.rec_no)]
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    """(rec_no, repo_rec_no, cosine, score) of the candidates whose titles are near."""
+def _compared(pairs: DataFrame, shared) -> DataFrame:
+    """(rec_no, repo_rec_no, score, confidence) of the candidates whose titles are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, (by_cosine, by_score, offset) = shared.value
         for batch in batches:
             seen: dict[int, matchrules.Described] = {}
             mine: dict[int, matchrules.Described] = {}
-            at, scores = [], []
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for i, (rec, repo, _, *fields) in enumerate(zip(*columns, strict=True)):
+            at, scores, sure = [], [], []
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            left, right = (list(zip(*(batch.column(i).to_pylist() for i in part), strict=True)) for part in (range(3, 7), range(7, 11)))
+            for i, (rec, repo, cosine) in enumerate(zip(*columns, strict=True)):
                 if rec not in seen:
-                    seen[rec] = matchrules.Described(*fields[:4])
+                    seen[rec] = matchrules.Described(*left[i])
                 if repo not in mine:
-                    mine[repo] = matchrules.Described(*fields[4:])
+                    mine[repo] = matchrules.Described(*right[i])
                 agreed = matchrules.compare(mine[repo], seen[rec])
                 if agreed is not None:
+                    score = matchrules.confidence(agreed, common.get(title_key(seen[rec].title), 1))
                     at.append(i)
-                    scores.append(matchrules.confidence(agreed))
+                    scores.append(score)
+                    sure.append(1 / (1 + math.exp(-max(-30.0, min(30.0, by_cosine * cosine + by_score * score + offset)))))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(scores, pa.float64())], names=["rec_no", "repo_rec_no", "cosine", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(2)), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=["rec_no", "repo_rec_no", "score", "confidence"])
 
-    return pairs.mapInArrow(run, "rec_no bigint, repo_rec_no bigint, cosine double, score double")
+    return pairs.mapInArrow(run, "rec_no bigint, repo_rec_no bigint, score double, confidence double")
 
 
 def _evidence() -> Column:
@@ -301,23 +366,30 @@ def _evidence() -> Column:
     plus = lambda columns: reduce(Column.__add__, columns)
     count = lambda names: plus([F.bit_count(n) for n in names])
 
-    def agree(masks: tuple[str, ...], share: float) -> Column:
+    def share(masks: tuple[str, ...]) -> tuple[Column, Column]:
         both = plus([F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
-        return both >= share * F.least(count(masks), count([f"r_{m}" for m in masks]))
+        return both, F.least(count(masks), count([f"r_{m}" for m in masks]))
 
-    title, people = ("t0", "t1"), ("p0", "p1", "p2", "p3")
+    (title, titles), (people, peoples) = share(_MASKS[:4]), share(_MASKS[4:8])
     short = F.least("words", "r_words") < SHORT
-    # without authors the least of both counts is 0, which any share agrees with
-    return agree(title, SHARED_SHORT) & (short | agree(title, SHARED_TITLE) & (agree(people, SHARED_AUTHORS) | agree(title, ALIKE)))
+    # without authors the least of both counts is 0: nothing speaks against them
+    alike = (title >= SHARED_TITLE * titles) & (people >= SHARED_AUTHORS * peoples) & (title * F.greatest(peoples, F.lit(1)) + 0.5 * F.when(peoples == 0, titles).otherwise(people * titles) >= SHARED * titles * F.greatest(peoples, F.lit(1)))
+    return F.when(short, (title >= SHARED_SHORT * titles) & (people >= SHARED_AUTHORS * peoples)).otherwise(alike)
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(rec_no, repo_rec_no, cosine): what meets in a bucket and agrees in the sketch."""
+def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, float]]:
+    """(the model of `RecordVectors`, the weights of cosine, agreement and offset in the log odds of a match)."""
     n_left, n_right = left.count(), right.count()
     both = left.select("rec_no", *_FIELDS).unionByName(right.select("rec_no", *_FIELDS))
     sample = _sample(left, SAMPLED * 3 // 4, n_left) + _sample(right, SAMPLED // 4, n_right)
-    model = (train_vectors(sample), token_frequency(both), n_left + n_right, index_bits(n_left))
-    shared = left.sparkSession.sparkContext.broadcast(model)
+    vectors = train_vectors([graph_tokens(*r) for r in sample])
+    model = (vectors, token_frequency(both), n_left + n_right, index_bits(n_left), title_frequency(left))
+    return model, calibrate(RecordVectors(*model), sample)
+
+
+def candidates(left: DataFrame, right: DataFrame, model: tuple | None = None) -> DataFrame:
+    """(rec_no, repo_rec_no, cosine): what meets in a bucket and agrees in the sketch."""
+    shared = left.sparkSession.sparkContext.broadcast(model or fit(left, right)[0])
     filed = _hashed(left, shared, False).select("rec_no", F.explode("buckets").alias("bucket"), "s0", "s1", *_MASKS)
     looked = _hashed(right, shared, True).select(F.col("rec_no").alias("repo_rec_no"), F.explode("buckets").alias("bucket"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), *(F.col(m).alias(f"r_{m}") for m in _MASKS))
     differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("r1")))
@@ -325,24 +397,69 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.groupBy("rec_no", "repo_rec_no").agg(F.min("differ").alias("differ")).select("rec_no", "repo_rec_no", F.cos(F.col("differ") * (math.pi / SKETCH)).alias("cosine"))
 
 
-#: Pairs from which the cosine is calibrated.
-CALIBRATED_ON = 20_000
-
-
-def calibrate(scored: DataFrame) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve from cosine to the probability of a match, from a bounded sample of compared pairs."""
-    rows = scored.select("cosine", (F.col("score") > 0).cast("int").alias("y")).limit(CALIBRATED_ON).toPandas()
-    if rows["y"].nunique() < 2:
-        return 8.0, -6.0
-    x, y = rows["cosine"].to_numpy(), rows["y"].to_numpy()
-    w = np.array([8.0, -6.0])
-    design = np.stack([x, np.ones_like(x)], axis=1)
+#: Sampled records that are perturbed to calibrate the confidence.
+CALIBRATED_ON = 2_000
+
+
+def perturbed(record: tuple, rng: np.random.Generator) -> tuple:
+    """A record as another source may hold it: mistyped, cut, with other forms of its authors, a year off, a venue missing."""
+    title, authors, year, venue = record
+    words = (title or "").split(" ")
+    for _ in range(int(rng.integers(0, 4))):
+        k = int(rng.integers(0, len(words)))
+        w = words[k]
+        if len(w) > 3:
+            i = int(rng.integers(1, len(w) - 1))
+            words[k] = (w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :])[int(rng.integers(0, 3))]
+    title = " ".join(words)
+    if rng.random() < 0.1 and len(title) > 40:
+        title = title[: int(rng.integers(30, len(title)))] + "..."
+    people = [a for a in authors or [] if a]
+    if people and rng.random() < 0.5:
+        people = [a if " " not in a or "," in a else f"{a[0]}. {a.rsplit(' ', 1)[1]}" for a in people]
+    if len(people) > 1 and rng.random() < 0.3:
+        people = people[: int(rng.integers(1, len(people)))]
+    if rng.random() < 0.1:
+        people = []
+    year = year + int(rng.integers(-1, 2)) if year and rng.random() < 0.3 else year
+    return title, people, year, None if rng.random() < 0.3 else venue
+
+
+def calibrate(vectors: RecordVectors, sample: list[tuple]) -> tuple[float, float, float]:
+    """Weights of cosine, agreement and offset in the log odds of a match.
+
+    Cases are sampled records against perturbed copies of them; the others are
+    the nearest records with other titles, so no rule decides what is a match.
+    """
+    rng = np.random.default_rng(SEED + 3)
+    records = [r for r in sample if r[0] and len(r[0].strip()) > 2]
+    records = [records[i] for i in rng.permutation(len(records))[:CALIBRATED_ON]]
+    if len(records) < 20:
+        return 4.0, 1.0, -4.0
+    copies = [perturbed(r, rng) for r in records]
+    x, y = vectors.vectors_of(copies)[0], vectors.vectors_of(records)[0]
+    cosines = x @ y.T
+    cases: list[tuple[float, float, int]] = []
+    described = [matchrules.Described(*r) for r in records]
+    keys = [title_key(r[0]) for r in records]
+    for i, row in enumerate(cosines):
+        mine = matchrules.Described(*copies[i])
+        nearest = [int(j) for j in np.argsort(-row)[:6] if keys[j] != keys[i]][:3]
+        for j in [i, *nearest]:
+            agreed = matchrules.compare(mine, described[j])
+            if agreed is not None:
+                cases.append((float(row[j]), matchrules.confidence(agreed, vectors.common.get(keys[j], 1)), int(j == i)))
+    data = np.array(cases)
+    if len(data) < 20 or data[:, 2].min() == data[:, 2].max():
+        return 4.0, 1.0, -4.0
+    design = np.concatenate([data[:, :2], np.ones((len(data), 1))], axis=1)
+    w = np.array([4.0, 1.0, -4.0])
     for _ in range(25):  # Newton steps with a little shrinkage
-        p = 1 / (1 + np.exp(-design @ w))
-        gradient = design.T @ (y - p) - 0.01 * w
-        hessian = (design * (p * (1 - p) + 1e-6)[:, None]).T @ design + 0.01 * np.eye(2)
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        gradient = design.T @ (data[:, 2] - p) - 0.1 * w
+        hessian = (design * (p * (1 - p) + 1e-6)[:, None]).T @ design + 0.1 * np.eye(3)
         w = w + np.linalg.solve(hessian, gradient)
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 def doi_key(doi: Column) -> Column:
@@ -351,30 +468,24 @@ def doi_key(doi: Column) -> Column:
     return F.when(bare.rlike(r"^10\.\S+/\S+"), F.trim(bare))
 
 
-#: Odds by which a match may be worse than the best one of its repository record.
-BEHIND = 2.5
-
-
 def find_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(rec_no, repo_rec_no, confidence) of the rows that describe the same work.
 
     `left` may hold a work in many rows: rows with the same DOI or id as a
     matched one match as well, whatever their titles. Records without a title
     are matched in no other way. An empty table gives an empty table; null
-    fields neither speak for nor against a match.
+    fields neither speak for nor against a match. Titles that many rows share
+    match by their authors only.
     """
-    pairs = candidates(left, right)
+    model, weights = fit(left, right)
+    pairs = candidates(left, right, model)
+    shared = left.sparkSession.sparkContext.broadcast((model[4], weights))
     mine = right.select(F.col("rec_no").alias("repo_rec_no"), *(F.col(f).alias(f"r_{f}") for f in _FIELDS))
-    scored = staged(_compared(pairs.join(left.select("rec_no", *_FIELDS), "rec_no").join(mine, "repo_rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))))
-    slope, offset = calibrate(scored)
-    good = scored.where("score > 0")
-    best = good.groupBy("repo_rec_no").agg(F.max("score").alias("best"))
-    kept = good.join(best, "repo_rec_no").where(F.col("score") >= F.col("best") - BEHIND)
-    odds = 0.8 * F.col("score") + 0.2 * (slope * F.col("cosine") + offset)
-    kept = kept.select("rec_no", "repo_rec_no", (1 / (1 + F.exp(-odds))).alias("confidence"))
+    described = pairs.join(left.select("rec_no", *_FIELDS), "rec_no").join(mine, "repo_rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))
+    kept = staged(_compared(described, shared).where("score > 0").select("rec_no", "repo_rec_no", "confidence"))
     keys = left.select("rec_no", doi_key(F.col("doi")).alias("doi"), "id")
     keyed = kept.join(keys, "rec_no")
     by_doi = keyed.where("doi is not null").groupBy("repo_rec_no", "doi").agg(F.max("confidence").alias("confidence")).join(keys.where("doi is not null").select("rec_no", "doi"), "doi")
     by_id = keyed.where("id is not null").groupBy("repo_rec_no", "id").agg(F.max("confidence").alias("confidence")).join(keys.select("rec_no", "id"), "id")
-    every = kept.select("rec_no", "repo_rec_no", "confidence").unionByName(by_doi.select("rec_no", "repo_rec_no", "confidence")).unionByName(by_id.select("rec_no", "repo_rec_no", "confidence"))
+    every = kept.unionByName(by_doi.select("rec_no", "repo_rec_no", "confidence")).unionByName(by_id.select("rec_no", "repo_rec_no", "confidence"))
     return every.groupBy("rec_no", "repo_rec_no").agg(F.max("confidence").alias("confidence"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from functools import lru_cache
 
@@ -83,12 +84,15 @@ def author_agreement(a: list, b: list) -> float | None:
         return None
     if len(a) > len(b):
         a, b = b, a
-    a = a[:40]
-    return sum(any(same_person(x, y) for y in b) for x in a) / len(a)
+    by_token: dict[str, list] = {}
+    for y in b:
+        for t in y[0]:
+            by_token.setdefault(t, []).append(y)
+    return sum(any(same_person(x, y) for t in x[0] for y in by_token.get(t, ())) or any(same_person(x, y) for y in b) for x in a) / len(a)
 
 
-def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int]:
-    """(agreement 0 to 1, whether one title is the beginning of the other, words that only `mine` has).
+def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int, bool]:
+    """(agreement 0 to 1, whether one title is the beginning of the other, words that only `mine` has, whether a word that one of them lacks tells of another work).
 
     Words agree when equal or mistyped; numerals and short words only when
     equal. A title may lack what follows a break of the other, or anything
@@ -97,9 +101,9 @@ def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int]:
     """
     (wa, ca, ba), (wb, cb, bb) = mine, other
     if not wa or not wb:
-        return 0.0, False, 0
+        return 0.0, False, 0, False
     if wa == wb:
-        return 1.0, False, 0
+        return 1.0, False, 0, False
     free = list(range(len(wb)))
     missed: list[int] = []
     reach_a = reach_b = -1
@@ -116,7 +120,7 @@ def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int]:
         w = wa[i]
         at = None
         if not _NUMERAL.match(w) and len(w) > 2:
-            most = 1 if len(w) < 5 else 2
+            most = 1 if len(w) < 5 else 2 if len(w) < 8 else 3
             at = next((j for j in free if not _NUMERAL.match(wb[j]) and edits(w, wb[j], most) <= most), None)
         if at is None and ca and i == len(wa) - 1 and not _NUMERAL.match(w):
             at = next((j for j in free if wb[j].startswith(w)), None)
@@ -141,10 +145,11 @@ def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int]:
         part, free = True, [j for j in free if j < reach_b]
     elif tail_a and not tail_b and cb and reach_a >= 2:
         part, spare = True, [i for i in spare if i < reach_a]
+    talks = any(wa[i] in OTHERWISE for i in spare) or any(wb[j] in OTHERWISE for j in free)
     own = sum(1 for i in spare if len(wa[i]) > 2 or _NUMERAL.match(wa[i]))
     lost += sum(len(wa[i]) for i in spare) + sum(len(wb[j]) for j in free if len(wb[j]) > 2 or _NUMERAL.match(wb[j]))
     total = min(sum(map(len, wa)), sum(map(len, wb)))
-    return max(0.0, 1.0 - lost / total), part, own
+    return max(0.0, 1.0 - lost / total), part, own, talks
 
 
 @lru_cache(maxsize=200_000)
@@ -191,6 +196,10 @@ LEAST_TITLE = 0.6
 _title_words = lru_cache(maxsize=100_000)(title_words)
 
 
+def words_of_title(title: str | None) -> list[str]:
+    return _title_words(title)[0]
+
+
 @lru_cache(maxsize=100_000)
 def title_pair(mine: str, other: str) -> tuple[float, bool, int, bool, int] | None:
     """(agreement, part, own words, whether one talks of another work, words of the shorter) of two titles; None for titles far apart.
@@ -203,10 +212,10 @@ def title_pair(mine: str, other: str) -> tuple[float, bool, int, bool, int] | No
     have, given = frozenset(a), frozenset(b)
     if a != b and len(have - given) > MOST_STRANGE + 0.1 * len(a):
         return None
-    title, part, own = title_agreement(x, y)
+    title, part, own, talks = title_agreement(x, y)
     if title < LEAST_TITLE:
         return None
-    return title, part, own, bool((have ^ given) & OTHERWISE), min(len(a), len(b))
+    return title, part, own, talks, min(len(a), len(b))
 
 
 def compare(mine: Described, other: Described) -> dict | None:
@@ -218,8 +227,19 @@ def compare(mine: Described, other: Described) -> dict | None:
     return {"title": title, "part": part, "own": own, "otherwise": talks, "authors": author_agreement(mine.persons, other.persons), "years": abs(mine.year - other.year) if mine.year and other.year else None, "venue": venue_agreement(mine.venue, other.venue), "words": words}
 
 
-def confidence(c: dict) -> float:
-    """Logarithm of the odds that two records describe one work, from their agreements."""
+#: Rows that may share a title before it says less about the work.
+COMMON = 16
+#: The most that year and venue can add to the odds of equal titles, where authors are missing.
+WITHOUT_AUTHORS = 9.0 * 0.16 + 0.9 + 1.4 * 0.4
+
+
+def common_title(rows: int) -> float:
+    """What the odds of a match lose, where authors are missing, if so many rows share the title."""
+    return max(0.0, math.log(rows / COMMON))
+
+
+def confidence(c: dict, rows: int = 1) -> float:
+    """Logarithm of the odds that two records describe one work, from their agreements and how many rows share the title."""
     score = 9.0 * (c["title"] - 0.84) - 0.8 * c["part"] - 1.6 * c["own"] - 3.5 * c["otherwise"]
     if c["words"] < 5:
         score -= 0.75 * (5 - c["words"])
@@ -227,6 +247,8 @@ def confidence(c: dict) -> float:
     if a is not None:
         whole = c["words"] > 5 and c["title"] > 0.96 and not c["part"]
         score += 3.2 * (a - 0.45) if a >= 0.34 else -1.2 if whole else -3.5
+    else:
+        score -= common_title(rows)
     y = c["years"]
     score += 0.0 if y is None else 0.9 if y == 0 else 0.4 if y == 1 else -0.6 if y == 2 else -2.0
     v = c["venue"]
