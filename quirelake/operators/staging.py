@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,11 @@ def staged(df: DataFrame) -> DataFrame:
     """`df` computed once and kept as reliable checkpoint files."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged_table(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept as a table of columns in the checkpoint folder: smaller than `staged` where rows hold long texts."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
