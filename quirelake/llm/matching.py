@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quirelake.llm import matchrules
 from quirelake.llm.held import held
@@ -55,16 +56,16 @@ RARITY = 0.6
 #: Weight of the authors' part of a vector against the title's.
 AUTHORS = 0.5
 #: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
-MEET_AT, MEET = 32, 0.9
+MEET_AT, MEET = 30, 0.9
 #: Bits of the sketch, and how many of them may differ.
 SKETCH, DIFFER = 128, 47
 #: Nearest hyperplanes that are crossed alone, and in pairs.
-CROSS_ONE, CROSS_TWO = 7, 4
+CROSS_ONE, CROSS_TWO = 6, 3
 #: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and of titles with half the authors' share.
 SHARED_TITLE, SHARED_AUTHORS, SHARED = 0.78, 0.5, 1.2
 #: Titles of fewer than `SHORT` words need only such a share.
 SHORT, SHARED_SHORT = 5, 0.5
-TITLE_BITS, AUTHOR_BITS = 256, 256
+TITLE_BITS, AUTHOR_BITS = 256, 128
 SEED = 20240229
 
 
@@ -176,8 +177,8 @@ def _trigram_bits(token: str, size: int) -> tuple[int, ...]:
 
 
 def index_bits(n: int) -> int:
-    """Hyperplanes of a table: about 60 of `n` rows in a bucket."""
-    return min(36, max(5, math.ceil(math.log2(max(2, n))) - 6))
+    """Hyperplanes of a table: about 120 of `n` rows in a bucket."""
+    return min(36, max(5, math.ceil(math.log2(max(2, n))) - 7))
 
 
 def looked_into(part: np.ndarray) -> np.ndarray:
@@ -215,7 +216,7 @@ class RecordVectors:
         """Start with the row of no token."""
         self.at: dict[str, int] = {}
         self.known = np.zeros((4096, WIDTH), np.float32)
-        self.bits_of = np.zeros((4096, TITLE_BITS // 64), np.int64)
+        self.bits_of = np.zeros((4096, TITLE_BITS // 64), np.int64)  # authors' bits fill the first of them
         self.filled = 1
 
     def row(self, token: str, author: bool) -> int:
@@ -230,7 +231,7 @@ class RecordVectors:
             v = 0.6 * self.vectors[slot(key)] + 0.8 * rest / max(1e-6, float(np.linalg.norm(rest)))
             at = self.at[key] = self.filled
             self.known[at] = v * math.log(1 + self.records / self.frequency.get(token, 1)) ** RARITY
-            self.bits_of[at] = _trigram_bits(token, TITLE_BITS)
+            self.bits_of[at, : (AUTHOR_BITS if author else TITLE_BITS) // 64] = _trigram_bits(token, AUTHOR_BITS if author else TITLE_BITS)
             self.filled += 1
         return at
 
@@ -251,7 +252,7 @@ class RecordVectors:
         unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
         sums = [unit(np.add.reduceat(self.known[rows_], at, axis=0)) for rows_, at in ((title, title_at), (people, people_at))]
         masks = [np.bitwise_or.reduceat(self.bits_of[rows_], at, axis=0) for rows_, at in ((title, title_at), (people, people_at))]
-        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([*masks, np.array(words, np.int64)[:, None]], axis=1)
+        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0], masks[1][:, : AUTHOR_BITS // 64], *(np.bitwise_count(m.view(np.uint64)).sum(axis=1, dtype=np.int64)[:, None] for m in masks), np.array(words, np.int64)[:, None]], axis=1)
 
     def project(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """The rows' distances to all hyperplanes, and their bits."""
@@ -278,7 +279,9 @@ class RecordVectors:
 
 
 _FIELDS = ("title", "authors", "pub_year", "venue")
-_MASKS = ("t0", "t1", "t2", "t3", "p0", "p1", "p2", "p3", "words")
+_MASKS = ("t0", "t1", "t2", "t3", "p0", "p1", "nt", "np", "words")
+# none of them is ever null, which spares the join a check of each
+_HASHED = StructType([StructField("rec_no", LongType(), False), StructField("buckets", ArrayType(LongType(), False), False), *(StructField(m, LongType(), False) for m in ("s0", "s1", *_MASKS))])
 
 
 def title_key(title: str | None) -> int:
@@ -302,7 +305,7 @@ def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fine, pa.int64())), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(len(_MASKS)))], names=["rec_no", "buckets", "s0", "s1", *_MASKS])
 
     usable = rows.where(F.length(F.trim(F.coalesce("title", F.lit("")))) > 2)
-    return usable.select("rec_no", "title", "authors").mapInArrow(run, "rec_no bigint, buckets array<bigint>, s0 bigint, s1 bigint, " + ", ".join(f"{m} bigint" for m in _MASKS))
+    return usable.select("rec_no", "title", "authors").mapInArrow(run, _HASHED)
 
 
 def token_frequency(rows: DataFrame) -> dict[str, int]:
@@ -362,19 +365,17 @@ def _compared(pairs: DataFrame, shared) -> DataFrame:
 
 
 def _evidence() -> Column:
-    """Whether titles and authors have enough trigrams in common to be worth comparing."""
-    plus = lambda columns: reduce(Column.__add__, columns)
-    count = lambda names: plus([F.bit_count(n) for n in names])
+    """Whether titles and authors have enough trigrams in common to be worth comparing.
 
-    def share(masks: tuple[str, ...]) -> tuple[Column, Column]:
-        both = plus([F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
-        return both, F.least(count(masks), count([f"r_{m}" for m in masks]))
-
-    (title, titles), (people, peoples) = share(_MASKS[:4]), share(_MASKS[4:8])
+    Kept short: what is compiled of a join's condition must stay small.
+    """
+    both = lambda masks: reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
+    title, people = both(_MASKS[:4]), both(_MASKS[4:6])
+    titles, peoples = F.greatest(F.least("nt", "r_nt"), F.lit(1)), F.least("np", "r_np")
     short = F.least("words", "r_words") < SHORT
-    # without authors the least of both counts is 0: nothing speaks against them
-    alike = (title >= SHARED_TITLE * titles) & (people >= SHARED_AUTHORS * peoples) & (title * F.greatest(peoples, F.lit(1)) + 0.5 * F.when(peoples == 0, titles).otherwise(people * titles) >= SHARED * titles * F.greatest(peoples, F.lit(1)))
-    return F.when(short, (title >= SHARED_SHORT * titles) & (people >= SHARED_AUTHORS * peoples)).otherwise(alike)
+    # without authors nothing speaks against them
+    rest = F.when(peoples == 0, 0.5).otherwise(0.5 * people / F.greatest(peoples, F.lit(1)))
+    return (people >= SHARED_AUTHORS * peoples) & (title >= F.when(short, SHARED_SHORT).otherwise(F.greatest(F.lit(SHARED_TITLE), SHARED - rest)) * titles)
 
 
 def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, float]]:
