@@ -61,11 +61,11 @@ MEET_AT, MEET = 30, 0.9
 SKETCH, DIFFER = 128, 47
 #: Nearest hyperplanes that are crossed alone, and in pairs.
 CROSS_ONE, CROSS_TWO = 6, 3
-#: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and of titles with half the authors' share.
-SHARED_TITLE, SHARED_AUTHORS, SHARED = 0.78, 0.5, 1.2
+#: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and with half the authors' share, and the cosine with both.
+SHARED_TITLE, SHARED_AUTHORS, SHARED, SHARED_NEAR = 0.78, 0.5, 1.2, 1.85
 #: Titles of fewer than `SHORT` words need only such a share.
 SHORT, SHARED_SHORT = 5, 0.5
-TITLE_BITS, AUTHOR_BITS = 256, 128
+TITLE_BITS, AUTHOR_BITS = 256, 256
 SEED = 20240229
 
 
@@ -166,14 +166,19 @@ def _without_common(vectors: np.ndarray, seen: np.ndarray, weight: np.ndarray) -
     return out
 
 
-@lru_cache(maxsize=300_000)
-def _trigram_bits(token: str, size: int) -> tuple[int, ...]:
+@lru_cache(maxsize=200_000)
+def _trigram(t: str) -> tuple[int, int]:
+    """(slot, bit) of a trigram."""
+    return slot("3:" + t), xxhash.xxh3_64_intdigest(t)
+
+
+def _trigram_bits(token: str, size: int) -> list[int]:
     """The trigrams of a token as bits of signed numbers; mistyped, torn and joined words keep most of theirs."""
     mask = 0
     for t in trigrams(token):
-        mask |= 1 << (xxhash.xxh3_64_intdigest(t) % size)
+        mask |= 1 << (_trigram(t)[1] % size)
     parts = [mask >> at & ((1 << 64) - 1) for at in range(0, size, 64)]
-    return tuple(x - (1 << 64) if x >> 63 else x for x in parts)
+    return [x - (1 << 64) if x >> 63 else x for x in parts]
 
 
 def index_bits(n: int) -> int:
@@ -214,45 +219,53 @@ class RecordVectors:
 
     def _forget(self) -> None:
         """Start with the row of no token."""
-        self.at: dict[str, int] = {}
+        self.at: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.named: dict[str, tuple[int, ...]] = {}
         self.known = np.zeros((4096, WIDTH), np.float32)
-        self.bits_of = np.zeros((4096, TITLE_BITS // 64), np.int64)  # authors' bits fill the first of them
+        self.bits_of = np.zeros((4096, max(TITLE_BITS, AUTHOR_BITS) // 64), np.int64)
         self.filled = 1
 
     def row(self, token: str, author: bool) -> int:
         """Where the token's weighted vector and trigram bits stand."""
-        key = "a:" + token if author else token
-        at = self.at.get(key)
+        at = self.at[author].get(token)
         if at is None:
             if self.filled == len(self.known):
                 self.known = np.concatenate([self.known, np.zeros_like(self.known)])
                 self.bits_of = np.concatenate([self.bits_of, np.zeros_like(self.bits_of)])
-            rest = self.vectors[[slot("3:" + t) for t in trigrams(token)]].sum(axis=0)
-            v = 0.6 * self.vectors[slot(key)] + 0.8 * rest / max(1e-6, float(np.linalg.norm(rest)))
-            at = self.at[key] = self.filled
+            rest = self.vectors[[_trigram(t)[0] for t in trigrams(token)]].sum(axis=0)
+            v = 0.6 * self.vectors[slot("a:" + token if author else token)] + 0.8 * rest / max(1e-6, math.sqrt(float(rest @ rest)))
+            at = self.at[author][token] = self.filled
             self.known[at] = v * math.log(1 + self.records / self.frequency.get(token, 1)) ** RARITY
-            self.bits_of[at, : (AUTHOR_BITS if author else TITLE_BITS) // 64] = _trigram_bits(token, AUTHOR_BITS if author else TITLE_BITS)
+            size = AUTHOR_BITS if author else TITLE_BITS
+            self.bits_of[at, : size // 64] = _trigram_bits(token, size)
             self.filled += 1
         return at
 
+    def _person(self, name: str) -> tuple[int, ...]:
+        known = self.named.get(name)
+        if known is None:
+            known = self.named[name] = tuple(self.row(t, True) for t in record_tokens(None, [name])[1])
+        return known
+
     def vectors_of(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' vectors, and what their titles and authors are made of as bits, with the number of words."""
+        """The rows' vectors, and what their titles and authors are made of as bits, with the numbers of bits and of words."""
         if self.filled > 400_000:
             self._forget()
         title, people, title_at, people_at, words = [], [], [], [], []
         for row in rows:
-            t, p = record_tokens(row[0], row[1])
+            t = record_tokens(row[0], None)[0]
             title_at.append(len(title))
             people_at.append(len(people))
             words.append(len(t))
             title += [self.row(x, False) for x in t] or [0]
-            people += [self.row(x, True) for x in p] or [0]
+            people += {p for a in row[1] or () if a for p in self._person(a)} or [0]
         if not title_at:
             return np.zeros((0, WIDTH), np.float32), np.zeros((0, len(_MASKS)), np.int64)
         unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
         sums = [unit(np.add.reduceat(self.known[rows_], at, axis=0)) for rows_, at in ((title, title_at), (people, people_at))]
         masks = [np.bitwise_or.reduceat(self.bits_of[rows_], at, axis=0) for rows_, at in ((title, title_at), (people, people_at))]
-        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0], masks[1][:, : AUTHOR_BITS // 64], *(np.bitwise_count(m.view(np.uint64)).sum(axis=1, dtype=np.int64)[:, None] for m in masks), np.array(words, np.int64)[:, None]], axis=1)
+        counts = [np.bitwise_count(m.view(np.uint64)).sum(axis=1, dtype=np.int64) for m in masks]
+        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0][:, : TITLE_BITS // 64], masks[1][:, : AUTHOR_BITS // 64], np.stack([*counts, np.array(words, np.int64)], axis=1)], axis=1)
 
     def project(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """The rows' distances to all hyperplanes, and their bits."""
@@ -279,7 +292,8 @@ class RecordVectors:
 
 
 _FIELDS = ("title", "authors", "pub_year", "venue")
-_MASKS = ("t0", "t1", "t2", "t3", "p0", "p1", "nt", "np", "words")
+_TITLE_MASKS, _AUTHOR_MASKS = tuple(f"t{i}" for i in range(TITLE_BITS // 64)), tuple(f"p{i}" for i in range(AUTHOR_BITS // 64))
+_MASKS = (*_TITLE_MASKS, *_AUTHOR_MASKS, "nt", "np", "words")
 # none of them is ever null, which spares the join a check of each
 _HASHED = StructType([StructField("rec_no", LongType(), False), StructField("buckets", ArrayType(LongType(), False), False), *(StructField(m, LongType(), False) for m in ("s0", "s1", *_MASKS))])
 
@@ -337,14 +351,14 @@ def _sample(rows: DataFrame, n: int, total: int) -> list[tuple]:
 
 
 def _compared(pairs: DataFrame, shared) -> DataFrame:
-    """(rec_no, repo_rec_no, score, confidence) of the candidates whose titles are near."""
+    """(rec_no, repo_rec_no, confidence) of the candidates that describe one work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, (by_cosine, by_score, offset) = shared.value
         for batch in batches:
             seen: dict[int, matchrules.Described] = {}
             mine: dict[int, matchrules.Described] = {}
-            at, scores, sure = [], [], []
+            at, sure = [], []
             columns = [batch.column(i).to_pylist() for i in range(3)]
             left, right = (list(zip(*(batch.column(i).to_pylist() for i in part), strict=True)) for part in (range(3, 7), range(7, 11)))
             for i, (rec, repo, cosine) in enumerate(zip(*columns, strict=True)):
@@ -355,27 +369,29 @@ def _compared(pairs: DataFrame, shared) -> DataFrame:
                 agreed = matchrules.compare(mine[repo], seen[rec])
                 if agreed is not None:
                     score = matchrules.confidence(agreed, common.get(title_key(seen[rec].title), 1))
-                    at.append(i)
-                    scores.append(score)
-                    sure.append(1 / (1 + math.exp(-max(-30.0, min(30.0, by_cosine * cosine + by_score * score + offset)))))
+                    if score > 0:
+                        at.append(i)
+                        sure.append(1 / (1 + math.exp(-max(-30.0, min(30.0, by_cosine * cosine + by_score * score + offset)))))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(2)), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=["rec_no", "repo_rec_no", "score", "confidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(2)), pa.array(sure, pa.float64())], names=["rec_no", "repo_rec_no", "confidence"])
 
-    return pairs.mapInArrow(run, "rec_no bigint, repo_rec_no bigint, score double, confidence double")
+    return pairs.mapInArrow(run, "rec_no bigint, repo_rec_no bigint, confidence double")
 
 
-def _evidence() -> Column:
+def _evidence(differ: Column) -> Column:
     """Whether titles and authors have enough trigrams in common to be worth comparing.
 
     Kept short: what is compiled of a join's condition must stay small.
     """
     both = lambda masks: reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
-    title, people = both(_MASKS[:4]), both(_MASKS[4:6])
+    title, people = both(_TITLE_MASKS), both(_AUTHOR_MASKS)
     titles, peoples = F.greatest(F.least("nt", "r_nt"), F.lit(1)), F.least("np", "r_np")
     short = F.least("words", "r_words") < SHORT
     # without authors nothing speaks against them
     rest = F.when(peoples == 0, 0.5).otherwise(0.5 * people / F.greatest(peoples, F.lit(1)))
-    return (people >= SHARED_AUTHORS * peoples) & (title >= F.when(short, SHARED_SHORT).otherwise(F.greatest(F.lit(SHARED_TITLE), SHARED - rest)) * titles)
+    # about the cosine, by a straight line
+    far = SHARED_NEAR - 1.12 + 1.12 * differ / (SKETCH / 2) - rest
+    return (people >= SHARED_AUTHORS * peoples) & (title >= F.when(short, SHARED_SHORT).otherwise(F.greatest(F.lit(SHARED_TITLE), SHARED - rest, far)) * titles)
 
 
 def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, float]]:
@@ -394,7 +410,7 @@ def candidates(left: DataFrame, right: DataFrame, model: tuple | None = None) ->
     filed = _hashed(left, shared, False).select("rec_no", F.explode("buckets").alias("bucket"), "s0", "s1", *_MASKS)
     looked = _hashed(right, shared, True).select(F.col("rec_no").alias("repo_rec_no"), F.explode("buckets").alias("bucket"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), *(F.col(m).alias(f"r_{m}") for m in _MASKS))
     differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("r1")))
-    met = filed.join(looked, "bucket").withColumn("differ", differ).where((F.col("differ") <= DIFFER) & _evidence())
+    met = filed.join(looked, "bucket").withColumn("differ", differ).where((F.col("differ") <= DIFFER) & _evidence(F.col("differ")))
     return met.groupBy("rec_no", "repo_rec_no").agg(F.min("differ").alias("differ")).select("rec_no", "repo_rec_no", F.cos(F.col("differ") * (math.pi / SKETCH)).alias("cosine"))
 
 
@@ -481,9 +497,10 @@ def find_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     model, weights = fit(left, right)
     pairs = candidates(left, right, model)
     shared = left.sparkSession.sparkContext.broadcast((model[4], weights))
-    mine = right.select(F.col("rec_no").alias("repo_rec_no"), *(F.col(f).alias(f"r_{f}") for f in _FIELDS))
-    described = pairs.join(left.select("rec_no", *_FIELDS), "rec_no").join(mine, "repo_rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))
-    kept = staged(_compared(described, shared).where("score > 0").select("rec_no", "repo_rec_no", "confidence"))
+    fields = [F.array_join("authors", matchrules.BETWEEN).alias(f) if f == "authors" else F.col(f) for f in _FIELDS]
+    mine = right.select(F.col("rec_no").alias("repo_rec_no"), *(c.alias(f"r_{f}") for c, f in zip(fields, _FIELDS, strict=True)))
+    described = pairs.join(left.select("rec_no", *fields), "rec_no").join(mine, "repo_rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))
+    kept = staged(_compared(described, shared))
     keys = left.select("rec_no", doi_key(F.col("doi")).alias("doi"), "id")
     keyed = kept.join(keys, "rec_no")
     by_doi = keyed.where("doi is not null").groupBy("repo_rec_no", "doi").agg(F.max("confidence").alias("confidence")).join(keys.where("doi is not null").select("rec_no", "doi"), "doi")

@@ -10,7 +10,7 @@ from functools import lru_cache
 from quirelake.llm.canon import edits as _edits
 from quirelake.llm.canon import words_of
 from quirelake.llm.mojibake import repaired
-from quirelake.llm.names import fold, name_parts
+from quirelake.llm.names import fold, formal_names, name_parts
 from quirelake.llm.names import token_cost as _token_cost
 
 # titles and names repeat the same words, so the same pairs are compared again and again
@@ -61,10 +61,23 @@ def surnames(authors: list[str] | None) -> list[tuple[list[str], list[str]]]:
     return found
 
 
+@lru_cache(maxsize=400_000)
+def _letters(token: str) -> frozenset[str]:
+    return frozenset(token)
+
+
+def _near(x: str, y: str) -> bool:
+    """Whether a whole name part can be the other one mistyped; each typing error changes two letters of the set at most."""
+    if abs(len(x) - len(y)) > 2:
+        return False
+    most = 2 if min(len(x), len(y)) >= 6 else 1
+    return x in formal_names().get(y, ()) or y in formal_names().get(x, ()) or len(_letters(x) ^ _letters(y)) <= 2 * most and token_cost(x, y) <= most
+
+
 def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> bool:
     """Whether two names can be one person's: a whole token agrees, and no other contradicts it."""
     (fa, ia), (fb, ib) = a, b
-    pairs = [(x, x) for x in fa if x in fb] or [(x, y) for x in fa for y in fb if abs(len(x) - len(y)) <= 2 and token_cost(x, y) <= (2 if min(len(x), len(y)) >= 6 else 1)]
+    pairs = [(x, x) for x in fa if x in fb] or [(x, y) for x in fa for y in fb if _near(x, y)]
     if not pairs:
         return False
     x, y = max(pairs, key=lambda p: (p[0] == p[1], len(p[0])))
@@ -171,12 +184,16 @@ def venue_agreement(a: str | None, b: str | None) -> float | None:
     return hits / len(wa)
 
 
+#: What stands between the authors where they are given as one string.
+BETWEEN = "\x1f"
+
+
 class Described:
     """One record's description; names are read only when asked for."""
 
     __slots__ = ("title", "authors", "year", "venue", "_persons")
 
-    def __init__(self, title: str | None, authors: list[str] | None, year: int | None, venue: str | None):
+    def __init__(self, title: str | None, authors: list[str] | str | None, year: int | None, venue: str | None):
         self.title = title or ""
         self.authors, self.year, self.venue = authors, year or None, venue
         self._persons: list | None = None
@@ -184,7 +201,7 @@ class Described:
     @property
     def persons(self) -> list:
         if self._persons is None:
-            self._persons = surnames(self.authors)
+            self._persons = surnames(self.authors.split(BETWEEN) if isinstance(self.authors, str) else self.authors)
         return self._persons
 
 
@@ -219,12 +236,15 @@ def title_pair(mine: str, other: str) -> tuple[float, bool, int, bool, int] | No
 
 
 def compare(mine: Described, other: Described) -> dict | None:
-    """Agreements of two records; None for titles far apart."""
+    """Agreements of two records; None where titles and years are so far apart that no other field can make a match."""
     titles = title_pair(mine.title, other.title)
     if titles is None:
         return None
     title, part, own, talks, words = titles
-    return {"title": title, "part": part, "own": own, "otherwise": talks, "authors": author_agreement(mine.persons, other.persons), "years": abs(mine.year - other.year) if mine.year and other.year else None, "venue": venue_agreement(mine.venue, other.venue), "words": words}
+    found = {"title": title, "part": part, "own": own, "otherwise": talks, "authors": 1.0, "years": abs(mine.year - other.year) if mine.year and other.year else None, "venue": 1.0, "words": words}
+    if confidence(found) <= 0:
+        return None
+    return found | {"authors": author_agreement(mine.persons, other.persons), "venue": venue_agreement(mine.venue, other.venue)}
 
 
 #: Rows that may share a title before it says less about the work.
