@@ -26,7 +26,7 @@ others are rare, and likewise for the titles that many rows share.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -65,7 +65,7 @@ CROSS_ONE, CROSS_TWO = 6, 3
 SHARED_TITLE, SHARED_AUTHORS, SHARED, SHARED_NEAR = 0.78, 0.5, 1.2, 1.85
 #: Titles of fewer than `SHORT` words need only such a share.
 SHORT, SHARED_SHORT = 5, 0.5
-TITLE_BITS, AUTHOR_BITS = 256, 256
+TITLE_BITS, AUTHOR_BITS = 256, 128
 SEED = 20240229
 
 
@@ -205,16 +205,23 @@ def tables_for(bits: int) -> int:
     return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - min(0.9, max(1e-4, met)))))
 
 
+def hyperplanes(tables: int, bits: int) -> np.ndarray:
+    """The normals of all tables' hyperplanes, at right angles within a table, and of the sketch's."""
+    rng = np.random.default_rng(SEED + 1)
+    normals = [np.linalg.qr(rng.standard_normal((WIDTH, bits)))[0] for _ in range(tables)]
+    return np.concatenate([*normals, rng.standard_normal((WIDTH, SKETCH))], axis=1).astype(np.float32)
+
+
 class RecordVectors:
     """Vectors of records and their hyperplane hashes."""
 
-    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int, common: dict[int, int] | None = None):
-        self.vectors, self.frequency, self.bits = vectors, frequency, bits
+    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int, common: dict[int, int] | None = None, middle: np.ndarray | None = None):
+        self.vectors, self.frequency, self.bits = vectors.astype(np.float32), frequency, bits
         self.common = common or {}
         self.records = max(1, records)
-        rng = np.random.default_rng(SEED + 1)
         self.tables = tables_for(bits)
-        self.planes = rng.standard_normal((WIDTH, self.tables * bits + SKETCH)).astype(np.float32)
+        self.planes = hyperplanes(self.tables, bits)
+        self.middle = np.zeros(self.planes.shape[1], np.float32) if middle is None else middle
         self._forget()
 
     def _forget(self) -> None:
@@ -247,17 +254,18 @@ class RecordVectors:
             known = self.named[name] = tuple(self.row(t, True) for t in record_tokens(None, [name])[1])
         return known
 
-    def vectors_of(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def vectors_of(self, rows: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """The rows' vectors, and what their titles and authors are made of as bits, with the numbers of bits and of words."""
         if self.filled > 400_000:
             self._forget()
         title, people, title_at, people_at, words = [], [], [], [], []
+        known = self.at[0].get
         for row in rows:
-            t = record_tokens(row[0], None)[0]
+            t = {w for w in matchrules.words_of_title(row[0]) if len(w) > 1 or w.isdigit()}
             title_at.append(len(title))
             people_at.append(len(people))
             words.append(len(t))
-            title += [self.row(x, False) for x in t] or [0]
+            title += [known(x) or self.row(x, False) for x in t] or [0]
             people += {p for a in row[1] or () if a for p in self._person(a)} or [0]
         if not title_at:
             return np.zeros((0, WIDTH), np.float32), np.zeros((0, len(_MASKS)), np.int64)
@@ -267,10 +275,10 @@ class RecordVectors:
         counts = [np.bitwise_count(m.view(np.uint64)).sum(axis=1, dtype=np.int64) for m in masks]
         return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0][:, : TITLE_BITS // 64], masks[1][:, : AUTHOR_BITS // 64], np.stack([*counts, np.array(words, np.int64)], axis=1)], axis=1)
 
-    def project(self, rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' distances to all hyperplanes, and their bits."""
-        vectors, masks = self.vectors_of(rows)
-        return vectors @ self.planes, masks
+    def project(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' distances to all hyperplanes, and their bits; few at a time, which stay in the processor's cache."""
+        parts = [self.vectors_of(rows[i : i + 512]) for i in range(0, len(rows), 512)] or [self.vectors_of([])]
+        return np.concatenate([v @ self.planes - self.middle for v, _ in parts]), np.concatenate([m for _, m in parts])
 
     def hopeless(self, title: str | None, authors: list[str] | None) -> bool:
         """Whether so many rows share a title that without authors no other field can make a match."""
@@ -299,7 +307,9 @@ _HASHED = StructType([StructField("rec_no", LongType(), False), StructField("buc
 
 
 def title_key(title: str | None) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join((title or "").lower().split()))
+    """As Spark's xxhash64 of the title in lower case."""
+    n = xxhash.xxh64_intdigest((title or "").lower().encode("utf-8", "replace"), seed=42)
+    return n - (1 << 64) if n >> 63 else n
 
 
 def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
@@ -312,7 +322,7 @@ def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
             fine = [i for i, p in enumerate(pairs) if not vectors.hopeless(*p)]
             if not fine:
                 continue
-            far, masks = vectors.project(pairs[i] for i in fine)
+            far, masks = vectors.project([pairs[i] for i in fine])
             found = vectors.buckets(far, probe)
             s0, s1 = vectors.sketch(far)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
@@ -336,12 +346,8 @@ def token_frequency(rows: DataFrame) -> dict[str, int]:
 
 def title_frequency(rows: DataFrame) -> dict[int, int]:
     """How many rows have each of the titles that many rows share, over all rows."""
-    titles = rows.where("title is not null").groupBy(F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("n"))
-    many = titles.where(F.col("n") > matchrules.COMMON).orderBy(F.desc("n"), "title").limit(COMMON_TITLES).collect()
-    found: dict[int, int] = {}
-    for r in many:
-        found[title_key(r.title)] = found.get(title_key(r.title), 0) + r.n
-    return found
+    titles = rows.where("title is not null").groupBy(F.xxhash64(F.lower("title")).alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return {r.title: r.n for r in titles.where(F.col("n") > matchrules.COMMON).orderBy(F.desc("n"), "title").limit(COMMON_TITLES).collect()}
 
 
 def _sample(rows: DataFrame, n: int, total: int) -> list[tuple]:
@@ -399,9 +405,15 @@ def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, f
     n_left, n_right = left.count(), right.count()
     both = left.select("rec_no", *_FIELDS).unionByName(right.select("rec_no", *_FIELDS))
     sample = _sample(left, SAMPLED * 3 // 4, n_left) + _sample(right, SAMPLED // 4, n_right)
-    vectors = train_vectors([graph_tokens(*r) for r in sample])
+    vectors = train_vectors([graph_tokens(*r) for r in sample]).astype(np.float16)
     model = (vectors, token_frequency(both), n_left + n_right, index_bits(n_left), title_frequency(left))
-    return model, calibrate(RecordVectors(*model), sample)
+    filing = RecordVectors(*model)
+    weights = calibrate(filing, sample)
+    # each table's hyperplanes go through the middle of the sample, so that buckets are of like size; the sketch's through the origin, for the cosine
+    far = filing.project([r[:2] for r in sample])[0] if sample else np.zeros((1, filing.planes.shape[1]), np.float32)
+    middle = np.median(far, axis=0).astype(np.float32)
+    middle[-SKETCH:] = 0
+    return (*model, middle), weights
 
 
 def candidates(left: DataFrame, right: DataFrame, model: tuple | None = None) -> DataFrame:
@@ -499,11 +511,10 @@ def find_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     shared = left.sparkSession.sparkContext.broadcast((model[4], weights))
     fields = [F.array_join("authors", matchrules.BETWEEN).alias(f) if f == "authors" else F.col(f) for f in _FIELDS]
     mine = right.select(F.col("rec_no").alias("repo_rec_no"), *(c.alias(f"r_{f}") for c, f in zip(fields, _FIELDS, strict=True)))
-    described = pairs.join(left.select("rec_no", *fields), "rec_no").join(mine, "repo_rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))
+    described = pairs.join(mine, "repo_rec_no").join(left.select("rec_no", *fields), "rec_no").select("rec_no", "repo_rec_no", "cosine", *_FIELDS, *(f"r_{f}" for f in _FIELDS))
     kept = staged(_compared(described, shared))
-    keys = left.select("rec_no", doi_key(F.col("doi")).alias("doi"), "id")
-    keyed = kept.join(keys, "rec_no")
-    by_doi = keyed.where("doi is not null").groupBy("repo_rec_no", "doi").agg(F.max("confidence").alias("confidence")).join(keys.where("doi is not null").select("rec_no", "doi"), "doi")
-    by_id = keyed.where("id is not null").groupBy("repo_rec_no", "id").agg(F.max("confidence").alias("confidence")).join(keys.select("rec_no", "id"), "id")
-    every = kept.unionByName(by_doi.select("rec_no", "repo_rec_no", "confidence")).unionByName(by_id.select("rec_no", "repo_rec_no", "confidence"))
+    # rows with the same DOI or id as a matched one
+    keys = left.select("rec_no", F.explode(F.array(F.concat(F.lit("d"), doi_key(F.col("doi"))), F.concat(F.lit("i"), "id"))).alias("key")).where("key is not null")
+    by_key = kept.join(keys, "rec_no").groupBy("repo_rec_no", "key").agg(F.max("confidence").alias("confidence")).join(keys, "key")
+    every = kept.unionByName(by_key.select("rec_no", "repo_rec_no", "confidence"))
     return every.groupBy("rec_no", "repo_rec_no").agg(F.max("confidence").alias("confidence"))

@@ -28,17 +28,25 @@ _NOTE = re.compile(r"(?<=\S)\s*\[[^\[\]]{1,24}\]\s*$")
 _NUMERAL = re.compile(r"^(?:\d+|[ivx]{1,4})$")
 
 
-def title_words(title: str | None) -> tuple[list[str], bool, frozenset[int]]:
-    """(folded words, whether the title shows that it was cut, the numbers of words before a break)."""
-    text = repaired(title) or ""
-    cut = _CUT.search(text) is not None
+def _plain(text: str) -> str:
+    """A title, its damage undone, without marks and notes, folded."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     text = fold(text)
-    if text.endswith("]"):
-        text = _NOTE.sub("", text)
+    return _NOTE.sub("", text) if text.endswith("]") else text
+
+
+def words_of_title(title: str | None) -> list[str]:
+    return _WORD.findall(_plain(repaired(title) or ""))
+
+
+def title_words(title: str | None) -> tuple[list[str], bool, frozenset[int]]:
+    """(folded words, whether the title shows that it was cut, the numbers of words before a break)."""
+    text = repaired(title) or ""
+    cut = _CUT.search(text) is not None
+    text = _plain(text)
     words, breaks = [], set()
     end = 0
     for m in _WORD.finditer(text):
@@ -213,10 +221,6 @@ LEAST_TITLE = 0.6
 _title_words = lru_cache(maxsize=100_000)(title_words)
 
 
-def words_of_title(title: str | None) -> list[str]:
-    return _title_words(title)[0]
-
-
 @lru_cache(maxsize=100_000)
 def title_pair(mine: str, other: str) -> tuple[float, bool, int, bool, int] | None:
     """(agreement, part, own words, whether one talks of another work, words of the shorter) of two titles; None for titles far apart.
