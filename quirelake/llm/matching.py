@@ -46,7 +46,7 @@ SAMPLED = 12_000
 #: Buckets and dimensions of token vectors.
 SLOTS, WIDTH = 1 << 15, 128
 #: Rounds of training at most, walks from each record in one, and the gain of the loss below which training ends.
-ROUNDS, WALKS, SETTLED = 12, 6, 0.004
+ROUNDS, WALKS, SETTLED = 12, 4, 0.005
 #: Directions common to all trained vectors that are taken out.
 COMMON_DIRECTIONS = 40
 #: Tokens and titles whose frequency the workers hold.
@@ -255,7 +255,7 @@ class RecordVectors:
         return known
 
     def vectors_of(self, rows: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' vectors, and what their titles and authors are made of as bits, with the numbers of bits and of words."""
+        """The rows' vectors, and what their titles and authors are made of as bits, with the numbers of bits and, up to `SHORT`, of words in one."""
         if self.filled > 400_000:
             self._forget()
         title, people, title_at, people_at, words = [], [], [], [], []
@@ -273,7 +273,7 @@ class RecordVectors:
         sums = [unit(np.add.reduceat(self.known[rows_], at, axis=0)) for rows_, at in ((title, title_at), (people, people_at))]
         masks = [np.bitwise_or.reduceat(self.bits_of[rows_], at, axis=0) for rows_, at in ((title, title_at), (people, people_at))]
         counts = [np.bitwise_count(m.view(np.uint64)).sum(axis=1, dtype=np.int64) for m in masks]
-        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0][:, : TITLE_BITS // 64], masks[1][:, : AUTHOR_BITS // 64], np.stack([*counts, np.array(words, np.int64)], axis=1)], axis=1)
+        return unit(sums[0] + AUTHORS * sums[1]), np.concatenate([masks[0][:, : TITLE_BITS // 64], masks[1][:, : AUTHOR_BITS // 64], (counts[0] + (counts[1] << 16) + (np.minimum(words, SHORT) << 32))[:, None]], axis=1)
 
     def project(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """The rows' distances to all hyperplanes, and their bits; few at a time, which stay in the processor's cache."""
@@ -301,7 +301,7 @@ class RecordVectors:
 
 _FIELDS = ("title", "authors", "pub_year", "venue")
 _TITLE_MASKS, _AUTHOR_MASKS = tuple(f"t{i}" for i in range(TITLE_BITS // 64)), tuple(f"p{i}" for i in range(AUTHOR_BITS // 64))
-_MASKS = (*_TITLE_MASKS, *_AUTHOR_MASKS, "nt", "np", "words")
+_MASKS = (*_TITLE_MASKS, *_AUTHOR_MASKS, "sizes")
 # none of them is ever null, which spares the join a check of each
 _HASHED = StructType([StructField("rec_no", LongType(), False), StructField("buckets", ArrayType(LongType(), False), False), *(StructField(m, LongType(), False) for m in ("s0", "s1", *_MASKS))])
 
@@ -391,8 +391,8 @@ def _evidence(differ: Column) -> Column:
     """
     both = lambda masks: reduce(Column.__add__, [F.bit_count(F.col(m).bitwiseAND(F.col(f"r_{m}"))) for m in masks])
     title, people = both(_TITLE_MASKS), both(_AUTHOR_MASKS)
-    titles, peoples = F.greatest(F.least("nt", "r_nt"), F.lit(1)), F.least("np", "r_np")
-    short = F.least("words", "r_words") < SHORT
+    size = lambda at: F.least(*(F.shiftright(c, at).bitwiseAND(0xFFFF) for c in ("sizes", "r_sizes")))
+    titles, peoples, short = F.greatest(size(0), F.lit(1)), size(16), size(32) < SHORT
     # without authors nothing speaks against them
     rest = F.when(peoples == 0, 0.5).otherwise(0.5 * people / F.greatest(peoples, F.lit(1)))
     # about the cosine, by a straight line

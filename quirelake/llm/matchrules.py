@@ -112,6 +112,11 @@ def author_agreement(a: list, b: list) -> float | None:
     return sum(any(same_person(x, y) for t in x[0] for y in by_token.get(t, ())) or any(same_person(x, y) for y in b) for x in a) / len(a)
 
 
+def _mistyped(x: str, y: str, most: int) -> bool:
+    """Whether two words of titles are so many typing errors apart; each changes two letters of the set at most."""
+    return abs(len(x) - len(y)) <= most and len(_letters(x) ^ _letters(y)) <= 2 * most and not _NUMERAL.match(y) and edits(x, y, most) <= most
+
+
 def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int, bool]:
     """(agreement 0 to 1, whether one title is the beginning of the other, words that only `mine` has, whether a word that one of them lacks tells of another work).
 
@@ -142,7 +147,7 @@ def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int, bool]:
         at = None
         if not _NUMERAL.match(w) and len(w) > 2:
             most = 1 if len(w) < 5 else 2 if len(w) < 8 else 3
-            at = next((j for j in free if not _NUMERAL.match(wb[j]) and edits(w, wb[j], most) <= most), None)
+            at = next((j for j in free if _mistyped(w, wb[j], most)), None)
         if at is None and ca and i == len(wa) - 1 and not _NUMERAL.match(w):
             at = next((j for j in free if wb[j].startswith(w)), None)
         if at is None:
@@ -230,8 +235,7 @@ def title_pair(mine: str, other: str) -> tuple[float, bool, int, bool, int] | No
     """
     x, y = _title_words(mine), _title_words(other)
     a, b = x[0], y[0]
-    have, given = frozenset(a), frozenset(b)
-    if a != b and len(have - given) > MOST_STRANGE + 0.1 * len(a):
+    if a != b and len(set(a).difference(b)) > MOST_STRANGE + 0.1 * len(a):
         return None
     title, part, own, talks = title_agreement(x, y)
     if title < LEAST_TITLE:
