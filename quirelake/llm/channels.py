@@ -3,8 +3,8 @@
 A channel is a single-byte table through which the bytes of a text were read by
 mistake. Reading UTF-8 through such a table turns every character beyond ASCII
 into a lead and its continuations, which hardly ever stand together otherwise;
-`Channel.spans` finds them, and `unread` maps them back. `lattice` gives all
-readings of a damaged word, with wildcards for bytes that were lost.
+`Channel.sure` counts them, and `unread` maps them back. Readings with bytes
+lost are the business of `lattice`.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ import re
 from functools import lru_cache
 
 LOST = "\ufffd"
-#: Rounds of the same mistake that are undone.
-ROUNDS = 3
 
 # Single-byte tables through which UTF-8 is read by mistake.
 TABLES = ("cp1252", "cp1251", "mac-roman", "cp437", "cp850", "cp1250", "koi8-r", "cp866")
@@ -60,9 +58,7 @@ class Channel:
 
     def unread(self, text: str) -> str:
         """`text` with every span that is a common character under this table decoded again."""
-        text = self.pattern.sub(lambda m: self.decoded(m.group()) or m.group(), text)
-        # the no-break space that ends "à" is often tidied to a plain one
-        return text.replace("Ã ", "à") if self.name == "cp1252" else text
+        return self.pattern.sub(lambda m: self.decoded(m.group()) or m.group(), text)
 
     def sure(self, text: str) -> int:
         """How many characters of `text` stand in spans that nobody writes on purpose.

@@ -1,10 +1,12 @@
 """Finding text that was decoded wrongly, and restoring it.
 
-Method: noisy-channel decoding. The wrong readings that a damaged word can come
+Method: noisy-channel decoding. The wrong readings that a damaged text can come
 from are the paths of a byte lattice: one channel for each table through which
-the bytes may have been read (`channels`), and a wildcard for each byte that was
-lost. Viterbi search over the lattice picks the most probable original under
-the words of the corpus, and under its letter pairs for words it doesn't have.
+the bytes may have been read (`channels`), and wildcards for bytes that were
+lost (`lattice`). Viterbi search over the lattice picks the most probable
+original under the words of the corpus, and under its letter pairs for words it
+doesn't have. A reading through a table stands only if it makes the text more
+probable than it was as it stood; lost bytes are damage whatever they were.
 
 The lexicon is counted over all rows, from fields without damage that is plain
 to see. Only the `LEXICON_WORDS` most frequent words go to the workers: a bound
@@ -13,7 +15,6 @@ on a model's size, which no row depends on to be examined.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,113 +24,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.channels import LOST, ROUNDS, channels, confusions, cyrillic
+from quirelake.llm.channels import LOST, channels, confusions, cyrillic
+from quirelake.llm.held import held
+from quirelake.llm.lattice import CONTEXT, Lexicon, most_probable
 
-#: The most words of the corpus that the lexicon holds.
-LEXICON_WORDS = 60_000
-#: Natural logarithm of how much likelier another reading must be.
+#: The most words of the corpus, and places of special characters, that the lexicon holds.
+LEXICON_WORDS = 120_000
+#: Natural logarithm of how much likelier another script's reading must be.
 MARGIN = 6.0
+#: Mean logarithm of the probability of a letter from which a text of another script is natural as it stands.
+NATURAL = -1.8
 #: Distinct words a task counts before it hands them on.
 WORDS_AT_ONCE = 200_000
 
-#: First character of a lexicon key that is no word.
-CONTEXT = "\x00"
-
-_SPECIAL_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f\W\d_][^\W\d_]*")
+_WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[À-ÿ¸¨]{4,}")
 _BEYOND = re.compile(r"[^\x00-\x7f]{2,}")
-_FOREIGN = re.compile(r"[À-ÿ¸¨]{2,}")
+_FOREIGN_RUN = re.compile(r"[^\x00-\x7f]+")
+_STRANGE = re.compile(r"\S*[^\x00-\x7f]\S?[^\x00-\x7f]\S?[^\x00-\x7f]\S*")
 _CONTROL = re.compile("[\u0080-\u009f]")
-_ODD_CASE = re.compile(r"\b[а-яё][А-ЯЁ]{3,}\b")
-_UPPER = re.compile(r"[А-ЯЁ]{4,}")
-_CYRILLIC = re.compile(r"[А-яЁё]{3,}")
 _SPECIAL_BETWEEN = re.compile(r"(?=([^\x00].[^\x00]))(?=.[^\x00-\x7f])", re.S)
 _DIGIT = re.compile(r"\d")
-_TOKEN = re.compile(rf"[^\W\d_]*{LOST}[\w{LOST}]*")
-
-
-class Lexicon:
-    """Words of the corpus with their counts, their letter pairs, and where each special character stands.
-
-    `counts` has words as they are written, and under a key that starts with
-    `CONTEXT` a special character between its neighbours.
-    """
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts: Counter[str] = Counter()
-        self.masked: dict[str, tuple[int, str]] = {}
-        self.context: dict[str, tuple[int, str]] = {}
-        for word, n in counts.items():
-            if word[0] == CONTEXT:
-                at = word[1] + word[3]
-                self.context[at] = max(self.context.get(at, (0, "")), (n, word[2]))
-                continue
-            self.counts[word.lower()] += n
-            mask = "".join(LOST if ord(c) > 127 else c for c in word)
-            self.masked[mask] = max(self.masked.get(mask, (0, "")), (n, word))
-        self.total = sum(self.counts.values()) or 1
-        pairs: Counter[str] = Counter()
-        firsts: Counter[str] = Counter()
-        for word, n in self.counts.items():
-            text = f"^{word}$"
-            for a, b in zip(text, text[1:], strict=False):
-                pairs[a + b] += n
-                firsts[a] += n
-        letters = sorted({c for w in self.counts for c in w})
-        self.special = [c for c in letters if ord(c) > 127]
-        self.pairs = {p: math.log((n + 0.01) / (firsts[p[0]] + 0.01 * (len(letters) + 1))) for p, n in pairs.items()}
-        self.floor = {a: math.log(0.01 / (n + 0.01 * (len(letters) + 1))) for a, n in firsts.items()}
-
-    def pair(self, a: str, b: str) -> float:
-        return self.pairs.get(a + b) or self.floor.get(a, -12.0)
-
-    def score(self, word: str) -> float:
-        """Logarithm of the word's probability."""
-        low = word.lower()
-        text = f"^{low}$"
-        spelled = sum(self.pair(a, b) for a, b in zip(text, text[1:], strict=False))
-        n = self.counts.get(low, 0)
-        return max(spelled - 2.0, math.log(n / self.total)) if n else spelled - 2.0
-
-    def restore(self, text: str) -> str:
-        """`text` with the most probable characters in place of the lost ones.
-
-        Each lost character is a wildcard of the lattice. A word that the
-        corpus has in that shape wins; else the character that stands between
-        such neighbours most often, and for letters within a word the Viterbi
-        path over letter pairs.
-        """
-        text = _TOKEN.sub(lambda m: self._word(m.group()), text)
-        if LOST not in text:
-            return text
-        padded = f" {text} "
-        for i in range(1, len(padded) - 1):
-            if padded[i] == LOST:
-                best = self.context.get(_neighbour(padded[i - 1]) + _neighbour(padded[i + 1]))
-                if best:
-                    padded = padded[:i] + best[1] + padded[i + 1 :]
-        return _TOKEN.sub(lambda m: self._viterbi(m.group()), padded[1:-1])
-
-    def _word(self, token: str) -> str:
-        known = self.masked.get(token)
-        if known is None and token[:1].isupper():
-            known = self.masked.get(token.lower())
-            known = known and (known[0], token[0] + known[1][1:])
-        return known[1] if known else token
-
-    def _viterbi(self, word: str) -> str:
-        if not self.special:
-            return word
-        paths = {"^": (0.0, "")}
-        for c in word.lower():
-            options = self.special if c == LOST else [c]
-            paths = {o: max((s + self.pair(a, o), t + o) for a, (s, t) in paths.items()) for o in options}
-        found = max((s + self.pair(a, "$"), t) for a, (s, t) in paths.items())[1]
-        return "".join(f if w == LOST else w for w, f in zip(word, found, strict=True))
-
-
-def _neighbour(char: str) -> str:
-    return "0" if char.isdigit() else char
+_TOKEN = re.compile(rf"\S*{LOST}\S*")
+_LOST_ALONE = re.compile(rf"(?<!{LOST})(?<![À-ÿ]){LOST}(?!{LOST})")
+# "à" whose second byte, a no-break space, became a plain one
+_BARE_LEAD = re.compile(r"(\w*)Ã ([^\W\d_]*)")
 
 
 @lru_cache(maxsize=200_000)
@@ -139,11 +58,11 @@ def _may_be_utf8(run: str) -> bool:
 
 
 def unread_utf8(text: str) -> tuple[str, bool]:
-    """`text` with UTF-8 that was read through other tables decoded, and whether there was any."""
+    """`text` with UTF-8 that was read through other tables decoded, as often as that happened, and whether there was any."""
     if not any(_may_be_utf8(run) for run in set(_BEYOND.findall(text))):
         return text, False
     found = False
-    for _ in range(ROUNDS):
+    while True:  # each round makes the text shorter
         best, most = None, 0
         for channel in channels():
             n = channel.sure(text)
@@ -151,37 +70,65 @@ def unread_utf8(text: str) -> tuple[str, bool]:
                 best, most = channel, n
         if best is None:
             return text, found
-        text, found = best.unread(text), True
-    return text, found
+        less = best.unread(text)
+        if len(less) >= len(text):
+            return text, found
+        text, found = less, True
+
+
+def _tidied(text: str, lexicon: Lexicon | None) -> str:
+    """`text` with the "à" back whose no-break space is a plain one now; the words of the corpus tell whether a space follows."""
+
+    def put(m: re.Match) -> str:
+        before, after = m.groups()
+        if not after:
+            return before + "à"
+        joined = lexicon is not None and lexicon.score(before + "à" + after) > lexicon.score(before + "à") + lexicon.score(after)
+        return before + "à" + ("" if joined else " ") + after
+
+    return _BARE_LEAD.sub(put, text)
 
 
 def _confused(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     """Text of another script that was read through the table of a third one."""
-    if _RUN.search(text):
-        span = _FOREIGN
-    elif _ODD_CASE.search(text) or _UPPER.search(text):
-        span = _CYRILLIC
-    else:
+    words = [w for w in set(_STRANGE.findall(text)) if 2 * sum(c > "\x7f" for c in w) > len(w)]
+    if not words:
+        return text, False
+    plain = sum(lexicon.weigh(w) - 4.0 * _odd(w) for w in words)
+    if plain > NATURAL * sum(map(len, words)):
         return text, False
-    words = span.findall(text)
-    plain = sum(lexicon.score(w) for w in words)
     best, gain = None, MARGIN
     for _, _, table in confusions():
         readings = [w.translate(table) for w in words]
-        if not all(cyrillic(c) for r in readings for c in r if c.isalpha()):
+        letters = [c for r in readings for c in r if c > "\x7f"]
+        if 4 * sum(map(cyrillic, letters)) < 3 * len(letters) or any(c.isalpha() and not cyrillic(c) for c in letters):
             continue
         # an unusual mix of capitals costs as much as a rare letter pair
-        score = sum(lexicon.score(r) - 4.0 * _odd(r) for r in readings)
-        if score - (plain - 4.0 * sum(map(_odd, words))) > gain:
-            best, gain = table, score - (plain - 4.0 * sum(map(_odd, words)))
+        better = sum(lexicon.weigh(r) - 4.0 * _odd(r) for r in readings) - plain
+        if better > gain:
+            best, gain = table, better
     if best is None:
         return text, False
-    low = re.compile(r"[À-ÿ¸¨]+") if span is _FOREIGN else re.compile(r"[А-яЁё]+")
-    return low.sub(lambda m: m.group().translate(best), text), True
+    return _FOREIGN_RUN.sub(lambda m: _translated(text, m, best), text), True
+
+
+def _translated(text: str, run: re.Match, table: dict[int, str]) -> str:
+    """A run of characters beyond ASCII read through `table`, if that gives the other script and no Latin letter touches it."""
+    reading = run.group().translate(table)
+    beside = text[max(0, run.start() - 1) : run.start()] + text[run.end() : run.end() + 1]
+    fine = any(map(cyrillic, reading)) and all(cyrillic(c) or not c.isalpha() for c in reading) and not any(c.isascii() and c.isalpha() for c in beside)
+    return reading if fine else run.group()
 
 
 def _odd(word: str) -> bool:
-    return len(word) > 2 and not (word.islower() or word.isupper() or word[1:].islower())
+    bare = "".join(c for c in word if c.isalpha())
+    return len(bare) > 2 and not (bare.islower() or bare.isupper() or bare[1:].islower())
+
+
+def _gain(before: str, after: str, lexicon: Lexicon) -> float:
+    """How much more probable a text became, by the tokens that changed."""
+    old, new = Counter(before.split()), Counter(after.split())
+    return sum(n * lexicon.weigh(t) for t, n in (new - old).items()) - sum(n * lexicon.weigh(t) for t, n in (old - new).items())
 
 
 def examine(text: str, lexicon: Lexicon | None = None) -> tuple[str, bool]:
@@ -195,18 +142,25 @@ def examine(text: str, lexicon: Lexicon | None = None) -> tuple[str, bool]:
     lost = LOST in text
     damaged = lost or _CONTROL.search(text) is not None
     restored, unread = unread_utf8(text)
-    damaged = damaged or unread
-    if lexicon is not None:
-        restored, confused = _confused(restored, lexicon)
-        damaged = damaged or confused
-        if lost:
-            restored = lexicon.restore(restored)
-    return restored, damaged
+    if unread:
+        restored = _tidied(restored, lexicon)
+    if lexicon is None:
+        return restored, damaged or unread
+    if unread and not damaged and _gain(text, restored, lexicon) <= 0:
+        restored, unread = text, False
+    other, confused = _confused(text, lexicon)
+    if confused and (not unread or _gain(restored, other, lexicon) > 0):
+        restored = other
+    if lost:
+        # a text whose lost signs stand alone lost one for each character
+        merged = not _LOST_ALONE.search(restored)
+        restored = _TOKEN.sub(lambda m: most_probable(m.group(), lexicon, merged), restored)
+    return restored, damaged or unread or confused
 
 
 def repaired(text: str | None) -> str | None:
     """`text` with plainly wrong decodings undone; for operators that compare texts."""
-    return text if text is None or text.isascii() else unread_utf8(text)[0]
+    return text if text is None or text.isascii() else examine(text)[0]
 
 
 def _texts(value) -> list[str]:
@@ -214,7 +168,7 @@ def _texts(value) -> list[str]:
 
 
 def learn_lexicon(rows: DataFrame, fields: tuple[str, ...], most: int = LEXICON_WORDS) -> dict[str, int]:
-    """Counts of the corpus words with letters beyond ASCII, and of the places of special characters, over all rows."""
+    """Counts of the words of the corpus, and of the places of special characters, over all rows."""
     taken = rows.select(*fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +178,10 @@ def learn_lexicon(rows: DataFrame, fields: tuple[str, ...], most: int = LEXICON_
             for column in batch.columns:
                 for value in column.to_pylist():
                     for text in _texts(value):
-                        if not text.isascii() and LOST not in text and not _CONTROL.search(text) and not _RUN.search(text) and not unread_utf8(text)[1]:
-                            words.update(_SPECIAL_WORD.findall(text))
+                        if text.isascii():
+                            words.update(_WORD.findall(text))
+                        elif LOST not in text and not _CONTROL.search(text) and not _RUN.search(text) and not unread_utf8(text)[1]:
+                            words.update(_WORD.findall(text))
                             places.update(_SPECIAL_BETWEEN.findall(f" {text} "))
             if len(words) > WORDS_AT_ONCE:
                 yield _counted(words, places)
@@ -243,9 +199,6 @@ def _counted(words: Counter[str], places: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-_lexicons: dict[int, Lexicon] = {}
-
-
 def find_damage(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field_name, damaged, restored) of each field in which text was decoded wrongly.
 
@@ -260,11 +213,7 @@ def find_damage(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame
     taken = rows.select(rows[key].alias("__key"), *(rows[f].alias(f"__f{i}") for i, f in enumerate(fields)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = id(shared.value)
-        if number not in _lexicons:
-            _lexicons.clear()
-            _lexicons[number] = Lexicon(shared.value)
-        lexicon = _lexicons[number]
+        lexicon = held("lexicon", shared.value, Lexicon)
         for batch in batches:
             at, names, before, after = [], [], [], []
             for name, column in zip(fields, batch.columns[1:], strict=True):
