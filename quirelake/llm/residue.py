@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import residue_seeds
+from quirelake.llm.held import held
 
 BITS = 18
 #: Log likelihood ratio a character from which a line, and from which a sentence among others, is residue.
@@ -35,7 +36,7 @@ LINE_RATIO = 0.35
 #: Lines under so many characters need a higher ratio, as titles and menus do too.
 SHORT, SHORT_RATIO = 30, 1.2
 #: Ratio of a line's first characters from which it is filler, if what follows is no prose.
-OPENING, OPENING_RATIO = 24, 1.8
+OPENING, OPENING_RATIO = 24, 1.6
 SENTENCE_RATIO = 0.9
 #: A sentence is plain prose below this ratio, if its probability a character is not so far below the corpus's mean.
 PROSE_RATIO = -0.4
@@ -43,6 +44,8 @@ STRANGE = 2.0
 #: Ratio of a whole window, in nats, that residue needs.
 WEIGHT = 14.0
 _SMOOTH = 0.05
+#: Grams that are looked up at once, and characters of the documents that are taken together.
+BLOCK, TOGETHER = 1 << 19, 300_000
 
 _SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d")
@@ -67,9 +70,15 @@ _BIBTEX = re.compile(r"\w\s*=\s*\{*$")
 
 def grams(text: str) -> np.ndarray:
     """Buckets of the 4-grams of a text, one for each character."""
-    codes = np.frombuffer(f"  {text} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer(f"  {text} ".encode("utf-32-le", "replace"), np.uint32)
     if len(codes) < 4:
         return np.zeros(0, np.int64)
+    return buckets(codes)
+
+
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """Buckets of the 4-grams of code points."""
+    codes = codes.astype(np.uint64)
     mixed = codes[:-3] * np.uint64(0x9E3779B97F4A7C15) ^ codes[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ codes[2:-1] * np.uint64(0x165667B19E3779F9) ^ codes[3:] * np.uint64(0x27D4EB2F165667C5)
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
@@ -126,42 +135,87 @@ class ResidueModel:
         seeds.append(sum(seeds))
         self.ratios = np.stack([np.log(0.7 * c / c.sum() + 0.3 * np.exp(background) + 1e-7) - background for c in seeds]).astype(np.float32)
 
-    def ratio(self, text: str) -> tuple[float, int]:
-        """(mean ratio a character of the best residue model, characters)."""
-        at = grams(plain(text))
-        if not len(at):
-            return 0.0, 0
-        return float(self.ratios[:, at].mean(axis=1).max()), len(at)
-
-    def natural(self, text: str) -> bool:
-        """Whether a text is about as probable as prose is on average."""
-        at = grams(plain(text))
-        return len(at) > 0 and float(self.background[at].mean()) > self.mean - STRANGE
-
-    def windows(self, text: str) -> list[tuple[int, str]]:
-        """(characters, kind) of each residue window of a text."""
-        found = [(len(s), "slot") for s in slots(text)]
-        for line in lines_of(text):
-            bare = _MARKUP.sub(" ", line)
-            if not _LETTER.search(bare):
-                continue
-            mean, size = self.ratio(bare)
-            parts = _SENTENCE.split(bare)
-            if len(parts) == 1:
-                least = SHORT_RATIO if size < SHORT else LINE_RATIO
-                start = bare.lstrip()
-                opens = mean < least and len(start) > OPENING and self.ratio(start[:OPENING])[0] >= OPENING_RATIO and not self.natural(start[OPENING:])
-                if (mean >= least and mean * size >= WEIGHT or opens) and not talks(bare):
-                    found.append((len(line), "line"))
-                continue
-            scored = [(p, *self.ratio(p)) for p in parts if p.strip()]
-            prose = any(m < PROSE_RATIO and n > 40 and self.natural(p) for p, m, n in scored)
-            if not prose and mean >= LINE_RATIO and mean * size >= WEIGHT:
-                found.append((len(line), "line"))
-            elif not prose:
-                found += [(len(p), "sentence") for p, m, n in scored if m >= SENTENCE_RATIO and m * n >= WEIGHT and not talks(p)]
+        self.table = np.concatenate([self.ratios, self.background[None]])
+
+    def sums(self, flat: str, bounds: np.ndarray) -> np.ndarray:
+        """Sums of the ratios to each residue model, and of the logarithm of prose, over the grams that begin between neighbouring bounds."""
+        codes = np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32)
+        out = np.zeros((len(self.table), len(bounds) - 1))
+        for start in range(0, int(bounds[-1]), BLOCK):
+            at = buckets(codes[start : min(start + BLOCK, int(bounds[-1])) + 3])
+            first, last = np.searchsorted(bounds, start, "right") - 1, np.searchsorted(bounds, start + len(at), "left")
+            out[:, first:last] += np.add.reduceat(self.table[:, at], np.maximum(bounds[first:last], start) - start, axis=1)
+        return out
+
+    def windows(self, texts: list[str]) -> list[list[tuple[int, str]]]:
+        """(characters, kind) of each residue window of each text.
+
+        The grams of all texts are looked up together; what a window has is a
+        sum over a stretch of them. Lines without a stretch that reaches a
+        threshold, nearly all, need no further look.
+        """
+        found = [[(len(s), "slot") for s in slots(t)] for t in texts]
+        flat: list[str] = []
+        bounds: list[int] = [0]
+        lines: list[tuple[int, str, list[str], list[int]]] = []
+        place = 0
+        for i, text in enumerate(texts):
+            for line in lines_of(text):
+                bare = _MARKUP.sub(" ", line)
+                if not _LETTER.search(bare):
+                    continue
+                parts = [p for p in _SENTENCE.split(bare) if p.strip()]
+                bodies = [plain(p) for p in parts]
+                at = []
+                here = place
+                for k, body in enumerate(bodies):
+                    at.append(len(bounds) - 1)
+                    if len(bodies) == 1 and len(body) > OPENING:
+                        bounds.append(here + OPENING)
+                    # the space between two sentences belongs to the first
+                    here += len(body) + (k < len(bodies) - 1)
+                    bounds.append(here)
+                at.append(len(bounds) - 1)
+                joined = " ".join(bodies)
+                flat.append(f"  {joined} ")
+                place += len(joined) + 3
+                bounds.append(place)
+                lines.append((i, line, parts, at))
+        if not lines:
+            return found
+        edges = np.array(bounds, np.int64)
+        sums, sizes = self.sums("".join(flat), edges), np.diff(edges)
+        best = sums[:-1].max(axis=0) / sizes
+        starts, ends = np.array([x[3][0] for x in lines]), np.array([x[3][-1] for x in lines])
+        reach = np.concatenate([np.zeros((len(sums), 1)), np.cumsum(sums, axis=1)], axis=1)
+        length = edges[ends] - edges[starts]
+        mean = (reach[:-1, ends] - reach[:-1, starts]).max(axis=0) / length
+        top = np.maximum.reduceat(np.append(best, 0.0), np.stack([starts, ends], axis=1).ravel())[::2]
+        for k in np.flatnonzero((mean >= LINE_RATIO) | (top >= SENTENCE_RATIO)):
+            i, line, parts, at = lines[k]
+            found[i] += self._judged(line, parts, at, float(mean[k]), int(length[k]), sums, sizes)
         return found
 
+    def _judged(self, line: str, parts: list[str], at: list[int], mean: float, size: int, sums: np.ndarray, sizes: np.ndarray) -> list[tuple[int, str]]:
+        """(characters, kind) of the residue windows of a line, from the sums over its parts."""
+
+        def of(a: int, b: int) -> tuple[float, int, bool]:
+            """(mean ratio of the best residue model, characters, whether they are about as probable as prose is on average)."""
+            n = int(sizes[a:b].sum())
+            total = sums[:, a:b].sum(axis=1)
+            return float(total[:-1].max()) / n, n, float(total[-1]) / n > self.mean - STRANGE
+
+        if len(parts) == 1:
+            least = SHORT_RATIO if size < SHORT else LINE_RATIO
+            opens = mean < least and at[1] - at[0] == 2 and of(at[0], at[0] + 1)[0] >= OPENING_RATIO and not of(at[0] + 1, at[1])[2]
+            return [(len(line), "line")] if (mean >= least and mean * size >= WEIGHT or opens) and not talks(parts[0]) else []
+        scored = [(p, *of(a, b)) for p, a, b in zip(parts, at, at[1:], strict=False)]
+        if any(m < PROSE_RATIO and n > 40 and natural for _, m, n, natural in scored):
+            return []
+        if mean >= LINE_RATIO and mean * size >= WEIGHT:
+            return [(len(line), "line")]
+        return [(len(p), "sentence") for p, m, n, _ in scored if m >= SENTENCE_RATIO and m * n >= WEIGHT and not talks(p)]
+
 
 def lines_of(text: str) -> list[str]:
     """The lines of a text; words that stand one a line are taken together."""
@@ -193,40 +247,49 @@ def slots(text: str) -> list[str]:
     return found
 
 
-_models: dict[int, ResidueModel] = {}
-
-
-def find_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
+def find_residue(docs: DataFrame, key: str, text: str, least: float = 0.0) -> DataFrame:
     """(key, coverage, kinds) of each document in which residue stands for content.
 
     coverage is the share of the text's characters in residue windows, kinds
-    names the windows found. Null, empty and blank texts are never residue;
-    repeated documents count by themselves; an empty table gives an empty one.
-    Texts are read whole; other columns aren't read.
+    names the windows found; documents with a coverage of `least` or more come
+    out, by default all that have a window, since a single unfilled slot spoils
+    a document. Null, empty and blank texts are never residue; repeated
+    documents count by themselves; an empty table gives an empty one. Texts are
+    read whole; other columns aren't read.
     """
     filled = docs.where(F.trim(F.regexp_replace(docs[text], r"\s+", " ")) != "").select(docs[key].alias("key"), docs[text].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(prose_counts(filled, "text"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = id(shared.value)
-        if number not in _models:
-            _models.clear()
-            _models[number] = ResidueModel(shared.value)
-        model = _models[number]
+        model = held("residue", shared.value, ResidueModel)
         for batch in batches:
             at, cover, kinds = [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                windows = model.windows(value)
-                if windows:
-                    at.append(i)
-                    cover.append(min(1.0, sum(n for n, _ in windows) / len(value)))
-                    kinds.append(",".join(sorted({k for _, k in windows})))
+            texts = batch.column(1).to_pylist()
+            for first, some in _together(texts):
+                for i, windows in enumerate(model.windows(some), first):
+                    share = min(1.0, sum(n for n, _ in windows) / len(texts[i]))
+                    if windows and share >= least:
+                        at.append(i)
+                        cover.append(share)
+                        kinds.append(",".join(sorted({k for _, k in windows})))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cover, pa.float64()), pa.array(kinds, pa.string())], names=["key", "coverage", "kinds"])
 
     return filled.mapInArrow(run, f"key {kind}, coverage double, kinds string")
 
 
+def _together(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of stretches of about `TOGETHER` characters, or one text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= TOGETHER:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def without_residue(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """`docs` without the documents in `found`; rows with a null key stay."""
     return docs.join(found.select(F.col("key").alias(key)), key, "left_anti")
