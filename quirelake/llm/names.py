@@ -22,7 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
 import pyarrow as pa
 import xxhash
@@ -33,14 +33,15 @@ from quirelake.llm.canon import edits
 from quirelake.llm.mojibake import repaired
 from quirelake.operators.staging import staged
 
-#: Tokens with their roles that the workers hold, most widespread first; tokens beyond are taken as unknown.
-KNOWN_TOKENS = 200_000
 #: Characters of a token that are filed, and deletions among them.
 FILED, DELETIONS = 7, 2
-#: Partners a token must have to count as an established given name.
-GIVEN_PARTNERS = 3
-#: Partners that no family name has.
-WIDESPREAD = 12
+#: Partners that an established given name, and that no family name has: so many at least, and such a share of what given names typically have.
+GIVEN_PARTNERS, GIVEN_SHARE = 3, 0.01
+WIDESPREAD, WIDE_SHARE = 12, 0.05
+#: How many times as large a family must be as one of several names that is taken for a spelling of it.
+LARGER = 5
+#: Pointers are followed in steps that double; no chain is longer than two to this power.
+MOST_JUMPS = 40
 
 # Letters that have no accent to take off.
 _LETTERS = str.maketrans({"ø": "o", "đ": "d", "ð": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "ħ": "h", "ŧ": "t"})
@@ -158,14 +159,44 @@ def alignment_cost(a: list[str], b: list[str]) -> float:
     """Least total cost of assigning the tokens of the shorter name to those of the longer; spare whole tokens cost too."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > 6:
-        return 0.0 if sorted(a) == sorted(b) else sum(min(token_cost(x, y) for y in b) for x in a) + len(b) - len(a)
-    best = 9.0
-    for chosen in permutations(range(len(b)), len(a)):
-        cost = sum(token_cost(x, b[j]) for x, j in zip(a, chosen, strict=True))
-        cost += sum(0.2 if len(b[j]) == 1 else 3.0 for j in range(len(b)) if j not in chosen)
-        best = min(best, cost)
-    return best
+    if a == b:
+        return 0.0
+    spare = [0.2 if len(y) == 1 else 3.0 for y in b]
+    # spare tokens are assigned to nothing
+    costs = [[token_cost(x, y) for y in b] for x in a] + [spare] * (len(b) - len(a))
+    return least_assignment(costs)
+
+
+def least_assignment(costs: list[list[float]]) -> float:
+    """Least total cost of assigning each row of a square matrix to a column of its own, by shortest augmenting paths."""
+    n = len(costs)
+    row_price, column_price, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)
+    for row in range(n):
+        owner[n], at = row, n
+        reach, before, done = [float("inf")] * (n + 1), [n] * (n + 1), [False] * (n + 1)
+        while True:
+            done[at] = True
+            i = owner[at]
+            step, to = float("inf"), n
+            for j in range(n):
+                if not done[j]:
+                    cost = costs[i][j] - row_price[i] - column_price[j]
+                    if cost < reach[j]:
+                        reach[j], before[j] = cost, at
+                    if reach[j] < step:
+                        step, to = reach[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    row_price[owner[j]] += step
+                    column_price[j] -= step
+                else:
+                    reach[j] -= step
+            at = to
+            if owner[at] == n:
+                break
+        while at != n:
+            owner[at], at = owner[before[at]], before[at]
+    return sum(costs[owner[j]][j] for j in range(n))
 
 
 def _token_facts(names: DataFrame) -> DataFrame:
@@ -191,8 +222,12 @@ def _token_facts(names: DataFrame) -> DataFrame:
     return once.groupBy("token").agg(F.count(F.when(F.col("other") != "", 1)).alias("partners"), F.sum("s").alias("surname"), F.sum("g").alias("given"))
 
 
-def split_roles(full: list[str], hint: str, facts: dict[str, tuple[int, int, int]]) -> list[tuple[str, str]]:
-    """(surname, given) readings of two full tokens or more, one if the tokens or the form decide."""
+#: What is known of a token that stands nowhere else.
+_UNKNOWN = (1, 0, 0)
+
+
+def split_roles(full: list[str], hint: str, first: tuple[int, int, int], second: tuple[int, int, int], widespread: float = WIDESPREAD) -> list[tuple[str, str]]:
+    """(surname, given) readings of two full tokens or more, one if the tokens or the form decide; `first` and `second` are the facts of the tokens."""
     if hint in full:
         rest = [t for t in full if t != hint]
         return [(hint, " ".join(rest))]
@@ -200,28 +235,46 @@ def split_roles(full: list[str], hint: str, facts: dict[str, tuple[int, int, int
         return [(full[-1], " ".join(full[:-1]))]
     a, b = full
 
-    def facing(t: str, other: str) -> bool:
-        """Whether the forms and partners of `t` show a given name beside `other`."""
-        (p, s, g), (q, r, h) = facts.get(t, (1, 0, 0)), facts.get(other, (1, 0, 0))
-        return p * (1 + 2 * g) / (1 + 2 * s) > 1.8 * q * (1 + 2 * h) / (1 + 2 * r) and (p >= WIDESPREAD or g > s or r > h)
+    def facing(one: tuple[int, int, int], other: tuple[int, int, int]) -> bool:
+        """Whether the forms and partners of a token show a given name beside the other."""
+        (p, s, g), (q, r, h) = one, other
+        return p * (1 + 2 * g) / (1 + 2 * s) > 1.8 * q * (1 + 2 * h) / (1 + 2 * r) and (p >= widespread or g > s or r > h)
 
-    if facing(a, b):
+    if facing(first, second):
         return [(b, a)]
-    if facing(b, a):
+    if facing(second, first):
         return [(a, b)]
     return [(b, a), (a, b)]
 
 
-def _types(names: DataFrame, shared) -> DataFrame:
+def _read(names: DataFrame) -> DataFrame:
+    """(name, n, full, mid, hint, group, one, two): the parts of each spelling; `one` and `two` are its tokens where they are two of unknown role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fulls, mids, hints, groups, ones, twos = [], [], [], [], [], []
+            for name in batch.column(0).to_pylist():
+                full, initials, hint, group = read_name(name)
+                open_ = not group and len(full) == 2 and hint not in full
+                fulls.append(full)
+                mids.append("".join(initials))
+                hints.append(hint)
+                groups.append(group)
+                ones.append(full[0] if open_ else None)
+                twos.append(full[1] if open_ else None)
+            columns = [pa.array(fulls, pa.list_(pa.string())), pa.array(mids, pa.string()), pa.array(hints, pa.string()), pa.array(groups, pa.bool_()), pa.array(ones, pa.string()), pa.array(twos, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["name", "n", "full", "mid", "hint", "group", "one", "two"])
+
+    return names.select("name", "n").mapInArrow(run, "name string, n bigint, full array<string>, mid string, hint string, group boolean, one string, two string")
+
+
+def _types(names: DataFrame, facts: DataFrame, widespread: float) -> DataFrame:
     """(name, n, kind, surname, given, mid, first, rank): the readings of each spelling; rank 0 is the likelier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                full, initials, hint, group = read_name(name)
-                mid = "".join(initials)
+            for name, n, full, mid, hint, group, *known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group:
                     out.append((name, n, "group", " ".join(full), "", "", "", 0))
                 elif not full:
@@ -229,53 +282,64 @@ def _types(names: DataFrame, shared) -> DataFrame:
                 elif len(full) == 1:
                     out.append((name, n, "initials" if mid else "single", full[0], "", mid[1:], mid[:1], 0))
                 else:
-                    for rank, (surname, given) in enumerate(split_roles(full, hint, facts)):
+                    one, two = (tuple(known[k : k + 3]) if known[k] is not None else _UNKNOWN for k in (0, 3))
+                    for rank, (surname, given) in enumerate(split_roles(full, hint, one, two, widespread)):
                         out.append((name, n, "full", surname, given, mid, given[0], rank))
             columns = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["name", "n", "kind", "surname", "given", "mid", "first", "rank"])
 
-    return names.mapInArrow(run, "name string, n bigint, kind string, surname string, given string, mid string, first string, rank int")
+    read = _read(names)
+    of = lambda side: facts.select(F.col("token").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("partners", "surname", "given")))
+    joined = read.join(of("one"), "one", "left").join(of("two"), "two", "left")
+    taken = joined.select("name", "n", "full", "mid", "hint", "group", *(f"{side}_{c}" for side in ("one", "two") for c in ("partners", "surname", "given")))
+    return taken.mapInArrow(run, "name string, n bigint, kind string, surname string, given string, mid string, first string, rank int")
 
 
-def _filed(types: DataFrame, shared) -> DataFrame:
-    """(file, id, side): the index entries of each type.
+_FILE = "file bigint, id bigint, side tinyint, kind tinyint, family bigint, alone boolean"
+
+
+def _filed(types: DataFrame, established: float) -> DataFrame:
+    """(file, id, side, kind, family, alone): the index entries of each type.
 
     A type is filed by its mistyped surname with the given name or the initial
     in the file's key, by its mistyped given name with the surname there, and a
     group by each of its words with the other words there. Entries of side 1
     only look for others, those of side 0 are only found, those of side 2 both:
-    a short form looks for its formal name, never the other way round.
+    a short form looks for its formal name, never the other way round. kind is
+    1 for initials, 2 for full names, 0 for groups; family tells the surname,
+    alone whether no more than one full name has it. So pairs that can't attach
+    are left out while entries meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = shared.value
         for batch in batches:
-            files, ids, sides = [], [], []
+            files, ids, sides, kinds, families, lone = [], [], [], [], [], []
 
-            def put(side: int, who: int, kind: str, agreed: str, token: str) -> None:
-                for f in filings(token):  # noqa: B023
-                    files.append(key_hash(kind, agreed, f))  # noqa: B023
-                    ids.append(who)  # noqa: B023
-                    sides.append(side)  # noqa: B023
+            def put(side: int, who: int, kind: str, agreed: str, token: str, code: int, family: int, alone: bool) -> None:
+                found = filings(token)
+                files.extend(key_hash(kind, agreed, f) for f in found)  # noqa: B023
+                for values, value in ((ids, who), (sides, side), (kinds, code), (families, family), (lone, alone)):  # noqa: B023
+                    values.extend([value] * len(found))
 
-            for who, kind, surname, given, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for who, kind, surname, given, first, partners, family_size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rest = (key_hash(surname), family_size <= 1)
                 if kind == "full":
-                    put(2, who, "s", given, surname)
+                    put(2, who, "s", given, surname, 2, *rest)
                     for formal in formal_names().get(given, ()):
-                        put(1, who, "s", formal, surname)
-                    doubtful = facts.get(given, (1, 0, 0))[0] < GIVEN_PARTNERS and given not in established_names()
-                    put(2 * doubtful, who, "g", surname, given)
-                    put(2 * doubtful, who, "i", first, surname)
+                        put(1, who, "s", formal, surname, 2, *rest)
+                    doubtful = (partners or 1) < established and given not in established_names()
+                    put(2 * doubtful, who, "g", surname, given, 2, *rest)
+                    put(2 * doubtful, who, "i", first, surname, 2, *rest)
                 elif kind == "initials":
-                    put(1, who, "i", first, surname)
+                    put(1, who, "i", first, surname, 1, *rest)
                 elif kind == "group":
                     words = surname.split(" ")
                     for i, w in enumerate(words):
-                        put(2, who, "w", " ".join(words[:i] + words[i + 1 :]), w)
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(ids, pa.int64()), pa.array(sides, pa.int8())], names=["file", "id", "side"])
+                        put(2, who, "w", " ".join(words[:i] + words[i + 1 :]), w, 0, *rest)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(ids, pa.int64()), pa.array(sides, pa.int8()), pa.array(kinds, pa.int8()), pa.array(families, pa.int64()), pa.array(lone, pa.bool_())], names=["file", "id", "side", "kind", "family", "alone"])
 
-    return types.select("id", "kind", "surname", "given", "first").mapInArrow(run, "file bigint, id bigint, side tinyint")
+    return types.select("id", "kind", "surname", "given", "first", "partners", "family").mapInArrow(run, _FILE)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -315,10 +379,12 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     spark = rows.sparkSession
     names = rows.select(F.explode(rows[authors]).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     names = staged(names)
-    known = _token_facts(names).where("partners > 1 or surname + given > 0").orderBy(F.desc("partners"), F.desc(F.col("surname") + F.col("given")), "token").limit(KNOWN_TOKENS).collect()
-    shared = spark.sparkContext.broadcast({r.token: (r.partners, r.surname, r.given) for r in known})
+    facts = staged(_token_facts(names).where("partners > 1 or surname + given > 0"))
+    # what a given name typically has, weighed by how many it has
+    typical = facts.where("given > surname").agg((F.sum(F.col("partners").cast("double") * F.col("partners")) / F.greatest(F.sum("partners"), F.lit(1))).alias("p")).collect()[0].p or 0.0
+    established, widespread = max(GIVEN_PARTNERS, GIVEN_SHARE * typical), max(WIDESPREAD, WIDE_SHARE * typical)
 
-    read = staged(_types(names, shared).withColumn("id", F.xxhash64("kind", "surname", "given", F.when(F.col("kind") == "initials", F.concat("first", "mid")).otherwise(F.lit("")))))
+    read = staged(_types(names, facts, widespread).withColumn("id", F.xxhash64("kind", "surname", "given", F.when(F.col("kind") == "initials", F.concat("first", "mid")).otherwise(F.lit("")))))
     # readings of a spelling that are less likely count only if another spelling has the type as its likeliest
     likely = read.where("rank = 0").groupBy("id", "kind", "surname", "given", "first").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("uses"), F.max("mid").alias("mid"))
     others = read.where("rank > 0").join(likely.select("id", "names", "uses"), "id").groupBy("name").agg(F.max(F.struct("names", "uses", "id")).alias("alt"))
@@ -328,13 +394,16 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     types = staged(likely.drop("names", "uses").join(used, "id"))
 
     families = types.where("kind = 'full'").groupBy("surname").agg(F.count(F.lit(1)).alias("family"))
-    weighed = types.join(families, "surname", "left").select("id", "kind", "surname", "given", "mid", "first", F.struct((F.coalesce("family", F.lit(0)) > 1).alias("kin"), "names", "uses", F.col("id").alias("id")).alias("w"), F.coalesce("family", F.lit(0)).alias("family"))
-    filed = _filed(types, shared)
-    seek, found = filed.where("side >= 1").select("file", F.col("id").alias("a")), filed.where("side <> 1").select("file", F.col("id").alias("b"))
-    near = seek.join(found, "file").where("a <> b").select("a", "b").distinct()
+    sized = types.join(families, "surname", "left").withColumn("family", F.coalesce("family", F.lit(0)))
+    weighed = sized.select("id", "kind", "surname", "given", "mid", "first", F.struct((F.col("family") > 1).alias("kin"), "names", "uses", F.col("id").alias("id")).alias("w"), "family")
+    filed = _filed(sized.join(facts.select(F.col("token").alias("given"), "partners"), "given", "left"), established)
+    seek, found = filed.where("side >= 1"), filed.where("side <> 1")
+    # full names never look for initials; initials look for other surnames; of two surnames the mistyped one has no family, or a much smaller one
+    fits = "a.file = b.file and a.id <> b.id and b.kind <> 1 and not (a.kind = 1 and a.family = b.family) and (a.family = b.family or a.kind = 0 or a.alone or not b.alone)"
+    near = seek.alias("a").join(found.alias("b"), F.expr(fits)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     pairs = near.join(_side(weighed, "a"), "a").join(_side(weighed, "b"), "b")
-    # the lesser type attaches to the greater; of two surnames the mistyped one has no family
-    pairs = pairs.where("a_w < b_w or (a_kind = 'initials' and b_kind = 'full')").where("a_surname = b_surname or a_family <= 1").where("not (a_kind = 'full' and b_kind = 'initials')").where("not (a_kind = 'initials' and a_surname = b_surname)")
+    # the lesser type attaches to the greater
+    pairs = pairs.where("a_w < b_w or (a_kind = 'initials' and b_kind = 'full')").where(f"a_surname = b_surname or a_family <= 1 or {LARGER} * a_family <= b_family").where("not (a_kind = 'full' and b_kind = 'initials')").where("not (a_kind = 'initials' and a_surname = b_surname)")
     mistyped = _verified(pairs).join(_side(weighed, "b").select("b", "b_w"), "b").groupBy("a").agg(F.min(F.struct("cost", (-F.col("b_w.names")).alias("k"), (-F.col("b_w.uses")).alias("u"), "b")).alias("best"))
     typed = staged(mistyped.select(F.col("a").alias("id"), F.col("best.b").alias("up")))
 
@@ -350,19 +419,23 @@ def entities(rows: DataFrame, authors: str) -> DataFrame:
     # initials stand for the only full name of the family that fits
     heads = full.join(full_up, "id").select("surname", "first", "mid", F.col("root").alias("head"))
     any_mid = heads.groupBy("surname", "first").agg(F.min("head").alias("low"), F.max("head").alias("high"))
-    by_mid = heads.groupBy("surname", "first", F.substring("mid", 1, 1).alias("m")).agg(F.min("head").alias("low"), F.max("head").alias("high"))
-    initial = types.where("kind = 'initials'").select("id", "surname", "first", F.substring("mid", 1, 1).alias("m"))
+    by_mid = heads.groupBy("surname", "first", F.coalesce("mid", F.lit("")).alias("m")).agg(F.min("head").alias("low"), F.max("head").alias("high"))
+    initial = types.where("kind = 'initials'").select("id", "surname", "first", F.col("mid").alias("m"))
     free = initial.join(any_mid, ["surname", "first"]).where("m = ''").select("id", "low", "high")
-    bound = initial.where("m <> ''").join(by_mid.withColumnRenamed("m", "fm"), ["surname", "first"]).where("fm = m or fm = ''").groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.when(F.col("fm") == F.col("m"), F.col("low"))).alias("exact_low"), F.max(F.when(F.col("fm") == F.col("m"), F.col("high"))).alias("exact_high"))
+    # all middle initials of the shorter form must begin the longer one; a full name with any of them goes before one with none
+    beside = initial.where("m <> ''").join(by_mid.withColumnRenamed("m", "fm"), ["surname", "first"]).where("startswith(fm, m) or startswith(m, fm)")
+    bound = beside.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(F.col("fm") != "", F.col("low"))).alias("exact_low"), F.max(F.when(F.col("fm") != "", F.col("high"))).alias("exact_high"))
     bound = bound.select("id", F.coalesce("exact_low", "low").alias("low"), F.coalesce("exact_high", "high").alias("high"))
     stands = staged(free.unionByName(bound))
     sure = stands.where("low = high").select("id", F.col("low").alias("up"))
-    # without a full name, initials of one family go together if the rest of them agrees
+    # without a full name, initials of one family go together if each begins the longest of them
     alone = initial.join(stands.select("id"), "id", "left_anti").join(typed.select("id"), "id", "left_anti")
-    agreed = alone.groupBy("surname", "first").agg(F.min("id").alias("up"), F.min(F.when(F.col("m") != "", F.col("m"))).alias("m1"), F.max("m").alias("m2")).where("m1 is null or m1 = m2")
-    together = alone.join(agreed, ["surname", "first"]).select("id", "up")
-    doubtful = stands.where("low <> high").join(initial, "id").groupBy("surname", "first", "m").agg(F.min("id").alias("up"), F.collect_set("id").alias("ids"))
-    doubtful = doubtful.select(F.explode("ids").alias("id"), "up")
+    longest = alone.groupBy("surname", "first").agg(F.min("id").alias("up"), F.max_by("m", F.struct(F.length("m"), F.col("m"))).alias("all"))
+    compared = alone.join(longest, ["surname", "first"])
+    torn = compared.where("not startswith(all, m)").select("surname", "first").distinct()
+    together = compared.join(torn, ["surname", "first"], "left_anti").select("id", "up")
+    unsure = stands.where("low <> high").select("id").join(initial, "id")
+    doubtful = unsure.join(unsure.groupBy("surname", "first", "m").agg(F.min("id").alias("up")), ["surname", "first", "m"]).select("id", "up")
     typed_initials = typed.join(initial.select("id"), "id", "left_semi").join(stands.select("id"), "id", "left_anti").select("id", "up")
     links = staged(up.join(types.where("kind <> 'initials'").select("id"), "id", "left_semi").unionByName(sure).unionByName(together).unionByName(doubtful).unionByName(typed_initials).where("id <> up"))
     return chosen.join(_roots(types.select("id"), links), "id").select("name", "root")
@@ -372,16 +445,15 @@ def _side(types: DataFrame, side: str) -> DataFrame:
     return types.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("kind", "surname", "given", "mid", "w", "family")))
 
 
-#: Steps by which a type is followed to its root, each doubling the length of the chain.
-JUMPS = 3
-
-
 def _roots(ids: DataFrame, up: DataFrame) -> DataFrame:
-    """(id, root): the end of the chain of attachments; chains lead to greater types, so they end."""
-    at = ids.join(up.groupBy("id").agg(F.min("up").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("root"))
-    for _ in range(JUMPS):
-        at = staged(at)
-        at = at.alias("x").join(at.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    """(id, root): the end of the chain of attachments, followed until nothing changes; chains lead to greater types, so they end."""
+    at = staged(ids.join(up.groupBy("id").agg(F.min("up").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("root")))
+    for _ in range(MOST_JUMPS):
+        to = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        moved = staged(at.join(to, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
+        at = moved.select("id", "root")
+        if moved.where("moved").isEmpty():
+            break
     return at
 
 
