@@ -127,6 +127,26 @@ def abbreviated_edits(letters: str, words: list[str], most: float) -> float:
     return reached[n]
 
 
+#: Letters and digits that are told apart when letters are counted; all others are one.
+_LETTER_KINDS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
+_KINDS = len(_LETTER_KINDS) + 1
+
+
+def _letters(word: str) -> int:
+    """The letters of a word as bits."""
+    mask = 0
+    for c in word:
+        mask |= 1 << _LETTER_KINDS.get(c, _KINDS - 1)
+    return mask
+
+
+def _letter_counts(text: str) -> np.ndarray:
+    counts = np.zeros(_KINDS, np.int16)
+    for c in text:
+        counts[_LETTER_KINDS.get(c, _KINDS - 1)] += counts[_LETTER_KINDS.get(c, _KINDS - 1)] < 30_000
+    return counts
+
+
 class ReferenceMatcher:
     """Finds the entry of one reference list that a typed value means."""
 
@@ -141,15 +161,14 @@ class ReferenceMatcher:
         self.weight = np.array([np.log(1 + len(entries) / document[w]) for w in self.vocabulary]) if entries else np.zeros(0)
         self.mean_weight = float(self.weight.mean()) if entries else 1.0
         self.columns = [[at[w] for w in words] for words in self.words]
-        self.matrix = np.zeros((len(entries), len(self.vocabulary)))
-        for row, columns in enumerate(self.columns):
-            for c in columns:
-                self.matrix[row, c] += self.weight[c]
-        self.total = self.matrix.sum(axis=1)
-        self.by_letter: dict[str, list[int]] = {}
-        for i, w in enumerate(self.vocabulary):
-            self.by_letter.setdefault(w[0], []).append(i)
-        self.token_cache: dict[str, np.ndarray] = {}
+        held = [(c, row) for row, columns in enumerate(self.columns) for c in columns]
+        held.sort()
+        self.holders = np.array([row for _, row in held], np.int64)
+        self.starts = np.searchsorted(np.array([c for c, _ in held], np.int64), np.arange(len(self.vocabulary) + 1)) if held else np.zeros(len(self.vocabulary) + 1, np.int64)
+        self.total = np.array([sum(self.weight[c] for c in columns) for columns in self.columns])
+        self.letters = np.array([_letters(w) for w in self.vocabulary], np.int64)
+        self.counts = np.array([_letter_counts("".join(words)) for words in self.spelled], np.int16).reshape(-1, _KINDS)
+        self.token_cache: dict[str, dict[int, float]] = {}
         self.value_cache: dict[str, tuple[int, float]] = {}
         self.automaton = ahocorasick.Automaton()
         owners: dict[str, set[int]] = {}
@@ -172,19 +191,25 @@ class ReferenceMatcher:
             found.append(words_of(code))
         return [f" {' '.join(x)} " for x in found if x]
 
-    def _likenesses(self, token: str) -> np.ndarray:
+    def _likenesses(self, token: str) -> dict[int, float]:
+        """The words of the list that a token is like, and how much."""
         known = self.token_cache.get(token)
         if known is None:
             if len(self.token_cache) > CACHED_VALUES:
                 self.token_cache.clear()
-            known = np.array([likeness(token, w) for w in self.vocabulary])
-            if len(known) and known.max() >= KNOWN and len(token) > 2:
-                known[known < KNOWN] = 0
+            # a letter that the word lacks costs an error at least, and no more than three are ever forgiven
+            near = np.flatnonzero(np.bitwise_count(_letters(token) & ~self.letters) <= (3 if len(token) >= 12 else 2))
+            known = {int(i): v for i in near if (v := likeness(token, self.vocabulary[i])) > 0}
+            if len(token) > 2 and max(known.values(), default=0.0) >= KNOWN:
+                known = {i: v for i, v in known.items() if v >= KNOWN}
             self.token_cache[token] = known
         return known
 
+    def _most(self, token: str) -> float:
+        return max(self._likenesses(token).values(), default=0.0)
+
     def _is_word(self, token: str) -> bool:
-        return not token.isdigit() and token not in EDITION_WORDS and len(token) > 2 and bool(len(self.vocabulary)) and self._likenesses(token).max() >= 0.7
+        return not token.isdigit() and token not in EDITION_WORDS and len(token) > 2 and self._most(token) >= 0.7
 
     def _mention(self, words: list[str]) -> int | None:
         """The entry mentioned by the longest match, if the rest says nothing else."""
@@ -208,27 +233,51 @@ class ReferenceMatcher:
         tokens = [t for t in words if not t.isdigit() and t not in EDITION_WORDS]
         if not tokens or not self.ids or not len(self.vocabulary):
             return None, 0.0
-        like = np.stack([self._likenesses(t) for t in tokens])
-        upper = self.matrix @ like.max(axis=0) / self.total
-        best: list[tuple[float, int]] = []
-        for row in np.argsort(-upper)[:8]:
-            if upper[row] < self.floor - 0.1:
+        like = [self._likenesses(t) for t in tokens]
+        found = self._scored(tokens, like)
+        if found[0] >= self.floor:
+            return (found[1], found[0]) if found[0] - found[2] >= self.lead else (None, found[0])
+        return self._aligned(tokens, like)
+
+    def _scored(self, tokens: list[str], like: list[dict[int, float]]) -> tuple[float, int, float]:
+        """(best score, its row, next best score) of the entries that can reach the floor.
+
+        No entry scores more than the weights of its words, each by the token
+        most like it, over their sum; entries are scored in that order until
+        what is left can neither win nor come near.
+        """
+        best_like: dict[int, float] = {}
+        for known in like:
+            for c, v in known.items():
+                if v > best_like.get(c, 0.0):
+                    best_like[c] = v
+        if not best_like:
+            return 0.0, -1, 0.0
+        rows = np.concatenate([self.holders[self.starts[c] : self.starts[c + 1]] for c in best_like])
+        gains = np.repeat([v * self.weight[c] for c, v in best_like.items()], [self.starts[c + 1] - self.starts[c] for c in best_like])
+        some, where = np.unique(rows, return_inverse=True)
+        upper = np.bincount(where, weights=gains) / self.total[some]
+        best, at, second = 0.0, -1, 0.0
+        for k in np.lexsort((some, -upper)):
+            if upper[k] < max(self.floor, best) - self.lead:
                 break
-            best.append((self._score(tokens, like, int(row)), int(row)))
-        best.sort(key=lambda x: (-x[0], x[1]))
-        if best and best[0][0] >= self.floor:
-            clear = len(best) == 1 or best[0][0] - best[1][0] >= self.lead
-            return (best[0][1], best[0][0]) if clear else (None, best[0][0])
-        return self._aligned(tokens, like, np.argsort(-upper)[:16])
-
-    def _aligned(self, tokens: list[str], like: np.ndarray, rows: np.ndarray) -> tuple[int | None, float]:
+            score = self._score(tokens, like, int(some[k]))
+            if score > best:
+                best, at, second = score, int(some[k]), best
+            else:
+                second = max(second, score)
+        return best, at, second
+
+    def _aligned(self, tokens: list[str], like: list[dict[int, float]]) -> tuple[int | None, float]:
         """The entry whose letters the value has, but for a few typing errors."""
         letters = "".join(tokens)
-        fixed = [i for i, t in enumerate(tokens) if len(t) > 2 and like[i].max() >= KNOWN]
+        fixed = [known for t, known in zip(tokens, like, strict=True) if len(t) > 2 and max(known.values(), default=0.0) >= KNOWN]
         most = min(MOST_EDITS, 0.2 * len(letters))
         best: list[tuple[float, int]] = []
-        for row in rows:
-            if all(like[i, self.columns[row]].max(initial=0) >= KNOWN for i in fixed):
+        # letters that an entry lacks cost an error each
+        lacking = np.maximum(_letter_counts(letters) - self.counts, 0).sum(axis=1)
+        for row in np.flatnonzero(lacking <= most):
+            if all(any(known.get(c, 0.0) >= KNOWN for c in self.columns[row]) for known in fixed):
                 cost = abbreviated_edits(letters, self.spelled[row], most)
                 if cost <= most:
                     best.append((cost, int(row)))
@@ -237,8 +286,8 @@ class ReferenceMatcher:
             return None, 0.0
         return best[0][1], 1 - best[0][0] / len(letters)
 
-    def _score(self, tokens: list[str], like: np.ndarray, row: int) -> float:
-        pairs = sorted(((like[i, c], i, k) for i in range(len(tokens)) for k, c in enumerate(self.columns[row]) if like[i, c] > 0), reverse=True)
+    def _score(self, tokens: list[str], like: list[dict[int, float]], row: int) -> float:
+        pairs = sorted(((v, i, k) for i, known in enumerate(like) for k, c in enumerate(self.columns[row]) if (v := known.get(c, 0.0)) > 0), reverse=True)
         used, filled, got = set(), set(), 0.0
         for value, i, k in pairs:
             if i not in used and k not in filled:
@@ -246,7 +295,7 @@ class ReferenceMatcher:
                 filled.add(k)
                 got += value * self.weight[self.columns[row][k]]
         spare = sum(self.mean_weight * min(1.0, len(t) / 6) * (0.3 if len(t) <= 2 else 1.0) for i, t in enumerate(tokens) if i not in used)
-        return got / (self.total[row] + spare)
+        return float(got / (self.total[row] + spare))
 
     def find(self, value: str) -> tuple[int, float]:
         """(id, score) of the entry meant; id 0 if the list has none."""
