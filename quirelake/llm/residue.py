@@ -47,7 +47,6 @@ _SMOOTH = 0.05
 #: Grams that are looked up at once, and characters of the documents that are taken together.
 BLOCK, TOGETHER = 1 << 19, 300_000
 
-_SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\sa-zа-я])")
@@ -61,6 +60,8 @@ _SLOT = re.compile(
     rf"|<[^<>\n]{{1,60}}\s(?i:goes here|here|to be added)>|%\({_NAME}\)[sd]|%%\s*{_NAME}\s*%%|@@\s*{_NAME}\s*@@|(?<!\w)__{_NAME}__(?!\w)"
     rf"|«[^\W\d]\w*(?:[_.]\w+)+»|&\w+_placeholder;|(?<![\w'\"{{])\{{\d\}}|\bX{{2,}}-(?:TBD|TBA|TBC|TODO)-X{{2,}}\b|\bX{{4,}}\b(?=[\s.,;:])"
 )
+# How all of them begin.
+_MAY_BE_SLOT = re.compile(r"\{\{|\{%|[$#]\{|<%|\[\[|\[\s*[^\W\d]|<[^<>\n]+ |%\(|%%|@@|__|«|&\w+_|\{\d|XX")
 _FIELD = re.compile(r"^\W*[^\W\d][\w ]{2,40}:\s*(?:TODO|TBC|TBD|TBA|FIXME|XXX+)\b", re.M)
 _NAMED = re.compile(r"^«(?:title|abstract|authors?|year|journal|volume|license|doi|issue|keywords?|affiliation|publisher)»$", re.I)
 _GUILLEMETS = re.compile(r"«[^«»\n]{2,40}»")
@@ -86,14 +87,14 @@ def buckets(codes: np.ndarray) -> np.ndarray:
 
 def grams_of(texts: list[str]) -> np.ndarray:
     """Buckets of the 4-grams of several texts, as `grams` of each gives them."""
-    flat = plain("\x00".join(t.replace("\x00", " ").strip() for t in texts)).replace("\x00", " \x00  ")
+    flat = " \x00  ".join(plain(t.replace("\x00", " ")) for t in texts)
     apart = np.frombuffer(f"  {flat} ".encode("utf-32-le", "replace"), np.uint32) == 0
     return grams(flat)[~(apart[:-3] | apart[1:-2] | apart[2:-1] | apart[3:])] if len(apart) > 3 else grams(flat)
 
 
 def plain(text: str) -> str:
     """Lower case, even white space, digits as 0."""
-    return _DIGIT.sub("0", _SPACE.sub(" ", text.casefold())).strip()
+    return " ".join(_DIGIT.sub("0", text.casefold()).split())
 
 
 def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -107,8 +108,7 @@ def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "n"])
 
     lines = docs.select(F.explode(F.split(docs[text], r"[\r\n]+")).alias("text"))
-    even = F.regexp_replace(F.regexp_replace(F.lower("text"), r"\s+", " "), r"\d", "0")
-    lines = lines.select(F.trim(even).alias("text")).where("text <> ''")
+    lines = lines.select(F.trim(F.translate(F.lower("text"), "123456789", "0" * 9)).alias("text")).where("text <> ''")
     once = lines.where(F.length("text") >= SHORT).distinct().unionAll(lines.where(F.length("text") < SHORT))
     total = once.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << BITS, np.int64)
@@ -161,7 +161,7 @@ class ResidueModel:
         place = 0
         for i, text in enumerate(texts):
             for line in lines_of(text):
-                bare = _MARKUP.sub(" ", line)
+                bare = _MARKUP.sub(" ", line) if "<" in line else line
                 if not _LETTER.search(bare):
                     continue
                 parts = [p for p in _SENTENCE.split(bare) if p.strip()]
@@ -233,9 +233,11 @@ def talks(sentence: str) -> bool:
 def slots(text: str) -> list[str]:
     """Unfilled slots, but for those that a sentence talks about, formulas and BibTeX values have."""
     found = [m.group() for m in _FIELD.finditer(text)]
-    if not any(c in text for c in "{}[]<>%@_«&X"):
+    if not _MAY_BE_SLOT.search(text):
         return found
     for line in text.splitlines():
+        if not _MAY_BE_SLOT.search(line):
+            continue
         for part in _SENTENCE.split(line):
             hits = list(_SLOT.finditer(part))
             hits += [m for m in _GUILLEMETS.finditer(part) if _NAMED.match(m.group())]
@@ -257,7 +259,7 @@ def find_residue(docs: DataFrame, key: str, text: str, least: float = 0.0) -> Da
     documents count by themselves; an empty table gives an empty one. Texts are
     read whole; other columns aren't read.
     """
-    filled = docs.where(F.trim(F.regexp_replace(docs[text], r"\s+", " ")) != "").select(docs[key].alias("key"), docs[text].alias("text"))
+    filled = docs.where(docs[text].rlike(r"\S")).select(docs[key].alias("key"), docs[text].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(prose_counts(filled, "text"))
     kind = docs.schema[key].dataType.simpleString()
 
