@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,40 +58,37 @@ def capped_shares(wanted: dict[str, float], most: dict[str, float], size: float)
 
 def rake(tokens: dict[tuple[str, str, str], float], goal: dict[str, float], repeats: dict[str, float], rounds: int = ROUNDS) -> dict[tuple[str, str, str], float]:
     """Tokens that each cell gives: raked to the sources' goals and the corpus marginals of language and topic, capped."""
-    cells = {c: t for c, t in tokens.items() if goal.get(c[0], 0) > 0 and t > 0}
-    whole = sum(cells.values())
-    if not whole:
+    cells = [c for c, t in tokens.items() if goal.get(c[0], 0) > 0 and t > 0]
+    if not cells:
         return {}
-    aim = sum(goal.values())
-    margins = []
+    size = np.array([tokens[c] for c in cells])
+    whole, aim = size.sum(), sum(goal.values())
+    axes: list[tuple[np.ndarray, np.ndarray]] = []
     for axis in (1, 2):
-        sums: dict[str, float] = defaultdict(float)
-        for c, t in cells.items():
-            sums[c[axis]] += t
-        margins.append((axis, {k: v / whole * aim for k, v in sums.items()}))
-    per_source: dict[str, float] = defaultdict(float)
-    for c, t in cells.items():
-        per_source[c[0]] += t
-    weight = {c: t * goal[c[0]] / per_source[c[0]] for c, t in cells.items()}
-    most = {c: t * repeats[c[0]] for c, t in cells.items()}
+        _, of = np.unique([c[axis] for c in cells], return_inverse=True)
+        axes.append((of, np.bincount(of, weights=size) / whole * aim))
+    names, of_source = np.unique([c[0] for c in cells], return_inverse=True)
+    goals = np.array([goal[s] for s in names])
+    axes.append((of_source, goals))
+    weight = size * goals[of_source] / np.bincount(of_source, weights=size)[of_source]
+    most = size * np.array([repeats[s] for s in names])[of_source]
     for _ in range(rounds):
-        for axis, margin in [*margins, (0, goal)]:
-            sums = defaultdict(float)
-            for c, w in weight.items():
-                sums[c[axis]] += w
-            weight = {c: min(most[c], w * margin[c[axis]] / sums[c[axis]]) if sums[c[axis]] > 0 else w for c, w in weight.items()}
+        for of, margin in axes:
+            sums = np.bincount(of, weights=weight, minlength=len(margin))
+            factor = np.divide(margin, sums, out=np.ones_like(sums), where=sums > 0)
+            weight = np.where(sums[of] > 0, np.minimum(most, weight * factor[of]), weight)
     # capping may have left a source short although other cells of it have room
-    for s, g in goal.items():
-        mine = [c for c in weight if c[0] == s]
-        for _ in range(len(mine) + 1):
-            short = g - sum(weight[c] for c in mine)
-            room = [c for c in mine if weight[c] < most[c] - 1e-9]
-            if short <= 1e-9 * max(1.0, g) or not room:
-                break
-            base = sum(weight[c] for c in room) or sum(most[c] for c in room)
-            for c in room:
-                weight[c] = min(most[c], weight[c] + short * ((weight[c] or most[c]) / base))
-    return weight
+    for _ in range(len(cells) + 1):
+        short = goals - np.bincount(of_source, weights=weight)
+        room = weight < most - 1e-9
+        needs = (short > 1e-9 * np.maximum(1.0, goals)) & (np.bincount(of_source, weights=room) > 0)
+        if not needs.any():
+            break
+        share = np.where(weight > 0, weight, most) * room
+        base = np.bincount(of_source, weights=share)
+        add = np.divide(short, base, out=np.zeros_like(base), where=needs & (base > 0))
+        weight = np.minimum(most, weight + share * add[of_source])
+    return dict(zip(cells, weight.tolist(), strict=True))
 
 
 def count_tokens(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -141,8 +139,8 @@ def find_mix(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str =
     rated = spark.createDataFrame(rates, "plan_name string, source string, lang string, topic string, rate double")
     aims = spark.createDataFrame(goals, "plan_name string, source string, goal double, target_share double")
 
-    # the plans' cells are few, and a document joins its own cell once for each plan
-    drawn = sized.join(F.broadcast(rated), ["source", "lang", "topic"])
+    # a document joins its own cell once for each plan
+    drawn = sized.join(rated, ["source", "lang", "topic"])
     whole_part, rest = F.floor("rate").cast("int"), F.col("rate") - F.floor("rate")
     drawn = drawn.withColumn("copies", whole_part + (F.col("draw") < rest * (STEPS * STEPS)).cast("int"))
     # calibration: by how much each source's draw misses its goal, made good in order of the draw among those left out or in
@@ -157,7 +155,8 @@ def find_mix(docs: DataFrame, plans: DataFrame, key: str = "doc_id", text: str =
     distance = F.when(can_grow, F.col("draw") - threshold).when(can_fall, threshold - F.col("draw"))
     settled = settled.withColumn("far", F.floor(distance).cast("int"))
     histogram = settled.where("far is not null").groupBy("plan_name", "source", "far").agg(F.sum("n_tokens").alias("n")).groupBy("plan_name", "source").agg(F.array_sort(F.collect_list(F.struct("far", "n"))).alias("bins"))
-    reach = F.expr("aggregate(bins, named_struct('sum', 0D, 'far', -1), (s, b) -> if(s.sum + b.n <= abs(miss) + b.n / 2 and s.far > -2, named_struct('sum', s.sum + b.n, 'far', b.far), named_struct('sum', 1D / 0.0000000001, 'far', s.far))).far")
+    # documents are taken as long as that brings the sum nearer to what is missing; then no more
+    reach = F.expr("aggregate(bins, named_struct('sum', 0D, 'far', -1, 'over', false), (s, b) -> if(not s.over and s.sum + b.n <= abs(miss) + b.n / 2, named_struct('sum', s.sum + b.n, 'far', b.far, 'over', false), named_struct('sum', s.sum, 'far', s.far, 'over', true))).far")
     limits = histogram.join(miss, ["plan_name", "source"]).select("plan_name", "source", reach.alias("reach"))
     final = settled.join(F.broadcast(limits), ["plan_name", "source"], "left")
     within = F.col("far") <= F.coalesce("reach", F.lit(-1))
@@ -173,11 +172,31 @@ def _reached(mix: DataFrame) -> DataFrame:
 
 
 def shares(mix: DataFrame, plans: DataFrame, docs_tokens: DataFrame) -> DataFrame:
-    """(plan_name, source, target_share, reached_share, n_docs, n_copies, n_tokens, size_reached) of each line of the plans."""
+    """(plan_name, source, target_share, reached_share, n_docs, n_copies, n_tokens, size_ratio, size_reached, capped) of each line of the plans.
+
+    capped tells sources of which nothing more could be taken: nearly all their
+    tokens are in the mix as often as the plan lets them.
+    """
     sums = mix.groupBy("plan_name", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"))
     whole = docs_tokens.agg(F.sum("n_tokens").alias("whole"))
+    have = docs_tokens.groupBy("source").agg(F.sum("n_tokens").alias("have"))
     totals = sums.groupBy("plan_name").agg(F.sum("n_tokens").alias("total")).crossJoin(F.broadcast(whole))
-    lines = plans.select("plan_name", "source", "target_share", "size_ratio")
-    joined = lines.join(sums, ["plan_name", "source"], "left").join(totals, "plan_name", "left")
+    lines = plans.select("plan_name", "source", "target_share", "size_ratio", "max_repeats")
+    joined = lines.join(sums, ["plan_name", "source"], "left").join(totals, "plan_name", "left").join(have, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return joined.select("plan_name", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"), zero("n_docs"), zero("n_copies"), zero("n_tokens"), "size_ratio", F.coalesce(F.col("total") / F.col("whole"), F.lit(0.0)).alias("size_reached"))
+    capped = F.coalesce("n_tokens", F.lit(0)) >= 0.99 * F.coalesce("have", F.lit(0)) * F.col("max_repeats")
+    return joined.select("plan_name", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("reached_share"), zero("n_docs"), zero("n_copies"), zero("n_tokens"), "size_ratio", F.coalesce(F.col("total") / F.col("whole"), F.lit(0.0)).alias("size_reached"), capped.alias("capped"))
+
+
+def margins(mix: DataFrame, docs: DataFrame, key: str = "doc_id", language: str = "lang", topic: str = "doc_kind") -> DataFrame:
+    """(plan_name, margin, value, wanted_share, reached_share): languages and topics of each mix, against those of its sources in the corpus.
+
+    `docs` has n_tokens beside key, source, language and topic. Nulls are a value of their own.
+    """
+    named = docs.select(docs[key].alias("doc_id"), "source", "n_tokens", F.explode(F.array(*(F.struct(F.lit(c).alias("margin"), F.coalesce(docs[c], F.lit("")).alias("value")) for c in (language, topic)))).alias("m")).select("doc_id", "source", "n_tokens", "m.margin", "m.value")
+    kept = mix.select("plan_name", "source").distinct()
+    of_corpus = named.groupBy("source", "margin", "value").agg(F.sum("n_tokens").alias("n")).join(kept, "source").groupBy("plan_name", "margin", "value").agg(F.sum("n").alias("n"))
+    of_mix = mix.select("plan_name", "doc_id", "copies").join(named.select("doc_id", "n_tokens", "margin", "value").distinct(), "doc_id").groupBy("plan_name", "margin", "value").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("m"))
+    both = of_corpus.join(of_mix, ["plan_name", "margin", "value"], "left")
+    whole = both.groupBy("plan_name", "margin").agg(F.sum("n").alias("n_all"), F.sum("m").alias("m_all"))
+    return both.join(whole, ["plan_name", "margin"]).select("plan_name", "margin", "value", (F.col("n") / F.col("n_all")).alias("wanted_share"), F.coalesce(F.col("m") / F.col("m_all"), F.lit(0.0)).alias("reached_share"))

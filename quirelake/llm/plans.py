@@ -102,7 +102,13 @@ def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
 def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     """For each line of the plans, the share reached and the size of its part."""
     docs, plans = table(spark, directory, "documents"), table(spark, directory, "mix_targets")
-    return mixing.shares(mixing.find_mix(docs, plans), plans, mixing.count_tokens(docs, "text", ("doc_id",)))
+    return mixing.shares(mixing.find_mix(docs, plans), plans, mixing.count_tokens(docs, "text", ("doc_id", "source")))
+
+
+def p8_margins(spark: SparkSession, directory: str) -> DataFrame:
+    """Languages and kinds of documents of each mix, wanted and reached."""
+    docs, plans = table(spark, directory, "documents"), table(spark, directory, "mix_targets")
+    return mixing.margins(mixing.find_mix(docs, plans), mixing.count_tokens(docs, "text", ("doc_id", "source", "lang", "doc_kind")))
 
 
 def p9_coverage(spark: SparkSession, directory: str) -> DataFrame:
@@ -121,7 +127,7 @@ def p9_kept(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_evidence": p4_evidence, "p4_sources": p4_sources, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_margins": p8_margins, "p9_found": p9_found, "p9_coverage": p9_coverage, "p9_kept": p9_kept}
 
 
 def oracle_sql() -> dict[str, str]:
