@@ -22,7 +22,7 @@ from quirelake.llm.channels import LOST, channels, common
 #: First character of a lexicon key that is no word but a special character between its neighbours.
 CONTEXT = "\x00"
 #: Paths kept for each last letter, and paths weighed by whole words.
-PATHS, WEIGHED = 24, 240
+PATHS, WEIGHED = 12, 160
 #: Logarithms of the probability that a word is unknown, and that two lost signs were one, three of them twice that.
 UNKNOWN, MERGED = -5.0, -2.0
 #: The least that a special character's neighbours may speak against it.
@@ -73,6 +73,7 @@ class Lexicon:
         self.pairs = {p: math.log((n + 0.01) / (firsts[p[0]] + 0.01 * (len(letters) + 1))) for p, n in pairs.items()}
         self.floor = {a: math.log(0.01 / (n + 0.01 * (len(letters) + 1))) for a, n in firsts.items()}
         self.cache: dict[str, float] = {}
+        self.restored: dict[tuple[str, bool], str] = {}
 
     def pair(self, a: str, b: str) -> float:
         return self.pairs.get(a + b) or self.floor.get(a, -12.0)
@@ -159,6 +160,15 @@ def edges(token: str, at: int, lexicon: Lexicon, merged: bool) -> list[tuple[int
 
 def most_probable(token: str, lexicon: Lexicon, merged: bool = True) -> str:
     """The most probable original of a token that lost some of its bytes."""
+    known = lexicon.restored.get((token, merged))
+    if known is None:
+        if len(lexicon.restored) > _CACHED:
+            lexicon.restored.clear()
+        known = lexicon.restored[token, merged] = _searched(token, lexicon, merged)
+    return known
+
+
+def _searched(token: str, lexicon: Lexicon, merged: bool) -> str:
     if not lexicon.special:
         return token
     low = token.lower()

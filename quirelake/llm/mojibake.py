@@ -41,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[À-ÿ¸¨]{4,}")
 _BEYOND = re.compile(r"[^\x00-\x7f]{2,}")
 _FOREIGN_RUN = re.compile(r"[^\x00-\x7f]+")
-_STRANGE = re.compile(r"\S*[^\x00-\x7f]\S?[^\x00-\x7f]\S?[^\x00-\x7f]\S*")
+_STRANGE = re.compile(r"[^\x00-\x7f\s]\S?[^\x00-\x7f\s]\S?[^\x00-\x7f\s]")
 _CONTROL = re.compile("[\u0080-\u009f]")
 _SPECIAL_BETWEEN = re.compile(r"(?=([^\x00].[^\x00]))(?=.[^\x00-\x7f])", re.S)
 _DIGIT = re.compile(r"\d")
@@ -91,7 +91,9 @@ def _tidied(text: str, lexicon: Lexicon | None) -> str:
 
 def _confused(text: str, lexicon: Lexicon) -> tuple[str, bool]:
     """Text of another script that was read through the table of a third one."""
-    words = [w for w in set(_STRANGE.findall(text)) if 2 * sum(c > "\x7f" for c in w) > len(w)]
+    if not _STRANGE.search(text):
+        return text, False
+    words = [w for w in set(text.split()) if not w.isascii() and 2 * sum(c > "\x7f" for c in w) > len(w) and _STRANGE.search(w)]
     if not words:
         return text, False
     plain = sum(lexicon.weigh(w) - 4.0 * _odd(w) for w in words)
