@@ -154,7 +154,7 @@ def edges(token: str, at: int, lexicon: Lexicon, merged: bool) -> list[tuple[int
     if char == LOST:
         found.append((1, lexicon.special))
     else:
-        found.append((1, [char]))
+        found.append((1, [char.lower() if len(char.lower()) == 1 else char]))
     return found
 
 
@@ -171,19 +171,18 @@ def most_probable(token: str, lexicon: Lexicon, merged: bool = True) -> str:
 def _searched(token: str, lexicon: Lexicon, merged: bool) -> str:
     if not lexicon.special:
         return token
-    low = token.lower()
     # at each position, by the last character: (score, text so far, where lost characters stand in it)
-    reached: list[dict[str, list[tuple[float, str, tuple[int, ...]]]]] = [{} for _ in range(len(low) + 1)]
+    reached: list[dict[str, list[tuple[float, str, tuple[int, ...]]]]] = [{} for _ in range(len(token) + 1)]
     reached[0] = {"^": [(0.0, "", ())]}
-    for at in range(len(low)):
+    for at in range(len(token)):
         if not reached[at]:
             continue
-        for size, chars in edges(low, at, lexicon, merged):
-            lost = LOST in low[at : at + size]
+        for size, chars in edges(token, at, lexicon, merged):
+            lost = LOST in token[at : at + size]
             there = reached[at + size]
             for last, paths in reached[at].items():
                 for c in chars:
-                    step = (lexicon.pair(last, c) if c.isalpha() else (lexicon.pair(last, "$") if last != "^" else 0.0) + lexicon.alone(c)) + MERGED * (size - 1) * (low[at : at + size] == LOST * size)
+                    step = (lexicon.pair(last, c) if c.isalpha() else (lexicon.pair(last, "$") if last != "^" else 0.0) + lexicon.alone(c)) + MERGED * (size - 1) * (token[at : at + size] == LOST * size)
                     there.setdefault(c if c.isalpha() else "^", []).extend((score + step, text + c, marks + (len(text),) if lost else marks) for score, text, marks in paths)
         for later in reached[at + 1 : at + 4]:
             for last, paths in later.items():

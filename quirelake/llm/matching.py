@@ -57,6 +57,9 @@ RARITY = 0.6
 AUTHORS = 0.5
 #: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
 MEET_AT, MEET = 30, 0.9
+LEAST_TABLES = 6
+#: Sampled records from which their middle is known; the hyperplanes of smaller tables go through the origin.
+BALANCED_FROM = 1_000
 #: Bits of the sketch, and how many of them may differ.
 SKETCH, DIFFER = 128, 47
 #: Nearest hyperplanes that are crossed alone, and in pairs.
@@ -202,7 +205,7 @@ def tables_for(bits: int) -> int:
     turn = math.pi * MEET_AT / SKETCH
     y = math.cos(turn) * x + math.sin(turn) * other
     met = (looked_into(x) == looked_into(y)[:, :1]).any(axis=1).mean()
-    return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - min(0.9, max(1e-4, met)))))
+    return max(LEAST_TABLES, math.ceil(math.log(1 - MEET) / math.log(1 - min(0.9, max(1e-4, met)))))
 
 
 def hyperplanes(tables: int, bits: int) -> np.ndarray:
@@ -410,9 +413,9 @@ def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, f
     filing = RecordVectors(*model)
     weights = calibrate(filing, sample)
     # each table's hyperplanes go through the middle of the sample, so that buckets are of like size; the sketch's through the origin, for the cosine
-    far = filing.project([r[:2] for r in sample])[0] if sample else np.zeros((1, filing.planes.shape[1]), np.float32)
-    middle = np.median(far, axis=0).astype(np.float32)
-    middle[-SKETCH:] = 0
+    middle = np.zeros(filing.planes.shape[1], np.float32)
+    if len(sample) >= BALANCED_FROM:
+        middle[:-SKETCH] = np.median(filing.project([r[:2] for r in sample])[0], axis=0)[:-SKETCH]
     return (*model, middle), weights
 
 

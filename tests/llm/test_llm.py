@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, canon, matching, matchrules, mixing, mojibake, names, residue, survivor, truncation
+from quirelake.llm import bpe, canon, channels, lattice, matching, matchrules, mixing, mojibake, names, residue, survivor, truncation
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
@@ -81,6 +81,56 @@ def test_lost_letters_come_back(spark):
     assert mojibake.find_damage(rows.limit(0), "rec_no", ("title",)).count() == 0
 
 
+SCRIPTS = ["die Größe der Räume", "une étude de l’accès à l’écart", "n’ont pas été situés près de l’école", "“perinatal effects” of ageing", "Überlegungen zur Öffentlichkeitsarbeit", "Движение ледника и качество воды наблюдения в районе", "a “latent” model", "fractional porous latent perinatal ageing"] * 5
+
+
+@pytest.fixture(scope="module")
+def lexicon():
+    from collections import Counter
+
+    words = Counter(w for t in SCRIPTS for w in mojibake._WORD.findall(t))
+    places = Counter(p for t in SCRIPTS for p in mojibake._SPECIAL_BETWEEN.findall(f" {t} "))
+    batch = mojibake._counted(words, places)
+    return lattice.Lexicon(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+
+
+@pytest.mark.parametrize(
+    ("damaged", "wanted"),
+    [
+        ("�perinatal effects of ageing", "“perinatal effects of ageing"), ("�latent and �porous", "“latent and “porous"), ("L��cart observ�", "L’écart"), ("die Gr��e der R�ume", "die Größe der Räume"), ("n�ont pas �t�", "n’ont pas été"),
+        ("�ffentlichkeitsarbeit", "Öffentlichkeitsarbeit"), ("�FFENTLICHKEITSARBEIT", "ÖFFENTLICHKEITSARBEIT"), ("Gr��e", "Größe"), ("l�accès", "l’accès"),
+    ],
+)
+def test_lost_bytes_are_restored(lexicon, damaged, wanted):
+    restored, bad = mojibake.examine(damaged, lexicon)
+    assert bad
+    assert restored.startswith(wanted)
+
+
+def test_part_of_a_character_is_lost(lexicon):
+    # the second byte of "с" has no character in the table
+    wrong = "ледник".encode().decode("cp1252", "replace").replace("\ufffd", "�")
+    assert mojibake.examine("качество".encode().decode("cp1252", "replace"), lexicon) == ("качество", True)
+    assert mojibake.examine(wrong, lexicon)[1]
+
+
+@pytest.mark.parametrize(("written", "read"), channels.CONFUSED)
+def test_confused_scripts(lexicon, written, read):
+    text = "Движение ледника и качество воды наблюдения в районе"
+    try:
+        wrong = text.encode(written).decode(read)
+    except UnicodeDecodeError:
+        wrong = "".join(chr(b) if (c := bytes([b]).decode(read, "replace")) == "\ufffd" else c for b in text.encode(written))
+    restored, bad = mojibake.examine(wrong, lexicon)
+    assert bad
+    assert restored.split()[:2] == ["Движение", "ледника"]
+    assert mojibake.examine(text, lexicon) == (text, False)
+
+
+def test_a_plain_space_after_a(lexicon):
+    assert mojibake.examine("une Ã©tude Ã  l’écart et l’accÃ¨s Ã l’école", lexicon)[0] == "une étude à l’écart et l’accès à l’école"
+
+
 # p4: cut texts
 def test_cut_texts(spark):
     full = "Rivers rise in spring. They fall again in late summer, though slowly. Nothing else was seen."
@@ -100,6 +150,32 @@ def test_prefixes_against_brute_force(spark):
     assert got == want
 
 
+def test_endings_are_judged_by_their_share(spark):
+    full = [f"Rivers of kind {i} rise. They carry in place {i} much water quality. More water quality data of station {i} follow here" for i in range(300)]
+    rows = [(i, t + ".", "s") for i, t in enumerate(full)] + [(900, "Lakes were sampled and more water quality", "s"), (901, "Lakes were sampled and seen to rise", "s")]
+    got = {r.key: r.evidence for r in truncation.find_cut(spark.createDataFrame(rows, "rec_no bigint, abstract string, source string"), "rec_no", "abstract", "source").collect()}
+    assert 900 not in got  # half the places of these words are ends of sentences
+    assert got[901] == "last words"
+
+
+def test_limits_are_piles(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.randint(20, 60))) + "." for _ in range(400)]
+    rows = [(i, t if i % 2 or len(t) < 200 else t[:200], None) for i, t in enumerate(texts)]
+    shown = truncation.find_cut(spark.createDataFrame(rows, "rec_no bigint, abstract string, source string"), "rec_no", "abstract", "source").collect()
+    assert {r.key for r in shown if r.evidence == "limit"} == {i for i, t, _ in rows if not t.endswith(".")}
+
+
+def test_long_beginnings_in_common(spark):
+    start = "x" * 5000
+    keys = [start + f"{i:04d}" for i in range(50)] + [start + "0007tail"]
+    got = {bytes(r.digest) for r in truncation.longer_copies(spark.createDataFrame([(k, True) for k in keys], "text string, cand boolean"), str).select("digest").collect()}
+    assert got == {truncation.digest(start + "0007")}
+
+
 # p5: reference lists
 def test_reference_matcher():
     m = canon.ReferenceMatcher([(1, "Journal of Rural Virology", "1234-5678"), (2, "Quarterly Journal of Rural Virology", None), (3, "Annals of Polar Nutrition", None)])
@@ -108,6 +184,30 @@ def test_reference_matcher():
     assert canon.ReferenceMatcher([]).find("anything")[0] == 0
 
 
+def test_all_near_entries_are_scored():
+    # more entries reach the upper bound than any fixed number of candidates
+    many = [(i, f"Annals of {a} {b} Studies", None) for i, (a, b) in enumerate(((x, y) for x in ("Rural", "Polar", "Marine", "Urban", "Alpine") for y in ("Virology", "Nutrition", "Optics", "Ecology", "Robotics")), 1)]
+    m = canon.ReferenceMatcher(many)
+    assert [m.find(name.replace("Annals", "Anals"))[0] for _, name, _ in many] == [i for i, _, _ in many]
+    assert m.find("Annals of Studies")[0] == 0
+    like = canon.ReferenceMatcher([(i, f"J. of A{c} M{c}", None) for i, c in enumerate("abcdefghijklmnopqrst", 1)])
+    assert like.find("J. A. M.")[0] == 0
+
+
+def test_letters_bound_what_can_be_alike():
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    m = canon.ReferenceMatcher([(i, w, None) for i, w in enumerate(words, 1)])
+    for t in words[:60]:
+        token = t[:-1] + rng.choice("abcde")
+        want = {i: v for i, w in enumerate(m.vocabulary) if (v := canon.likeness(token, w)) > 0}
+        if len(token) > 2 and max(want.values(), default=0) >= canon.KNOWN:
+            want = {i: v for i, v in want.items() if v >= canon.KNOWN}
+        assert m._likenesses(token) == want
+
+
 def test_map_values_edges(spark):
     rows = spark.createDataFrame([(1, "A B C"), (2, " A B C "), (2, " A B C "), (3, None), (4, " "), (5, "zzz")], "rec_no bigint, venue string")
     got = sorted((r.key, r.ref_id) for r in canon.map_values(rows, "rec_no", "venue", [(7, "A B C", None)]).collect())
@@ -134,6 +234,34 @@ def test_name_variants(spark):
     assert names.find_variants(rows.limit(0), "authors").count() == 0
 
 
+def test_chains_are_followed_to_their_end(spark):
+    ids = spark.createDataFrame([(i,) for i in range(40)], "id bigint")
+    up = spark.createDataFrame([(i, i + 1) for i in range(29)] + [(30, 31)], "id bigint, up bigint")
+    got = {r.id: r.root for r in names._roots(ids, up).collect()}
+    assert got == {i: 29 if i < 30 else 31 if i == 30 else i for i in range(40)}
+
+
+def test_long_names_are_assigned():
+    import itertools
+
+    long = "international rural imaging and soil recovery study group".split()
+    assert names.alignment_cost(long, long[::-1]) == 0.0
+    assert names.alignment_cost(long, [*long[:-1], "grop"]) == 1.0
+    # no token serves twice
+    assert names.alignment_cost(["soil", "soil", *long], ["soil", *long, "water"]) > 2.0
+    a, b = ["anna", "b", "carl"], ["ana", "bert", "c", "dora"]
+    brute = min(sum(names.token_cost(x, b[j]) for x, j in zip(a, p, strict=True)) + sum(0.2 if len(b[j]) == 1 else 3.0 for j in range(4) if j not in p) for p in itertools.permutations(range(4), 3))
+    assert abs(names.alignment_cost(a, b) - brute) < 1e-9
+
+
+def test_all_middle_initials_count(spark):
+    rows = spark.createDataFrame([(["John A. B. Barvenier", "John A. C. Smesok", "J. A. B. Barvenier", "J. A. Barvenier", "J. A. B. Smesok"],)], "authors array<string>")
+    pairs = {(r.name_a, r.name_b) for r in names.find_variants(rows, "authors").collect()}
+    assert ("J. A. B. Barvenier", "John A. B. Barvenier") in pairs
+    assert ("J. A. Barvenier", "John A. B. Barvenier") in pairs
+    assert ("J. A. B. Smesok", "John A. C. Smesok") not in pairs
+
+
 def test_filings_meet_near_tokens():
     import itertools
 
@@ -163,6 +291,47 @@ def test_survivors(spark):
     assert survivor.find_survivors(df.limit(0)).count() == 0
 
 
+def _works(spark, rows):
+    return spark.createDataFrame(rows, "dup_group bigint, rec_no bigint, canonical_title string, canonical_abstract string, pdf_url string, pdf_version string, citation_count bigint, updated_at timestamp")
+
+
+def _timed(reverse: bool) -> list:
+    """Works whose counts rise and whose published file is seen after the accepted one, or both the other way round."""
+    t0 = dt.datetime(2023, 1, 1)
+    rows = []
+    for g in range(1, 60):
+        for k, (count, version) in enumerate(((10, "acceptedVersion"), (30, "acceptedVersion"), (90, "publishedVersion"))):
+            at = t0 + dt.timedelta(days=30 * (2 - k if reverse else k) + g % 7)
+            rows.append((g, 10 * g + k, f"Work {g}", None, f"https://a.org/{version}/{g}.pdf", version, count, at))
+    # without times, the learned order decides
+    return rows + [(99, 990 + k, "Work 99", None, f"https://a.org/{v}/99.pdf", v, c, None) for k, (c, v) in enumerate(((10, "acceptedVersion"), (90, "publishedVersion")))]
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_reversed_times_reverse_the_order(spark, reverse):
+    got = {(r.dup_group, r.field_name): r.rec_no for r in survivor.find_survivors(_works(spark, _timed(reverse))).collect()}
+    assert got[5, "citation_count"] == (50 if reverse else 52)
+    assert got[99, "citation_count"] == (990 if reverse else 991)
+    newest = survivor.newest_time(_works(spark, _timed(reverse)), "updated_at")
+    assert survivor.learn_version_order(_works(spark, _timed(reverse)), newest)[-1] == ("acceptedVersion" if reverse else "publishedVersion")
+
+
+def test_counts_that_later_rows_contradict(spark):
+    t0 = dt.datetime(2023, 1, 1)
+    day = lambda n: t0 + dt.timedelta(days=n)
+    rows = _timed(False) + [(200, 2000 + k, "Odd", None, None, None, c, t) for k, (c, t) in enumerate(((900, day(1)), (40, day(40)), (45, day(60))))]
+    rows += [(300 + g, 3000 + 10 * g + k, "More", None, None, None, c, day(20 * k)) for g in range(30) for k, c in enumerate((300, 700, 950))]
+    got = {(r.dup_group, r.field_name): r.rec_no for r in survivor.find_survivors(_works(spark, rows)).collect()}
+    assert got[200, "citation_count"] == 2002
+    assert got[300, "citation_count"] == 3002
+
+
+def test_abstract_that_opens_with_stock_words(spark):
+    text = "No abstract available. " + "See full text article. " * 6 + "Rivers rise in spring."
+    got = survivor.find_survivors(_works(spark, [(1, 1, "Rivers", text, None, None, None, None), (1, 2, "Rivers", "No abstract available", None, None, None, None)])).collect()
+    assert {(r.field_name, r.rec_no) for r in got} == {("canonical_title", 1), ("canonical_abstract", 1)}
+
+
 # p6: matching
 def test_match_rules():
     base = matchrules.Described("Does urban soil respiration affect distributed sensor networks?", ["A. Virnares"], 2003, "Q J Indus Catal")
@@ -174,14 +343,75 @@ def test_match_rules():
 
 
 @needs_data
-def test_candidates_against_brute_force(spark):
-    left, right = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("oa_records", "repo_records"))
+@pytest.mark.parametrize(("directory", "every"), [(DATA, 1), ("/root/testdata/sf0.01", 4)])
+def test_candidates_against_brute_force(spark, directory, every):
+    left, right = (spark.read.parquet(f"{directory}/{t}.parquet") for t in ("oa_records", "repo_records"))
     cols = ["rec_no", "title", "authors", "pub_year", "venue"]
-    a, b = ([(r.rec_no, matchrules.Described(*r[1:])) for r in t.select(*cols).collect()] for t in (left, right))
+    a, b = ([(r.rec_no, matchrules.Described(*r[1:])) for r in t.select(*cols).collect()] for t in (left, right.where(F.col("rec_no") % every == 0)))
     want = {(i, j) for j, y in b for i, x in a if (c := matchrules.compare(y, x)) and matchrules.confidence(c) > 0}
     got = {(r.rec_no, r.repo_rec_no) for r in matching.candidates(left, right).collect()}
-    assert len(want & got) >= 0.9 * len(want)
+    assert len(want & got) >= 0.95 * len(want)
+
+
+@needs_data
+def test_match_edges(spark):
+    left, right = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("oa_records", "repo_records"))
     assert matching.find_matches(left.limit(0), right).count() == 0
+    assert matching.find_matches(left, right.limit(0)).count() == 0
+
+
+@needs_data
+def test_vectors_are_trained(spark):
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/oa_records.parquet").select("title", "authors", "pub_year", "venue").collect()
+    sample = [matching.graph_tokens(*r) for r in rows]
+    losses: list[float] = []
+    vectors = matching.train_vectors(sample, losses=losses)
+    assert losses[-1] < 0.92 * losses[0]
+    start = np.random.default_rng(matching.SEED).standard_normal((matching.SLOTS, matching.WIDTH)).astype(np.float32)
+    start /= np.linalg.norm(start, axis=1, keepdims=True)
+    seen = sorted({matching.slot(t) for r in sample for t in r})
+    assert (vectors[seen] * start[seen]).sum(axis=1).mean() < 0.9
+    assert matching.train_vectors([]).shape == vectors.shape
+
+
+def test_confidence_is_calibrated_on_perturbed_records():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    syllables = ["ka", "ro", "vin", "tel", "mo", "sup", "dra", "lin"]
+    word = lambda: "".join(rng.choice(syllables, 3))
+    sample = [(f"Effects of {word()} on {word()} near {word()}", [f"{word().title()} {word().title()}"], int(rng.integers(1990, 2020)), "Soil Letters") for _ in range(300)]
+    model = matching.RecordVectors(matching.train_vectors([matching.graph_tokens(*r) for r in sample], rounds=2), {}, 300, 6)
+    by_cosine, by_score, offset = matching.calibrate(model, sample)
+    sure = lambda cosine, score: 1 / (1 + np.exp(-(by_cosine * cosine + by_score * score + offset)))
+    assert sure(0.95, 4.0) > 0.9
+    assert sure(0.3, -2.0) < 0.1
+
+
+def test_ninety_authors():
+    many = [f"Person{i:02d} Number{i:02d}" for i in range(90)]
+    persons = [([f"person{chr(97 + i % 26)}{chr(97 + i // 26)}x", f"number{chr(97 + i % 26)}{chr(97 + i // 26)}y"], []) for i in range(90)]
+    assert matchrules.author_agreement(persons, persons[::-1]) == 1.0
+    half = persons[:45] + [([f"zz{chr(97 + i % 26)}{chr(97 + i // 26)}qwk"], []) for i in range(45)]
+    assert matchrules.author_agreement(half, persons) == 0.5
+    assert len(matching.record_tokens(None, many)[1]) == 180
+
+
+def test_words_that_are_in_both_titles_tell_nothing():
+    base = matchrules.Described("The Nugesk dataset: seasonal drought response in sandstone aquifers", ["C. Vesildonen"], 2019, None)
+    cut = matchrules.Described("The Nugesk dataset: seasonal drought respon...", ["Christina Vesildonen"], 2019, None)
+    assert matchrules.confidence(matchrules.compare(cut, base)) > 0
+    other = matchrules.Described("Reply to: The Nugesk dataset: seasonal drought response in sandstone aquifers", ["Otto Kram"], 2020, None)
+    assert (c := matchrules.compare(other, base)) is None or matchrules.confidence(c) < 0
+
+
+def test_titles_that_many_rows_share_need_authors():
+    a = matchrules.Described("Introduction to the special issue", None, 2006, "Annals of Rural Epidemiology")
+    c = matchrules.compare(a, a)
+    assert matchrules.confidence(c) > 0
+    assert matchrules.confidence(c, 5_000) < 0
 
 
 @pytest.mark.parametrize("rows", [2_400, 240_000, 24_000_000])
@@ -200,11 +430,11 @@ def test_near_records_meet_at_every_size(rows):
 
 
 def test_mistyped_titles_stay_candidates(spark):
-    names = ["Karvolin", "Bestrupak", "Ommizand", "Tulgorev", "Wexaphil", "Dranosky", "Hublinter", "Ysorvant", "Quillemor", "Fjandreth", "Pembrusc", "Zothalin"]
+    names_ = ["Karvolin", "Bestrupak", "Ommizand", "Tulgorev", "Wexaphil", "Dranosky", "Hublinter", "Ysorvant", "Quillemor", "Fjandreth", "Pembrusc", "Zothalin"]
     kind = "rec_no bigint, title string, authors array<string>, pub_year int, venue string"
-    left = [(i, f"Effects of urban soil recovery on {n} in catalogue records", [f"Alba {n[::-1]}", f"Otto {n[2:]}berg"], 2001, "Soil Letters") for i, n in enumerate(names)]
+    left = [(i, f"Effects of urban soil recovery on {n} in catalogue records", [f"Alba {n[::-1]}", f"Otto {n[2:]}berg"], 2001, "Soil Letters") for i, n in enumerate(names_)]
     left += [(50, "Molten Glacier Hymns", ["Ada Brunswijk"], 1999, None), (51, "A trial of many hands", [f"Person Number{i:03d}" for i in range(300)], 2010, None)]
-    right = [(100 + i, f"Effects of urban soil recovery on {n[:2] + n[3:]} in catalogue records", [], 2001, None) for i, n in enumerate(names)]
+    right = [(100 + i, f"Effects of urban soil recovery on {n[:2] + n[3:]} in catalogue records", [], 2001, None) for i, n in enumerate(names_)]
     right += [(150, "Moltn Glacier Hymns", ["Brunswijk, Ada"], 1999, None), (151, "A trial of many hands", [f"Person Number{i:03d}" for i in range(299, -1, -1)], 2010, None)]
     got = {(r.rec_no, r.repo_rec_no) for r in matching.candidates(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)).collect()}
     assert {(r[0], r[0] + 100) for r in left} <= got
@@ -232,6 +462,27 @@ def test_mix(spark):
     assert mixing.find_mix(d, plans.limit(0)).count() == 0
 
 
+def test_a_draw_that_misses_by_far_ends(spark):
+    docs = spark.createDataFrame([(i, 10.0**10) for i in range(6)], "far int, n double")
+    bins = docs.agg(F.array_sort(F.collect_list(F.struct("far", "n"))).alias("bins")).withColumn("miss", F.lit(2.4e10))
+    reach = "aggregate(bins, named_struct('sum', 0D, 'far', -1, 'over', false), (s, b) -> if(not s.over and s.sum + b.n <= abs(miss) + b.n / 2, named_struct('sum', s.sum + b.n, 'far', b.far, 'over', false), named_struct('sum', s.sum, 'far', s.far, 'over', true))).far"
+    import inspect
+
+    assert reach in inspect.getsource(mixing.find_mix)
+    assert bins.select(F.expr(reach).alias("far")).collect()[0].far == 1
+
+
+def test_raking_holds_sources_and_caps():
+    tokens = {(s, la, k): 100.0 + 10 * i for i, (s, la, k) in enumerate((s, la, k) for s in "ab" for la in ("en", "de") for k in ("x", "y"))}
+    goal = {"a": 150.0, "b": 500.0}
+    got = mixing.rake(tokens, goal, {"a": 1.0, "b": 1.0})
+    by = {s: sum(w for c, w in got.items() if c[0] == s) for s in "ab"}
+    assert abs(by["a"] - 150.0) < 1e-6
+    assert abs(by["b"] - 500.0) < 1e-6
+    assert all(w <= tokens[c] + 1e-9 for c, w in got.items())
+    assert mixing.rake(tokens, {}, {}) == {}
+
+
 # p9: residue
 @needs_data
 def test_residue(spark):
@@ -263,3 +514,23 @@ def test_residue_that_a_third_of_the_rows_repeat(spark):
     pages = [(-1 - i, page) for i in range(n)] + [(-1 - n - i, f"Soil recovery near river {chr(97 + i)}ornau\n{page}") for i in range(n)]
     rows = docs.unionByName(spark.createDataFrame(pages, "doc_id bigint, text string"))
     assert residue.find_residue(rows, "doc_id", "text").where("key < 0").count() == len(pages)
+
+
+@needs_data
+def test_windows_do_not_depend_on_what_stands_beside(spark):
+    import numpy as np
+
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if r.text and r.text.strip()]
+    model = residue.ResidueModel(np.bincount(residue.grams_of(texts), minlength=1 << residue.BITS))
+    together = model.windows(texts)
+    assert together == [model.windows([t])[0] for t in texts]
+    assert any(together)
+    long = "Rivers rise in spring and fall in autumn. " * 30_000 + "\nPlease enable JavaScript to view this article."
+    assert [k for _, k in model.windows([long])[0]] == ["line"]
+
+
+@needs_data
+def test_least_coverage(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    all_, most = residue.find_residue(docs, "doc_id", "text"), residue.find_residue(docs, "doc_id", "text", least=0.5)
+    assert {r.key for r in most.collect()} == {r.key for r in all_.collect() if r.coverage >= 0.5}
