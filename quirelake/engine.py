@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import pdf as pdf_functions
 from quirelake.functions.citations import Options, export
 from quirelake.functions.querylang import compile_query
-from quirelake.functions.text import DOI_HOST, is_doi
+from quirelake.functions.text import DOI_HOST, looks_like_doi
 from quirelake.operators import enrich, merge, search
 from quirelake.operators.cache import upserted
 
@@ -24,6 +24,11 @@ class Response:
     total: int
     page: int
     page_size: int
+    kept: DataFrame
+
+    def close(self) -> None:
+        """Give the memory of the merged relation back once page and facets are used."""
+        self.kept.unpersist()
 
 
 class Engine:
@@ -39,15 +44,13 @@ class Engine:
         found = self.records
         q = asked.query.strip()
         if q:
-            spark = found.sparkSession
-            doi = spark.range(1).select(is_doi(F.lit(q))).collect()[0][0]
-            found = found.where(enrich._key(F.col("doi"), self.host) == q.lower()) if doi else found.where(compile_query(q))
+            found = found.where(enrich._key(F.col("doi"), self.host) == q.lower()) if looks_like_doi(q) else found.where(compile_query(q))
         return search.apply_filters(merge.merge_groups(found, self.host), asked.filters, self.profile)
 
     def search(self, asked: search.Search) -> Response:
         """One merged relation serves page, facets and total."""
         kept = self.hits(asked).persist()
-        return Response(search.page_of(kept, asked, self.profile), search.facets(kept), kept.count(), asked.page, asked.page_size)
+        return Response(search.page_of(kept, asked, self.profile), search.facets(kept), kept.count(), asked.page, asked.page_size, kept)
 
     def paper(self, wanted: str) -> DataFrame:
         """The record with an id or DOI, with the best address of its PDF."""
@@ -57,6 +60,14 @@ class Engine:
         export(self.hits(replace(asked, page=1)), path, style, options)
 
 
+#: Sort keys of an index; counts of citations aren't indexed, so these sorts leave the newest first.
+INDEX_SORTS = {
+    "date": lambda: [F.desc_nulls_last("year")], "date_asc": lambda: [F.asc_nulls_last("year")], "citations": list, "citations_asc": list,
+    "author": lambda: [F.asc_nulls_last(F.array_join("authors", " "))], "author_desc": lambda: [F.desc_nulls_last(F.array_join("authors", " "))],
+    "venue": lambda: [F.asc_nulls_last("venue")], "venue_desc": lambda: [F.desc_nulls_last("venue")], "title": lambda: [F.asc_nulls_last("title")], "title_desc": lambda: [F.desc_nulls_last("title")],
+}
+
+
 @dataclass
 class Index:
     """A searchable table: exact words over title, authors and abstract; lists of values filter, OR within a field, AND across fields."""
@@ -81,13 +92,11 @@ class Index:
         return found
 
     def search(self, words: str = "", values: dict[str, list] | None = None, page: int = 1, page_size: int = 20, sort: str = "created_at") -> DataFrame:
-        """One page with `place`; sorted by creation, newest first, unless by one of the search sorts."""
+        """One page with `place`, by one of `INDEX_SORTS`; equals come by creation, newest first."""
         from pyspark.sql import Window
 
         found = self.filtered(words, values or {})
-        if sort != "created_at":
-            return search.page_of(found, search.Search(page=page, page_size=page_size, sort=sort))
-        keys = [F.desc("created_at"), F.asc("ord")]
+        keys = [*INDEX_SORTS.get(sort, list)(), F.desc_nulls_last("created_at"), F.asc("ord")]
         start = (page - 1) * page_size
         top = found.orderBy(*keys).limit(start + page_size).offset(start)
         return top.withColumn("place", F.row_number().over(Window.orderBy(*keys)) + start)

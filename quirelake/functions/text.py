@@ -6,6 +6,9 @@ zero; an empty list is present.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +73,11 @@ def is_doi(c: Column) -> Column:
     return query_plain(c).rlike(r"^10\.\d{4,}/\S+$")
 
 
+def looks_like_doi(text: str) -> bool:
+    """`is_doi` of a single text."""
+    return re.match(r"10\.\d{4,}/\S+$", text.strip().lower(), re.ASCII) is not None
+
+
 def is_doi_like(c: Column) -> Column:
     return query_plain(c).rlike(r"^(https?://)?(dx\.)?doi\.org/|^doi:|^10\.")
 
@@ -158,6 +166,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def similar_enough(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Whether a cached query may answer another one: equal, or similar in its words."""
+    return (a == b) | (jaccard(a, b) >= least)
+
+
+def json_key(space: str, fields: dict[str, Column]) -> Column:
+    """`space` and the digest of the fields as JSON, by name; lists are sorted first, missing fields left out."""
+    return F.concat(F.lit(space + ":"), F.md5(F.to_json(F.struct(*(fields[n].alias(n) for n in sorted(fields))))))
+
+
+def legacy_key(space: str, params: dict) -> str:
+    """`space` and the parameters as JSON by name, as the older caches keep them."""
+    return f"{space}:" + json.dumps({k: params[k] for k in sorted(params)}, separators=(",", ":"), ensure_ascii=False)
+
+
 def cache_key(space: str, *parts: Column) -> Column:
     """`space` and the digest of the parts; list parts are sorted first."""
     return F.concat(F.lit(space + ":"), F.md5(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))))

@@ -10,7 +10,7 @@ from quirelake.functions.text import query_cache
 
 
 def with_lifetimes(entries: DataFrame, ttl: tuple[int, int, int] = schema.SEARCH_TTL) -> DataFrame:
-    """Entries (stored_at) with the end of their life at each level."""
+    """Entries (stored_at) with the end of their life at each level; `schema.LIFETIMES` has the lifetimes of what is cached."""
     return entries.withColumns({f"expires_l{i}": F.timestamp_seconds(F.unix_timestamp("stored_at") + s) for i, s in enumerate(ttl, 1)})
 
 
@@ -81,7 +81,21 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def metadata(records: DataFrame) -> DataFrame:
+    """The fields of a record that are kept apart from it."""
+    return records.select("ord", "id", "doi", "title", "authors", "year", "venue", "source", "oa_status", "citation_count", "created_at")
+
+
 def first_seen(rows: DataFrame, key: str) -> DataFrame:
-    """(key, first_ord, n, place): groups in the order in which they first come."""
+    """(key, first_ord, n, place): groups in the order in which they first come.
+
+    Groups are numbered within ranges of their first place, each range by a task
+    of its own, and moved up by the groups of the ranges before.
+    """
     groups = rows.groupBy(key).agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n"))
-    return groups.withColumn("place", F.rank().over(Window.orderBy("first_ord")))
+    width = 100_000
+    ranged = groups.withColumn("range", F.floor(F.col("first_ord") / width))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = ranged.withColumn("at", F.rank().over(Window.partitionBy("range").orderBy("first_ord"))).join(before, "range")
+    return placed.select(key, "first_ord", "n", (F.col("at") + F.col("before")).cast("int").alias("place"))

@@ -35,7 +35,7 @@ _FILLED = {"title": has_text, "year": has_number, "venue": has_text, "abstract":
 def _folded(grouped) -> DataFrame:
     rank = F.col("rank")
     parts = [F.count(F.lit(1)).alias("n_records"), F.min("ord").alias("first_ord")]
-    lead = ("ord", "id", "source", "source_id", "best_pdf_url", "oa_status", "citation_count", "publisher", "language", "created_at", "updated_at", "authors", "title", "year", "venue", "abstract", "topics")
+    lead = ("ord", "id", "doi", "source", "source_id", "best_pdf_url", "oa_status", "citation_count", "publisher", "language", "created_at", "updated_at", "authors", "title", "year", "venue", "abstract", "topics")
     parts.append(F.min_by(F.struct(*lead), rank).alias("lead"))
     for f, filled in _FILLED.items():
         parts.append(F.min(F.when(filled(F.col(f)), F.struct(rank.alias("r"), F.col(f).alias("v")))).alias(f"one_{f}"))
@@ -61,13 +61,16 @@ def merge_groups(records: DataFrame, host: str = DOI_HOST, normalise_single: boo
     unnamed = keyed.where(~F.coalesce(has_text(F.col("doi_norm")), F.lit(False)))
 
     one = _folded(named.groupBy("doi_norm"))
-    # the second filled value is the least beyond the first; only fields whose leader lacks them need it
-    lacking = one.select("doi_norm", *(F.col(f"one_{f}.r").alias(f"r_{f}") for f in _FILLED))
+    # the second filled value is the least beyond the first; only groups whose leader lacks a field that another record has need it
+    needed = F.lit(False)
+    for f, filled in _FILLED.items():
+        needed = needed | (~F.coalesce(filled(F.col(f"lead.{f}")), F.lit(False)) & F.col(f"one_{f}").isNotNull())
+    lacking = one.where((F.col("n_records") > 1) & needed).select("doi_norm", *(F.col(f"one_{f}.r").alias(f"r_{f}") for f in _FILLED))
     second = named.join(lacking, "doi_norm").groupBy("doi_norm").agg(
         *(F.min(F.when(filled(F.col(f)) & (F.col("rank") > F.col(f"r_{f}")), F.struct(F.col("rank").alias("r"), F.col(f).alias("v")))).alias(f"two_{f}") for f, filled in _FILLED.items())
     )
     topics = _topics(named)
-    folded = one.join(second, "doi_norm").join(topics, "doi_norm", "left")
+    folded = one.join(second, "doi_norm", "left").join(topics, "doi_norm", "left")
 
     def merged(f: str) -> Column:
         own = F.col(f"lead.{f}")
@@ -77,29 +80,29 @@ def merge_groups(records: DataFrame, host: str = DOI_HOST, normalise_single: boo
         return F.coalesce(F.col(f"one_{f}.v"), F.col(f"lead.{f}")).alias(f"canonical_{f}")
 
     several = folded.select(
-        F.col("first_ord").alias("ord"), F.col("lead.id").alias("id"), F.when((F.col("n_records") > 1) | F.lit(normalise_single), F.col("doi_norm")).alias("doi"),
+        F.col("first_ord").alias("ord"), F.col("lead.id").alias("id"), F.when((F.col("n_records") > 1) | F.lit(normalise_single), F.col("doi_norm")).otherwise(F.col("lead.doi")).alias("doi"),
         *(merged(f) for f in _FILLED), *(canonical(f) for f in _FILLED),
         F.coalesce(F.col("one_authors.v"), F.array().cast("array<string>")).alias("authors"), F.col("lead.authors").alias("canonical_authors"), F.coalesce("topics", F.col("lead.topics")).alias("topics"),
         F.coalesce(F.col("one_pdf.v.best_pdf_url"), F.col("lead.best_pdf_url")).alias("pdf_url"), F.coalesce(F.col("one_pdf.v.source"), F.col("lead.source")).alias("pdf_source"), F.col("one_landing.v").alias("landing_page"),
         *(F.col(f"lead.{f}").alias(f) for f in ("source", "source_id", "best_pdf_url", "oa_status", "citation_count", "publisher", "language", "created_at", "updated_at")),
         F.coalesce(F.col("lead.oa_status").isin(*schema.OPEN_STATUSES), F.lit(False)).alias("is_redistributable"), F.col("n_records"), F.col("lead.ord").alias("lead_ord"),
     )
-    if not normalise_single:
-        raw = named.select(F.col("ord").alias("lead_ord"), F.col("doi").alias("raw_doi"))
-        several = several.join(raw, "lead_ord", "left").withColumn("doi", F.coalesce("doi", "raw_doi")).drop("raw_doi")
     single = enriched(unnamed.drop("doi_norm")).withColumns({"n_records": F.lit(1).cast("bigint"), "lead_ord": F.col("ord")})
     # groups of one record keep an empty list of topics and their own PDF source
     return several.unionByName(single.select(*several.columns)).drop("lead_ord") if not best_of else _best(several.unionByName(single.select(*several.columns)))
 
 
 def _topics(named: DataFrame) -> DataFrame:
-    """(doi_norm, topics): the leader's topics and what later records add, in order of trust."""
-    spread = named.where(F.col("topics").isNotNull()).select("doi_norm", "rank", F.posexplode("topics").alias("at", "topic"))
-    lead = named.groupBy("doi_norm").agg(F.min("rank").alias("lead_rank"))
-    # a topic is placed where it first stands; the record that brings it keeps its repetitions
-    first = spread.groupBy("doi_norm", "topic").agg(F.min("rank").alias("rank"))
-    kept = spread.join(first, ["doi_norm", "topic", "rank"]).join(lead, "doi_norm")
-    return kept.groupBy("doi_norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "at", "topic"))), lambda x: x["topic"]).alias("topics"))
+    """(doi_norm, topics): the leader's topics and what later records add, in order of trust.
+
+    A topic is placed where it first stands; the record that brings it keeps its
+    repetitions.
+    """
+    places = F.transform(F.array_distinct("topics"), lambda t: F.struct(t.alias("topic"), F.filter(F.sequence(F.lit(0), F.size("topics") - 1), lambda i: F.get("topics", i).eqNullSafe(t)).alias("at")))
+    spread = named.where(F.size("topics") > 0).select("doi_norm", "rank", F.explode(places).alias("x"))
+    first = spread.groupBy("doi_norm", "x.topic").agg(F.min(F.struct("rank", "x.at")).alias("y"))
+    each = first.select("doi_norm", F.transform("y.at", lambda i: F.struct(F.col("y.rank").alias("rank"), i.alias("at"), F.col("topic"))).alias("z"))
+    return each.groupBy("doi_norm").agg(F.transform(F.array_sort(F.flatten(F.collect_list("z"))), lambda x: x["topic"]).alias("topics"))
 
 
 def _best(merged: DataFrame) -> DataFrame:

@@ -46,21 +46,22 @@ def select_sources(queries: DataFrame, metrics: DataFrame, profile: str = "docum
     more) and succeed often enough (0.5 or more), up to the strategy's number.
     """
     spark = queries.sparkSession
-    # the generator keeps the optimiser from copying the analysis into each of its uses
-    analysed = queries.select("*", F.explode(F.array(analysis(F.col("query"), profile))).alias("a")).withColumn("strategy", strategy(F.col("a")))
-    # a few dozen rows: six strategies of at most six sources
-    plan = strategy_table(spark).join(metrics, "source", "inner" if learning else "left").withColumn("score", source_score(F.col("latency"), F.col("success"), F.col("quality")))
+    analysed = queries.select("*", analysis(F.col("query"), profile).alias("a")).withColumn("strategy", strategy(F.col("a"))).withColumn("field", F.col("a.domain"))
+    # a few dozen rows: six strategies of at most six sources, for each of six fields
+    plan = strategy_table(spark).join(F.broadcast(metrics), "source", "inner" if learning else "left").withColumn("score", source_score(F.col("latency"), F.col("success"), F.col("quality")))
     if learning:
         plan = plan.withColumn("at", F.row_number().over(Window.partitionBy("strategy", "tier").orderBy(F.desc("score"), "place"))).where((F.col("tier") == 2) | (F.col("at") <= 2))
     else:
         plan = plan.withColumn("at", F.col("place"))
-    tried = analysed.join(F.broadcast(plan), "strategy", "left")
-    fits = (_cover(F.col("a.domain")) >= 0.3) & (F.coalesce("success", F.lit(1.0)) >= 0.5)
-    gathered = tried.groupBy("query_id", "query", "a", "strategy").agg(F.array_sort(F.collect_list(F.when(fits, F.struct("tier", "at", "source", "success", "latency")))).alias("s"), F.max("most").alias("most"))
+    fields = plan.select("*", F.explode(F.array(*map(F.lit, schema.DOMAINS))).alias("field"))
+    fits = (_cover(F.col("field")) >= 0.3) & (F.coalesce("success", F.lit(1.0)) >= 0.5)
+    gathered = fields.groupBy("strategy", "field").agg(F.array_sort(F.collect_list(F.when(fits, F.struct("tier", "at", "source", "success", "latency")))).alias("s"), F.max("most").alias("most"))
     chosen = gathered.withColumn("s", F.slice("s", F.lit(1), F.greatest(F.coalesce("most", F.lit(0)), F.lit(0))))
+    chosen = analysed.join(F.broadcast(chosen), ["strategy", "field"], "left").withColumn("s", F.coalesce("s", F.array().cast(chosen.schema["s"].dataType)))
     n = F.size("s")
     success = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.nullif(x["success"], F.lit(0.0)), F.lit(0.5)))
     sure = 0.5 + F.when(F.col("a.domain") != "general", 0.2).otherwise(0.0) + F.when(F.col("a.type") != "mixed", 0.1).otherwise(0.0) + 0.3 * success / n
+    # How a choice is explained.
     reason = F.concat_ws(
         "; ",
         F.when(F.col("a.type") == "doi", "DOI query detected - prioritizing DOI authorities").when(F.col("a.type") == "author", "Author search detected - using comprehensive sources").when(F.col("a.type") == "title", "Title search detected - using metadata-rich sources").otherwise("Keyword search detected - using broad coverage sources"),
@@ -86,9 +87,14 @@ SELF_TEST = (
 
 
 def self_test(spark: SparkSession, profile: str = "live", threshold: float = 0.7) -> DataFrame:
-    """(query, passed) of the built-in queries."""
+    """(query, type, domain, passed) of the built-in queries."""
     rows = [(i, q, d, t, list(s)) for i, (q, d, t, s) in enumerate(SELF_TEST)]
     wanted = spark.createDataFrame(rows, "query_id int, query string, want_domain string, want_type string, want_sources array<string>")
     got = select_sources(wanted.select("query_id", "query"), source_table(spark), profile)
     passed = (F.col("domain") == F.col("want_domain")) & (F.col("type") == F.col("want_type")) & F.arrays_overlap("sources", "want_sources") & (F.col("confidence") >= threshold)
     return wanted.drop("query").join(got, "query_id").select("query", "type", "domain", passed.alias("passed"))
+
+
+def tally(results: DataFrame) -> DataFrame:
+    """One row: how many of the self-test's queries passed and failed; a test without a result failed."""
+    return results.agg(F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"), F.count_if(~F.coalesce("passed", F.lit(False))).alias("failed"))

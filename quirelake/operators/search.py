@@ -163,23 +163,23 @@ def page_numbers(total: int, page: int, size: int, slots: int = 7) -> dict:
 FACETS = ("source", "year", "oa_status", "venue", "publisher", "topics")
 
 
-def facet_values(records: DataFrame) -> DataFrame:
-    """(facet, value) of every record: one row a value, so that one shuffle counts all facets; blank values are left out."""
+def facet_values(records: DataFrame, profile: str = "documented", only: tuple[str, ...] = FACETS) -> DataFrame:
+    """(facet, value) of every record: one row a value, so that one shuffle counts all facets asked for; blank values are left out, but `live` keeps a missing status."""
     pair = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
-    values = F.array(
-        pair("source", F.col("source")),
-        pair("year", F.when(has_number(F.col("year")), F.col("year").cast("string"))),
-        pair("oa_status", F.col("oa_status")),
-        pair("venue", F.when(F.trim("venue") != "", F.col("venue"))),
-        pair("publisher", F.when(F.trim("publisher") != "", F.col("publisher"))),
-    )
+    single = {
+        "source": F.col("source"), "year": F.when(has_number(F.col("year")), F.col("year").cast("string")), "oa_status": F.col("oa_status"),
+        "venue": F.when(F.trim("venue") != "", F.col("venue")), "publisher": F.when(F.trim("publisher") != "", F.col("publisher")),
+    }
+    values = F.array(*(pair(f, single[f]) for f in FACETS if f in only and f in single)).cast("array<struct<facet:string,value:string>>")
     topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.struct(F.lit("topics").alias("facet"), F.when(F.trim(t) != "", t).alias("value")))
-    return records.select(F.explode(F.concat(values, topics)).alias("x")).select("x.facet", "x.value").where("value is not null")
+    every = F.concat(values, topics) if "topics" in only else values
+    kept = F.col("value").isNotNull() | F.lit(profile == "live") & (F.col("facet") == "oa_status")
+    return records.select(F.explode(every).alias("x")).select("x.facet", "x.value").where(kept)
 
 
-def facets(records: DataFrame, most: int | None = None) -> DataFrame:
+def facets(records: DataFrame, most: int | None = None, profile: str = "documented", only: tuple[str, ...] = FACETS) -> DataFrame:
     """(facet, value, n), per occurrence; with `most`, the values most frequent in each facet (ties by value)."""
-    counted = facet_values(records).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = facet_values(records, profile, only).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
     if most is None:
         return counted
     place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))

@@ -16,20 +16,46 @@ def moving_average(value: Column, at: Column, n: Column, start: Column, rate: fl
     return start * F.pow(F.lit(1 - rate), n) + F.sum(value * rate * F.pow(F.lit(1 - rate), n - at))
 
 
+#: Width of the slices of time in which rows of one key are numbered and summed; a key's slices are worked on apart.
+SLICE = "1 hour"
+
+
+def _slices(rows: DataFrame, key: str, *parts: Column, every: str = SLICE) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with their slice, a row for each key and slice with `parts` and the window of the slices before it)."""
+    sliced = rows.withColumn("slice", F.window("ts", every)["start"])
+    return sliced, sliced.groupBy(key, "slice").agg(*parts)
+
+
+def numbered(rows: DataFrame, key: str, number: str, *order: str, every: str = SLICE) -> DataFrame:
+    """`rows` with their place within the key, from 1 on, in the order of `ts` and `order`.
+
+    Slices are numbered apart and moved up by how many rows came before them,
+    so that no task holds all rows of a key.
+    """
+    sliced, sizes = _slices(rows, key, F.count(F.lit(1)).alias("size"), every=every)
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy(key, "slice").orderBy("ts", *order))
+    return sliced.withColumn("place", place).join(offsets, [key, "slice"]).withColumn(number, F.col("place") + F.col("offset")).drop("slice", "place", "offset")
+
+
 def learned_metrics(calls: DataFrame, priors: DataFrame) -> DataFrame:
     """(source, n, latency, success, quality) after all calls (source, ts, call_id, latency, ok, results), from the priors on.
 
-    Calls are numbered within a source, so the recursion becomes one
-    aggregate; the numbering is a window over the source's calls.
+    Each slice of a source gives its length and its decayed sums; those of the
+    slices after it decay them further. So the recursion is an aggregate of
+    aggregates.
     """
-    numbered = calls.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("ts", "call_id")))
-    sizes = calls.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    joined = numbered.join(F.broadcast(priors.select("source", F.col("latency").alias("l0"), F.col("success").alias("s0"), F.col("quality").alias("q0"))), "source").join(sizes, "source")
-    n, at = F.col("n"), F.col("at")
-    weigh = lambda v: F.sum(v * RATE * F.pow(F.lit(1 - RATE), n - at))
-    kept = joined.groupBy("source", "n", "l0", "s0", "q0").agg(weigh(F.col("latency")).alias("l"), weigh(F.col("ok").cast("double")).alias("s"), weigh(F.least(F.col("results") / 10, F.lit(1.0))).alias("q"))
-    old = F.pow(F.lit(1 - RATE), n)
-    return kept.select("source", "n", (F.col("l0") * old + F.col("l")).alias("latency"), (F.col("s0") * old + F.col("s")).alias("success"), (F.col("q0") * old + F.col("q")).alias("quality"))
+    keep = F.lit(1 - RATE)
+    sliced, sizes = _slices(calls, "source", F.count(F.lit(1)).alias("size"))
+    placed = sliced.withColumn("at", F.row_number().over(Window.partitionBy("source", "slice").orderBy("ts", "call_id"))).join(sizes, ["source", "slice"])
+    weigh = lambda v: F.sum(v * RATE * F.pow(keep, F.col("size") - F.col("at")))
+    sums = placed.groupBy("source", "slice", "size").agg(weigh(F.col("latency")).alias("l"), weigh(F.col("ok").cast("double")).alias("s"), weigh(F.least(F.col("results") / 10, F.lit(1.0))).alias("q"))
+    later = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = sums.withColumn("f", F.pow(keep, later)).groupBy("source").agg(F.sum("size").alias("n"), *(F.sum(F.col(c) * F.col("f")).alias(c) for c in ("l", "s", "q")))
+    old = F.pow(keep, F.col("n"))
+    known = F.broadcast(priors.select("source", F.col("latency").alias("l0"), F.col("success").alias("s0"), F.col("quality").alias("q0")))
+    return total.join(known, "source").select("source", "n", (F.col("l0") * old + F.col("l")).alias("latency"), (F.col("s0") * old + F.col("s")).alias("success"), (F.col("q0") * old + F.col("q")).alias("quality"))
 
 
 def decayed(metrics: DataFrame, days: Column) -> DataFrame:
@@ -39,17 +65,32 @@ def decayed(metrics: DataFrame, days: Column) -> DataFrame:
 
 
 def running_means(points: DataFrame, key: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("running_mean", F.avg(value).over(w))
+    """`points` with the mean of all values of the key up to each, in order of time."""
+    sliced, sums = _slices(points, key, F.sum(value).alias("sum"), F.count(value).alias("size"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "slice", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("sum0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size0"))
+    within = Window.partitionBy(key, "slice").orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+    running = sliced.withColumns({"sum1": F.coalesce(F.sum(value).over(within), F.lit(0.0)), "size1": F.count(value).over(within)}).join(offsets, [key, "slice"])
+    return running.withColumn("running_mean", F.try_divide(F.col("sum0") + F.col("sum1"), F.col("size0") + F.col("size1"))).drop("slice", "sum0", "size0", "sum1", "size1")
 
 
 def throughput(points: DataFrame) -> DataFrame:
-    """Requests a second between the two points before each; 0 without them or without time between."""
-    w = Window.partitionBy("service").orderBy("ts", "point_id")
-    r1, r2 = F.lag("requests", 1).over(w), F.lag("requests", 2).over(w)
-    t1, t2 = F.lag(F.unix_micros("ts"), 1).over(w), F.lag(F.unix_micros("ts"), 2).over(w)
-    rate = F.when((t1 - t2) > 0, (r1 - r2) / ((t1 - t2) / 1e6))
-    return points.withColumn("throughput", F.coalesce(rate, F.lit(0.0)))
+    """Requests a second between the two points before each; 0 without them or without time between.
+
+    A slice's first points look back to the last two points of the slices before.
+    """
+    w = Window.partitionBy("service", "slice")
+    up, down = w.orderBy("ts", "point_id"), w.orderBy(F.desc("ts"), F.desc("point_id"))
+    sliced = points.withColumn("slice", F.window("ts", SLICE)["start"])
+    now = F.struct(F.unix_micros("ts").alias("t"), F.col("requests").alias("r"))
+    ends = sliced.withColumn("back", F.row_number().over(down)).where("back <= 2").groupBy("service", "slice").agg(F.max(F.when(F.col("back") == 1, now)).alias("last"), F.max(F.when(F.col("back") == 2, now)).alias("last2"))
+    by = Window.partitionBy("service").orderBy("slice")
+    one, two = F.lag("last", 1).over(by), F.coalesce(F.lag("last2", 1).over(by), F.lag("last", 2).over(by))
+    carried = ends.select("service", "slice", one.alias("c1"), two.alias("c2"))
+    rows = sliced.withColumns({"p1": F.lag(now, 1).over(up), "p2": F.lag(now, 2).over(up)}).join(carried, ["service", "slice"])
+    first, second = F.coalesce("p1", "c1"), F.when(F.col("p1").isNull(), F.col("c2")).otherwise(F.coalesce("p2", "c1"))
+    rate = F.when((first["t"] - second["t"]) > 0, (first["r"] - second["r"]) / ((first["t"] - second["t"]) / 1e6))
+    return rows.withColumn("throughput", F.coalesce(rate, F.lit(0.0))).drop("slice", "p1", "p2", "c1", "c2")
 
 
 def latest(points: DataFrame, key: str) -> DataFrame:
@@ -75,25 +116,57 @@ def breakdown(reports: DataFrame) -> DataFrame:
 
 
 def trends(reports: DataFrame) -> DataFrame:
-    """(source, n_calls, mean_latency, success_rate, score, rank) of the sources in the reports' breakdowns, best first."""
-    by = breakdown(reports).groupBy("source").agg(F.count(F.lit(1)).alias("n_calls"), F.avg("latency").alias("mean_latency"), F.avg(F.col("success").cast("double")).alias("success_rate"))
-    scored = by.withColumn("score", F.col("success_rate") * (1 - F.least(F.coalesce("mean_latency", F.lit(0.0)) / 3000, F.lit(1.0))))
+    """(source, n_calls, mean_latency, success_rate, score, rank) of the sources in the reports' breakdowns, best first; missing latencies count as none."""
+    by = breakdown(reports).groupBy("source").agg(F.count(F.lit(1)).alias("n_calls"), F.avg(F.coalesce("latency", F.lit(0.0))).alias("mean_latency"), F.avg(F.coalesce(F.col("success"), F.lit(False)).cast("double")).alias("success_rate"))
+    scored = by.withColumn("score", F.col("success_rate") * (1 - F.least(F.col("mean_latency") / 3000, F.lit(1.0))))
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source")))
 
 
-def advice(reports: DataFrame) -> DataFrame:
-    """(advice, priority) in one row a piece of advice: low success, high latency, few sources."""
-    facts = reports.agg(F.avg(F.when(F.col("success_rate") > 0.5, 1.0).otherwise(0.0)).alias("success"), F.avg("total_latency").alias("latency"))
-    sources = breakdown(reports).agg(F.count_distinct("source").alias("sources"))
-    one = facts.crossJoin(sources)  # one row each
-    piece = lambda test, text, priority: F.when(test, F.struct(F.lit(text).alias("advice"), F.lit(priority).alias("priority")))
-    all_ = F.array(
-        piece(F.coalesce("success", F.lit(0.0)) < 0.8, "Success rate below 80%", "high"),
-        piece(F.coalesce("latency", F.lit(0.0)) > 5000, "High average latency", "medium"),
-        piece(F.col("sources") < 3, "Limited source diversity", "low"),
-    )
-    given = F.filter(all_, lambda x: x.isNotNull())
-    return one.select(F.explode(given).alias("x")).select("x.advice", "x.priority")
+#: Score below which a source underperforms.
+UNDERPERFORMING = 0.7
+
+
+def recent(reports: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """The reports of the last `days` before `now`."""
+    return reports.where(F.col("recorded_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def overall_trends(reports: DataFrame) -> DataFrame:
+    """One row (mean_latency, success_rate, top, underperforming) over all reports given; zeros and empty lists without any."""
+    facts = reports.agg(F.coalesce(F.avg(F.coalesce("total_latency", F.lit(0.0))), F.lit(0.0)).alias("mean_latency"), F.coalesce(F.avg(F.when(F.col("success_rate") > 0.5, 1.0).otherwise(0.0)), F.lit(0.0)).alias("success_rate"))
+    # a row for each source, the few sources of one table
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "source", "score")))
+    lists = trends(reports).agg(ranked.alias("r")).select(F.transform(F.slice("r", 1, 3), lambda x: x["source"]).alias("top"), F.transform(F.filter("r", lambda x: x["score"] < UNDERPERFORMING), lambda x: x["source"]).alias("underperforming"))
+    return facts.crossJoin(lists)  # one row each
+
+
+# Pieces of advice and their priorities.
+ADVICE = (
+    ("Overall success rate is below 80%. Consider reviewing source reliability.", "high"),
+    ("Average latency is above 5 seconds. Consider optimizing source selection.", "medium"),
+    ("Consider reducing usage of underperforming sources: ", "medium"),
+    ("Limited source diversity detected. Consider expanding source selection.", "low"),
+)
+
+
+def selected_sources(reports: DataFrame) -> DataFrame:
+    """(source) of all reports' selections, each once."""
+    return reports.select(F.explode("selected_sources").alias("source")).where("source is not null").distinct()
+
+
+def advice(reports: DataFrame, now: Column) -> DataFrame:
+    """(place, advice, priority): what should be changed, with the one priority of all of it, the highest given.
+
+    Latency, success and underperforming sources are those of the last seven
+    days before `now`, the diversity of sources that of all reports.
+    """
+    one = overall_trends(recent(reports, now)).crossJoin(selected_sources(reports).agg(F.count(F.lit(1)).alias("sources")))  # one row each
+    tests = (F.col("success_rate") < 0.8, F.col("mean_latency") > 5000, F.size("underperforming") > 0, F.col("sources") < 3)
+    texts = [F.lit(text) for text, _ in ADVICE]
+    texts[2] = F.concat(texts[2], F.array_join("underperforming", ", "))
+    given = F.filter(F.array(*(F.when(test, F.struct(F.lit(i).alias("place"), text.alias("advice"))) for i, (test, text) in enumerate(zip(tests, texts, strict=True), 1))), lambda x: x.isNotNull())
+    highest = F.when(tests[0], "high").when(tests[1] | tests[2], "medium").otherwise("low")
+    return one.select(F.explode(given).alias("x"), highest.alias("priority")).select("x.place", "x.advice", "priority")
 
 
 def fallback_summary(calls: DataFrame) -> DataFrame:
@@ -110,6 +183,22 @@ def load_test(calls: DataFrame) -> DataFrame:
     )
 
 
+def reuse_overview(points: DataFrame) -> DataFrame:
+    """One row over the latest point of each service: (requests, reuse_rate, mean_latency, mean_error); the rate of reused connections and latency by requests, errors not."""
+    now = latest(points, "service")
+    return now.agg(
+        F.sum("requests").alias("requests"), F.coalesce(F.try_divide(F.sum("reused").cast("double"), F.sum("requests")), F.lit(0.0)).alias("reuse_rate"),
+        F.coalesce(F.try_divide(F.sum(F.col("latency") * F.col("requests")), F.sum("requests")), F.lit(0.0)).alias("mean_latency"), F.coalesce(F.avg("error_rate"), F.lit(0.0)).alias("mean_error"),
+    )
+
+
+def load_summary(tests: DataFrame, baseline: dict[str, float]) -> DataFrame:
+    """One row over load tests (mean_ms, per_second, error_rate): plain means over the services, and how much better than `baseline` they are in percent."""
+    sums = tests.agg(F.count(F.lit(1)).alias("services"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("mean_ms", "per_second", "error_rate")))
+    better = {c: improvement(F.lit(baseline[c]), F.col(c)) * (1 if c == "per_second" else -1) for c in baseline}
+    return sums.select("*", *(c.alias(f"{n}_change") for n, c in better.items()))
+
+
 def service_overview(points: DataFrame) -> DataFrame:
     """One row over the latest point of each service: plain means, summed throughput; weighted forms beside them."""
     now = latest(throughput(points), "service")
@@ -125,19 +214,10 @@ def against_baseline(now: DataFrame, baseline: DataFrame) -> DataFrame:
     return now.join(b, "service").select("service", improvement(F.col("b_latency"), F.col("latency")).alias("latency_change"), improvement(F.col("b_error"), F.col("error_rate")).alias("error_change"))
 
 
-def popular(uses: DataFrame, key: str, reference: Column, days: int, title: str | None = None) -> DataFrame:
-    """(key, uses, last_used) of what was used within `days` before `reference`, most used first; with a title, the first seen."""
+def popular(uses: DataFrame, key: str, reference: Column, days: int, title: str | None = None, most: int | None = None) -> DataFrame:
+    """(key, uses, last_used) of what was used within `days` before `reference`; with a title, the first seen; with `most`, so many of the most used."""
     parts = [F.count(F.lit(1)).alias("uses"), F.max("ts").alias("last_used")]
     if title:
         parts.append(F.min_by(title, F.when(F.col(title).isNotNull(), F.struct("ts", "use_id"))).alias(title))
-    return uses.groupBy(key).agg(*parts).where(F.col("last_used") >= reference - F.make_dt_interval(F.lit(days)))
-
-
-def rescaled_counts(facets: DataFrame, total: int) -> DataFrame:
-    """Counts of each facet repaired for display: scaled to `total` where all are equal, or their sum is out of proportion to it."""
-    w = Window.partitionBy("facet")
-    s, low, high, k = F.sum("n").over(w), F.min("n").over(w), F.max("n").over(w), F.count(F.lit(1)).over(w)
-    equal = (low == high) & (k > 1)
-    off = (s > 1.5 * total) | (s < 0.5 * total)
-    shown = F.when(off, round_half_up(F.col("n") * total / s)).when(equal, round_half_up(F.col("n") * 0.5)).otherwise(F.col("n"))
-    return facets.withColumn("shown", shown.cast("bigint"))
+    kept = uses.groupBy(key).agg(*parts).where(F.col("last_used") >= reference - F.make_dt_interval(F.lit(days)))
+    return kept if most is None else kept.orderBy(F.desc("uses"), key).limit(most)

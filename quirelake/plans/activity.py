@@ -16,20 +16,19 @@ SQL: dict[str, str] = {}
 
 
 # classification of titles as queries
-def _sql_any(x: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words.split(",")) + ")"
+def _sql_any(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 
 
-def _sql_hits(words: str) -> str:
-    return "(" + " + ".join(f"contains(lower(q), '{w}')::INT" for w in words.split(",")) + ")"
+def _sql_hits(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(lower(q), '{w}')::INT" for w in words) + ")"
 
 
 _ANALYSED = R.rstrip() + ", q AS (SELECT ord, trim(title) AS q FROM r WHERE title IS NOT NULL), s AS (SELECT *, " + ", ".join(f"{_sql_hits(w)} AS s{i}" for i, w in enumerate(classify.DOMAIN_WORDS.values())) + " FROM q), a AS (SELECT ord, q, CASE WHEN q = '' THEN 'mixed' WHEN regexp_matches(q, '(?i)^10\\.\\d{4,}/[^\\s]+$') THEN 'doi' WHEN regexp_matches(q, '^[A-Z][^.!?]*[.!?]?$') AND length(q) > 20 THEN 'title' WHEN regexp_matches(q, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+(?:,\\s*[A-Z][a-z]+\\s+[A-Z][a-z]+)*\\b') THEN 'author' WHEN regexp_matches(q, '(?i)\\b(?:cited|references?|citations?|bibliography)\\b') THEN 'citation' WHEN " + _sql_any("q", classify.KEYWORD_WORDS) + " THEN 'keywords' ELSE 'mixed' END AS type, CASE WHEN greatest(s0,s1,s2,s3,s4) = 0 THEN 'general' " + " ".join(f"WHEN s{i} = greatest(s0,s1,s2,s3,s4) THEN '{name}'" for i, name in enumerate(classify.DOMAIN_WORDS)) + " END AS domain, CASE WHEN q <> '' AND (" + _sql_any("lower(q)", classify.COMPLEX_WORDS) + " OR len(regexp_split_to_array(q, '\\s+')) > 10 OR contains(q,' and ') OR contains(q,' or ') OR contains(q,' vs ')) THEN 'complex' ELSE 'simple' END AS complexity, CASE WHEN " + _sql_any("lower(q)", classify.PRESENT_WORDS) + " THEN 'high' ELSE 'medium' END AS sensitivity FROM s) "
 
 
 def _classified(spark, d):
-    # the generator keeps the optimiser from copying the analysis into each of its fields
-    a = records(spark, d).where("title is not null").select("ord", F.explode(F.array(classify.analysis(F.col("title")))).alias("a"))
+    a = records(spark, d).where("title is not null").select("ord", classify.analysis(F.col("title")).alias("a"))
     return a.select("ord", "a.type", "a.domain", "a.complexity", "a.expected", "a.sensitivity")
 
 
@@ -99,11 +98,7 @@ QUERIES["baseline_improvement"] = _baseline
 SQL["baseline_improvement"] = CALLS.rstrip() + ", h AS (SELECT service, ts < TIMESTAMP '2024-01-15' AS half, avg(latency) AS latency, avg(1 - ok::INT) AS error_rate FROM calls GROUP BY ALL) SELECT a.service, round((a.latency - b.latency) / nullif(b.latency,0) * 100, 6) AS latency_change, round((a.error_rate - b.error_rate) / nullif(b.error_rate,0) * 100, 6) AS error_change FROM h a JOIN h b ON a.service = b.service AND NOT a.half AND b.half"
 _BREAK = "WITH b AS (SELECT report_id, unnest(source_breakdown) AS b FROM performance_reports), s AS (SELECT b.source AS source, b.latency AS latency, b.result_count AS result_count, b.success AS success, b.error AS error FROM b) "
 QUERIES["trends_by_source"] = lambda spark, d: rounded(telemetry.trends(table(spark, d, "performance_reports")), "mean_latency", "success_rate", "score")
-SQL["trends_by_source"] = _BREAK.rstrip() + ", t AS (SELECT source, count(*) AS n_calls, avg(latency) AS mean_latency, avg(success::INT) AS success_rate FROM s GROUP BY source) SELECT source, n_calls, round(mean_latency,6) AS mean_latency, round(success_rate,6) AS success_rate, round(success_rate * (1 - least(coalesce(mean_latency,0) / 3000, 1)),6) AS score, row_number() OVER (ORDER BY success_rate * (1 - least(coalesce(mean_latency,0) / 3000, 1)) DESC, source)::INT AS rank FROM t"
-QUERIES["recommendations"] = lambda spark, d: telemetry.advice(table(spark, d, "performance_reports"))
-SQL["recommendations"] = _BREAK.rstrip() + ", f AS (SELECT avg(CASE WHEN success_rate > 0.5 THEN 1.0 ELSE 0.0 END) AS success, avg(total_latency) AS latency FROM performance_reports), k AS (SELECT count(DISTINCT source) AS sources FROM s) SELECT 'Success rate below 80%' AS advice, 'high' AS priority FROM f WHERE coalesce(success,0) < 0.8 UNION ALL SELECT 'High average latency', 'medium' FROM f WHERE coalesce(latency,0) > 5000 UNION ALL SELECT 'Limited source diversity', 'low' FROM k WHERE sources < 3"
-QUERIES["distinct_sources"] = lambda spark, d: telemetry.breakdown(table(spark, d, "performance_reports")).agg(F.count_distinct("source").alias("n"))
-SQL["distinct_sources"] = _BREAK + "SELECT count(DISTINCT source) AS n FROM s"
+SQL["trends_by_source"] = _BREAK.rstrip() + ", t AS (SELECT source, count(*) AS n_calls, avg(coalesce(latency, 0)) AS mean_latency, avg(coalesce(success, false)::INT) AS success_rate FROM s GROUP BY source) SELECT source, n_calls, round(mean_latency,6) AS mean_latency, round(success_rate,6) AS success_rate, round(success_rate * (1 - least(coalesce(mean_latency,0) / 3000, 1)),6) AS score, row_number() OVER (ORDER BY success_rate * (1 - least(coalesce(mean_latency,0) / 3000, 1)) DESC, source)::INT AS rank FROM t"
 QUERIES["retry_delays"] = lambda spark, d: table(spark, d, "region").select("r_regionkey", scores.retry_delay(F.lit(1000.0), F.col("r_regionkey") + 1).alias("delay"))
 SQL["retry_delays"] = "SELECT r_regionkey, least(1000.0 * pow(2.0, r_regionkey), 10000.0) AS delay FROM region"
 
@@ -149,13 +144,3 @@ QUERIES["win_sliding"] = lambda spark, d: calls(spark, d).groupBy(F.window("ts",
 SQL["win_sliding"] = CALLS.rstrip() + ", s AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS start FROM calls UNION ALL SELECT epoch(date_trunc('hour', ts))::BIGINT - 3600 FROM calls) SELECT start, count(*) AS n FROM s GROUP BY start"
 QUERIES["win_session"] = lambda spark, d: calls(spark, d).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("w.start").alias("start"), "n")
 SQL["win_session"] = CALLS.rstrip() + ", g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM calls), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k"
-
-
-def _rescale(spark, d):
-    from quirelake.operators.search import facets
-
-    return telemetry.rescaled_counts(facets(records(spark, d)).where("facet in ('source', 'oa_status')"), 10_000)
-
-
-QUERIES["facet_rescale_ui"] = _rescale
-SQL["facet_rescale_ui"] = R.rstrip() + ", c AS (SELECT 'source' AS facet, source AS value, count(*) AS n FROM r WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'oa_status', oa_status, count(*) FROM r WHERE oa_status IS NOT NULL GROUP BY oa_status), w AS (SELECT *, sum(n) OVER (PARTITION BY facet) AS s, min(n) OVER (PARTITION BY facet) AS lo, max(n) OVER (PARTITION BY facet) AS hi, count(*) OVER (PARTITION BY facet) AS k FROM c) SELECT facet, value, n, (CASE WHEN s > 15000 OR s < 5000 THEN floor(n * 10000 / s + 0.5) WHEN lo = hi AND k > 1 THEN floor(n * 0.5 + 0.5) ELSE n END)::BIGINT AS shown FROM w"

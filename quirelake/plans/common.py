@@ -67,11 +67,10 @@ CALLS = """WITH calls AS (SELECT event_id AS call_id, ts, (['openalex','crossref
 
 def points(spark: SparkSession, directory: str) -> DataFrame:
     """Events as the points of five services, with running counts of requests."""
-    from pyspark.sql import Window
+    from quirelake.operators.telemetry import numbered
 
-    c = calls(spark, directory)
-    w = Window.partitionBy("service").orderBy("ts", "call_id")
-    return c.select(F.col("call_id").alias("point_id"), "ts", "service", F.row_number().over(w).cast("bigint").alias("requests"), "latency", F.when(F.col("ok"), 0.0).otherwise(1.0).alias("error_rate"))
+    c = numbered(calls(spark, directory), "service", "requests", "call_id")
+    return c.select(F.col("call_id").alias("point_id"), "ts", "service", F.col("requests").cast("bigint").alias("requests"), "latency", F.when(F.col("ok"), 0.0).otherwise(1.0).alias("error_rate"))
 
 
 POINTS = CALLS.rstrip() + """, points AS (SELECT call_id AS point_id, ts, service, row_number() OVER (PARTITION BY service ORDER BY ts, call_id)::BIGINT AS requests, latency, CASE WHEN ok THEN 0.0 ELSE 1.0 END AS error_rate FROM calls)

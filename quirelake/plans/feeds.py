@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quirelake import schema
+from quirelake.operators.staging import ensure_checkpoint_dir
 from quirelake.plans.activity import SQL as ACTIVITY_SQL
 from quirelake.plans.common import CALLS, Query, rounded
 from quirelake.sources import parsers
@@ -64,16 +64,16 @@ for _name in SAMPLES:
 
 
 def _shared_folder(spark) -> str:
-    """A new folder that all executors share: below the checkpoint folder if one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share, below the checkpoint folder; only on one machine may that be one of its own."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d):
     names = F.array(*(F.lit(s) for s in ("openalex", "crossref", "europepmc", "ncbi", "arxiv", "core")))
     shape = spark.read.parquet(f"{d}/events.parquet").schema
     e = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(d)
-    return e.select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("source"), F.col("event_type").alias("service"), F.col("value").alias("latency"), (F.col("event_type") != "error").alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("results"))
+    return e.select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("source"), F.col("event_type").alias("service"), F.col("value").alias("latency"), (F.col("event_type") != "error").alias("ok"), F.get_json_object("props", "$.k").cast("int").alias("results"), "user_id")
 
 
 def _stream_costs(spark, d):
@@ -97,12 +97,44 @@ SQL["stream_popular"] = CALLS + "SELECT service AS key, count(*) AS uses, epoch_
 
 
 def _stream_sampled(spark, d):
-    out = jobs.run_once(jobs.sampled(_stream(spark, d)), _shared_folder(spark))
-    return out.select(F.unix_timestamp("slice").alias("slice"), "service", "call_id", "n")
+    out = jobs.run_once(jobs.sampled(_stream(spark, d)), _shared_folder(spark), "update")
+    last = out.groupBy("slice", "service").agg(F.max_by(F.struct("call_id", "n"), "batch").alias("x"))
+    return last.select(F.unix_timestamp("slice").alias("slice"), "service", "x.call_id", "x.n")
 
 
 QUERIES["stream_sampled"] = _stream_sampled
-SQL["stream_sampled"] = CALLS.rstrip() + ", m AS (SELECT max(ts) AS newest FROM calls) SELECT epoch(date_trunc('hour', ts))::BIGINT AS slice, service, arg_max(call_id, (ts, call_id)) AS call_id, count(*) AS n FROM calls, m GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= any_value(newest) - INTERVAL 1 HOUR"
+SQL["stream_sampled"] = CALLS + "SELECT epoch(date_trunc('hour', ts))::BIGINT AS slice, service, arg_max(call_id, (ts, call_id)) AS call_id, count(*) AS n FROM calls GROUP BY ALL"
+
+
+def _stream_popular_ttl(spark, d):
+    out = jobs.run_once(jobs.popularity(_stream(spark, d), "user_id", 1), _shared_folder(spark), "update")
+    last = out.groupBy("key").agg(F.max_by(F.struct("uses", "last_used"), "batch").alias("x"))
+    return last.select("key", "x.uses", "x.last_used").where("uses > 0")
+
+
+QUERIES["stream_popular_ttl"] = _stream_popular_ttl
+SQL["stream_popular_ttl"] = CALLS.rstrip() + ", m AS (SELECT max(ts) AS newest FROM calls) SELECT user_id::VARCHAR AS key, count(*) AS uses, epoch_us(max(ts)) AS last_used FROM calls, m GROUP BY user_id HAVING max(ts) + INTERVAL 1 DAY > any_value(newest)"
+
+_STEPS = CALLS.replace("WITH calls", "WITH RECURSIVE calls").rstrip() + ", o AS (SELECT call_id, {key} AS k, epoch_us(ts) AS t, ok, row_number() OVER (PARTITION BY {key} ORDER BY ts, call_id) AS i FROM calls), "
+
+
+def _stepped(job, *arguments) -> Query:
+    def run(spark, d):
+        rows = _stream(spark, d).select(F.col("call_id").alias("id"), "ts", "ok", "user_id", "source")
+        return jobs.run_once(job(rows, *arguments), _shared_folder(spark)).select(F.col("id").alias("call_id"), "result")
+
+    return run
+
+
+QUERIES["stream_cache_levels"] = _stepped(jobs.cache_levels, "user_id", (3600, 10800, 86400))
+SQL["stream_cache_levels"] = _STEPS.format(key="user_id") + """s AS (SELECT call_id, k, i, t + 3600000000 AS a, t + 10800000000 AS b, 0 AS result FROM o WHERE i = 1 UNION ALL
+ SELECT o.call_id, o.k, o.i, CASE WHEN o.t <= s.a THEN s.a ELSE o.t + 3600000000 END, CASE WHEN o.t <= s.a OR o.t <= s.b THEN s.b ELSE o.t + 10800000000 END, CASE WHEN o.t <= s.a THEN 1 WHEN o.t <= s.b THEN 2 ELSE 3 END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) SELECT call_id, result FROM s"""
+QUERIES["stream_cached_errors"] = _stepped(jobs.cached_errors, "source", 7200)
+SQL["stream_cached_errors"] = _STEPS.format(key="source") + """s AS (SELECT call_id, k, i, CASE WHEN ok THEN 0 ELSE t END AS e, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS result FROM o WHERE i = 1 UNION ALL
+ SELECT o.call_id, o.k, o.i, CASE WHEN s.e > 0 AND o.t - s.e <= 7200000000 THEN s.e WHEN o.ok THEN 0 ELSE o.t END, CASE WHEN s.e > 0 AND o.t - s.e <= 7200000000 THEN 'suppressed' WHEN o.ok THEN 'ok' ELSE 'failed' END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) SELECT call_id, result FROM s"""
+QUERIES["stream_single_flight"] = _stepped(jobs.single_flights, "source", 1200)
+SQL["stream_single_flight"] = _STEPS.format(key="source") + """s AS (SELECT call_id, k, i, t + 1200000000 AS u, 'started' AS result FROM o WHERE i = 1 UNION ALL
+ SELECT o.call_id, o.k, o.i, CASE WHEN o.t < s.u THEN s.u ELSE o.t + 1200000000 END, CASE WHEN o.t < s.u THEN 'joined' ELSE 'started' END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) SELECT call_id, result FROM s"""
 
 
 def _stream_counted(spark, d):

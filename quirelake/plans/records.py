@@ -61,6 +61,7 @@ _filtered("filter_publisher", lambda: search.one_of(F.col("publisher"), ("Orchar
 _filtered("filter_topics_any", lambda: search.any_topic(F.col("topics"), ("ecology", "optics", "climate")), "coalesce(list_has_any(topics, ['ecology','optics','climate']), false)")
 _filtered("filter_pubtype_or", lambda: search.publication_types(F.col("source"), ("peer-reviewed", "preprint")), "source IN ('europepmc','ncbi','arxiv')")
 _filtered("filter_pubtype_and", lambda: search.publication_types(F.col("source"), ("peer-reviewed", "preprint"), every=True), "source IN ('europepmc','ncbi') AND source IN ('arxiv')")
+_filtered("filter_pubtype_live", lambda: search.publication_types(F.col("source"), ("preprint", "unknown"), every=True), "source IN ('arxiv')")
 _filtered("gate_oa_pdf", lambda: search.is_open(F.col("oa_status")) & search.has_pdf([]), f"oa_status IN ('published','preprint') AND {sql_text('best_pdf_url')}")
 _filtered("keyword_contains", lambda: search.contains_all("Sediment transport"), "coalesce(contains(lower(title), 'sediment transport'), false) OR coalesce(contains(lower(abstract), 'sediment transport'), false)")
 _filtered("doi_detect", lambda: tx.is_doi(F.col("doi")), f"regexp_matches(lower({sql_trim('doi')}), '^10\\.\\d{{4,}}/\\S+$')")
@@ -90,8 +91,13 @@ _SORTS = {
 for _name, (_sort, _sql) in _SORTS.items():
     QUERIES[_name] = lambda spark, d, s=_sort: search.page_of(records(spark, d), Search(page=2, page_size=25, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
     SQL[_name] = R + f"SELECT ord, id, row_number() OVER (ORDER BY {_sql}, ord) AS place FROM r QUALIFY place BETWEEN 26 AND 50"
-for _name, _column in (("sort_title_page", "title"), ("sort_venue_page", "venue"), ("sort_author_page", "author")):
-    QUERIES[_name] = lambda spark, d, s=_column: search.page_of(records(spark, d), Search(page=1, page_size=40, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
+for _name, _sort, _sql, _way in (
+    ("sort_title_page", "title", "title", ""), ("sort_venue_page", "venue", "venue", ""), ("sort_author_page", "author", "authors[1]", ""),
+    ("sort_title_desc", "title_desc", "title", " DESC"), ("sort_venue_desc", "venue_desc", "venue", " DESC"), ("sort_author_desc", "author_desc", "authors[1]", " DESC"),
+):
+    QUERIES[_name] = lambda spark, d, s=_sort: search.page_of(records(spark, d), Search(page=1, page_size=40, sort=s)).select("ord", "id", F.col("place").cast("bigint").alias("place"))
+    # words are compared by their sort keys in the root collation
+    SQL[_name] = R + f"SELECT ord, id, row_number() OVER (ORDER BY icu_sort_key(coalesce({_sql}, ''), 'root'){_way}, ord) AS place FROM r QUALIFY place <= 40"
 
 _SCORE = """(CASE WHEN title <> '' THEN 10 ELSE 0 END + CASE WHEN len(authors) > 0 THEN 10 ELSE 0 END + CASE WHEN year <> 0 THEN 5 ELSE 0 END + CASE WHEN venue <> '' THEN 5 ELSE 0 END + CASE WHEN abstract <> '' THEN 10 ELSE 0 END
  + CASE WHEN oa_status = 'published' THEN 10 WHEN oa_status = 'preprint' THEN 5 ELSE 0 END + CASE WHEN citation_count <> 0 THEN least(citation_count / 10, 10) ELSE 0 END)"""
@@ -117,7 +123,7 @@ def _relevance_page(spark, d):
     return search.page_of(records(spark, d), Search()).select("ord", "id", F.col("place").cast("bigint").alias("place"))
 
 
-_PRIO = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate("crossref openalex unpaywall europepmc core openaire plos mdpi elife frontiers arxiv biorxiv medrxiv zenodo osf hal scielo redalyc doaj ncbi opencitations".split(), 1)) + " ELSE 100 END"
+_PRIO = "CASE source WHEN 'crossref' THEN 1 WHEN 'openalex' THEN 2 WHEN 'unpaywall' THEN 3 WHEN 'europepmc' THEN 4 WHEN 'core' THEN 5 WHEN 'openaire' THEN 6 WHEN 'plos' THEN 7 WHEN 'mdpi' THEN 8 WHEN 'elife' THEN 9 WHEN 'frontiers' THEN 10 WHEN 'arxiv' THEN 11 WHEN 'biorxiv' THEN 12 WHEN 'medrxiv' THEN 13 WHEN 'zenodo' THEN 14 WHEN 'osf' THEN 15 WHEN 'hal' THEN 16 WHEN 'scielo' THEN 17 WHEN 'redalyc' THEN 18 WHEN 'doaj' THEN 19 WHEN 'ncbi' THEN 20 WHEN 'opencitations' THEN 21 ELSE 100 END"
 
 
 def _merge_sql(single: bool) -> str:
@@ -189,7 +195,7 @@ SQL["facets_all_long"] = _FACETS + "SELECT facet, value, n FROM c"
 QUERIES["facets_top100"] = lambda spark, d: search.facets(records(spark, d), 100)
 SQL["facets_top100"] = _FACETS + "SELECT facet, value, n FROM c QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 100"
 for _f in ("source", "oa_status", "venue", "publisher", "topics"):
-    QUERIES[f"facet_{_f}"] = lambda spark, d, f=_f: search.facets(records(spark, d)).where(F.col("facet") == f).select("value", "n")
+    QUERIES[f"facet_{_f}"] = lambda spark, d, f=_f: search.facets(records(spark, d), only=(f,)).select("value", "n")
     SQL[f"facet_{_f}"] = _FACETS + f"SELECT value, n FROM c WHERE facet = '{_f}'"
 QUERIES["facet_year_top10"] = lambda spark, d: search.newest_years(records(spark, d))
 SQL["facet_year_top10"] = R + "SELECT year::VARCHAR AS value, count(*) AS n FROM r WHERE year <> 0 GROUP BY year ORDER BY year DESC LIMIT 10"

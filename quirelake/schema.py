@@ -20,7 +20,8 @@ RECORD = T.StructType(
 )
 
 # Sources by the trust that merging puts in them, first is best; sources not listed rank 100.
-PRIORITY = {name: rank for rank, name in enumerate("crossref openalex unpaywall europepmc core openaire plos mdpi elife frontiers arxiv biorxiv medrxiv zenodo osf hal scielo redalyc doaj ncbi opencitations".split(), 1)}
+TRUSTED = ("crossref", "openalex", "unpaywall", "europepmc", "core", "openaire", "plos", "mdpi", "elife", "frontiers", "arxiv", "biorxiv", "medrxiv", "zenodo", "osf", "hal", "scielo", "redalyc", "doaj", "ncbi", "opencitations")
+PRIORITY = {name: rank for rank, name in enumerate(TRUSTED, 1)}
 DEFAULT_PRIORITY = 100
 # Points that a source adds to a record's score; others add none.
 BONUS = {
@@ -54,8 +55,12 @@ YEAR_SHARES = {2025: 0.15, 2024: 0.25, 2023: 0.20, 2022: 0.15, 2021: 0.10, 2020:
 
 # Display names.
 SOURCE_LABELS = {"openalex": "OpenAlex", "crossref": "Crossref", "europepmc": "Europe PMC", "ncbi": "NCBI", "arxiv": "arXiv", "core": "CORE", "doaj": "DOAJ", "datacite": "DataCite"}
-# A search's default lifetime in seconds at the three cache levels.
-SEARCH_TTL = (300, 3600, 86400)
+STATUS_LABELS = {"preprint": "Preprint", "accepted": "Author Accepted", "published": "Published", "other": "Other"}
+PUBLISHER_LABELS = {"Nature Publishing Group": "Nature", "Oxford University Press": "Oxford UP", "Cambridge University Press": "Cambridge UP"}
+FACET_SOURCE_LABELS = {"arxiv": "arXiv", "core": "CORE", "europepmc": "Europe PMC", "ncbi": "NCBI/PMC"}
+# Lifetimes in seconds at the three cache levels, by what is cached.
+LIFETIMES = {"search_results": (300, 3600, 86400), "paper_details": (600, 7200, 604800), "api_responses": (60, 1800, 7200), "facets": (900, 3600, 21600), "metadata": (1800, 14400, 86400)}
+SEARCH_TTL = LIFETIMES["search_results"]
 
 
 def from_harvest(rows: DataFrame) -> DataFrame:

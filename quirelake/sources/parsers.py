@@ -8,6 +8,7 @@ object or list are read as variants. Payloads that aren't valid give no record.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,15 +152,21 @@ def _plain(v: Column, path: str) -> Column:
     return F.coalesce(get(f"{path}['$']"), *first, F.when(~whole.rlike(r"^[\[{]"), whole))
 
 
+def _listed(v: Column, path: str) -> Column:
+    """What stands at a path as a list: its elements, or itself as the only one; empty if nothing does."""
+    one = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+
+
 def openaire(df: DataFrame) -> DataFrame:
     """Results of the graph, given as JSON made from XML."""
     p = df.select(F.try_parse_json("raw").alias("v")).where("v is not null")
     root = "$.metadata['oaf:entity']['oaf:result']"
-    urls = F.array(*(F.coalesce(_plain(F.col("v"), f"{root}.children.instance[{i}].webresource.url"), _plain(F.col("v"), f"{root}.children.instance.webresource.url")) for i in range(4)))
-    known = F.filter(F.array_distinct(urls), lambda u: u.isNotNull())
+    places = F.flatten(F.transform(_listed(F.col("v"), f"{root}.children.instance"), lambda i: _listed(i, "$.webresource")))
+    known = F.filter(F.array_distinct(F.flatten(F.transform(places, lambda w: F.transform(_listed(w, "$.url"), lambda u: _plain(u, "$"))))), lambda u: u.isNotNull())
     is_pdf = lambda u: F.lower(u).contains("pdf")
     return _record(
-        p, "openaire", source_id=_plain(F.col("v"), "$.header['dri:objIdentifier']"), doi=_plain(F.col("v"), f"{root}.pid"), title=F.coalesce(_plain(F.col("v"), f"{root}.title"), F.lit("Untitled")), authors=F.filter(F.array(*(_plain(F.col("v"), f"{root}.creator[{i}]") for i in range(10)), _plain(F.col("v"), f"{root}.creator['$']")), lambda a: a.isNotNull()),
+        p, "openaire", source_id=_plain(F.col("v"), "$.header['dri:objIdentifier']"), doi=_plain(F.col("v"), f"{root}.pid"), title=F.coalesce(_plain(F.col("v"), f"{root}.title"), F.lit("Untitled")), authors=F.filter(F.transform(_listed(F.col("v"), f"{root}.creator"), lambda c: _plain(c, "$")), lambda a: a.isNotNull()),
         year=leading_year(_plain(F.col("v"), f"{root}.dateofacceptance")), venue=_plain(F.col("v"), f"{root}.journal"), publisher=_plain(F.col("v"), f"{root}.publisher"), abstract=strip_html(_plain(F.col("v"), f"{root}.description")), oa_status=F.lit("published"),
         best_pdf_url=first_where(known, is_pdf), landing_page=first_where(known, lambda u: ~is_pdf(u)), language=F.coalesce(F.try_variant_get(F.col("v"), f"{root}.language['@classid']", "string"), F.lit("en")),
     )
@@ -192,6 +199,40 @@ def opencitations(df: DataFrame) -> DataFrame:
     return _record(p, "opencitations", source_id=F.col("citing"), doi=F.col("citing"), title=F.concat(F.lit("Paper cited by "), F.col("citing")), year=leading_year(first["creation"]), venue=first["journal_sc"], oa_status=F.lit("other"), landing_page=F.concat(F.lit("https://doi.org/"), F.col("citing")), created_at=first["creation"])
 
 
+def pubmed_found(ids: DataFrame, articles: DataFrame) -> DataFrame:
+    """The second of two steps: articles of the ids that a search gave; `ids` holds its answers as JSON, `articles` the sets fetched."""
+    found = ids.select(F.explode(F.from_json("raw", "esearchresult struct<idlist:array<string>>")["esearchresult"]["idlist"]).alias("source_id")).distinct()
+    return pubmed(articles).join(found, "source_id", "left_semi")
+
+
+def preprints(by_server: dict[str, DataFrame], doi: str) -> DataFrame:
+    """The records of a DOI on all servers."""
+    found = [biorxiv(raw, server) for server, raw in by_server.items()]
+    return reduce(DataFrame.unionByName, found).where(F.lower("doi") == doi.strip().lower())
+
+
+def recent_preprints(by_server: dict[str, DataFrame], words: str, today: Column, year_from: int | None = None, year_to: int | None = None, days: int = 30, most: int = 50) -> DataFrame:
+    """Preprints of the last days whose title or abstract contains the words in any case, the first so many of each server."""
+    low = F.lit(words.lower())
+    day = F.try_to_timestamp("created_at").cast("date")
+    test = (F.coalesce(F.contains(F.lower("title"), low), F.lit(False)) | F.coalesce(F.contains(F.lower("abstract"), low), F.lit(False))) & day.between(F.date_sub(today, days), today)
+    for bound, side in ((year_from, "ge"), (year_to, "le")):
+        if bound:
+            test = test & (F.col("year") >= bound if side == "ge" else F.col("year") <= bound)
+    found = [biorxiv(raw, server).where(test).orderBy("created_at", "id").limit(most) for server, raw in by_server.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def unpaywall_best(df: DataFrame) -> DataFrame:
+    """(doi, pdf, licence, version): the publisher's address and licence and the published version first, else the best location's."""
+    place = "struct<url_for_pdf:string,host_type:string,license:string,version:string>"
+    p = _json(df, f"doi string, oa_locations array<{place}>, best_oa_location {place}")
+    places = F.coalesce("p.oa_locations", F.array().cast(f"array<{place}>"))
+    publisher = lambda f: first_where(places, lambda x: (x["host_type"] == "publisher") & has_text(x[f]), f)
+    version = first_where(places, lambda x: x["version"] == "publishedVersion", "version")
+    return p.select("p.doi", F.coalesce(publisher("url_for_pdf"), "p.best_oa_location.url_for_pdf").alias("pdf"), F.coalesce(publisher("license"), "p.best_oa_location.license").alias("licence"), F.coalesce(version, "p.best_oa_location.version").alias("version"))
+
+
 #: Parsers by the name of the source.
 PARSERS: dict[str, Parser] = {
     "openalex": openalex, "crossref": crossref, "unpaywall": unpaywall, "arxiv": arxiv, "ncbi": pubmed, "europepmc": europepmc, "core": core, "datacite": datacite, "doaj": doaj, "openaire": openaire, "biorxiv": biorxiv, "plos": plos, "opencitations": opencitations,

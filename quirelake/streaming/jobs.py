@@ -37,6 +37,7 @@ def _uses(idle_ms: int | None) -> Callable:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({"key": [key[0]], "uses": [0], "last_used": [0]})
             return
         uses, last = state.get if state.exists else (0, 0)
         for part in parts:
@@ -44,27 +45,99 @@ def _uses(idle_ms: int | None) -> Callable:
             last = max(last, int(part["used_us"].max()))
         state.update((int(uses), int(last)))
         if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]], "uses": [uses], "last_used": [last]})
 
     return step
 
 
-def popularity(uses: DataFrame, key: str, idle_days: int | None = None) -> DataFrame:
+def popularity(uses: DataFrame, key: str, idle_days: float | None = None, late: str = "0 seconds") -> DataFrame:
     """Uses of each key and the last one in microseconds.
 
-    With `idle_days`, keys that stay idle so long are forgotten. Their clock is
-    the processing time, so such a stream has batches for ever: give it no
-    trigger that waits for the last one.
+    With `idle_days`, keys that stay idle so long, by the time of the uses, are
+    forgotten: they come out once more with no uses, and start anew when used.
     """
-    timed = uses.withColumn("used_us", F.unix_micros("ts"))
-    timeout = GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.ProcessingTimeTimeout
-    step = _uses(None if idle_days is None else idle_days * 86_400_000)
-    return timed.groupBy(key).applyInPandasWithState(step, "key string, uses bigint, last_used bigint", "uses bigint, last_used bigint", "update", timeout)
+    timed = uses.withColumns({"used_us": F.unix_micros("ts"), "key": F.col(key).cast("string")})
+    if idle_days is not None:
+        timed = timed.withWatermark("ts", late)
+    timeout = GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.EventTimeTimeout
+    step = _uses(None if idle_days is None else int(idle_days * 86_400_000))
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, uses bigint, last_used bigint", "uses bigint, last_used bigint", "update", timeout)
+
+
+def stepwise(rows: DataFrame, key: str, step: Callable, start: tuple, state: str, out: str) -> DataFrame:
+    """(id, result) of each row (id, ts, and what `step` reads): a state for each key, changed by its rows in order of time.
+
+    `step(state, row)` gives (new state, result); it sees the rows of a batch
+    sorted by ts and id.
+    """
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else start
+        taken = pd.concat(list(parts)).sort_values(["ts", "id"])
+        ids, results = [], []
+        for row in taken.itertuples(index=False):
+            now, result = step(now, row)
+            ids.append(row.id)
+            results.append(result)
+        held.update(tuple(now))
+        yield pd.DataFrame({"id": ids, "result": results})
+
+    return rows.groupBy(key).applyInPandasWithState(run, f"id bigint, result {out}", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def _us(row) -> int:
+    return row.ts.value // 1000
+
+
+def cache_levels(accesses: DataFrame, key: str, ttl: tuple[int, int, int], last_expires: bool = False) -> DataFrame:
+    """(id, result): the cache level that answers each access, 0 where none does and the entry is stored anew.
+
+    What a slower level answers is stored again in the faster ones. The last
+    level forgets only if `last_expires`.
+    """
+    one, two, three = (s * 1_000_000 for s in ttl)
+
+    def step(state: tuple[int, int, int], row) -> tuple[tuple[int, int, int], int]:
+        fast, middle, slow = state
+        t = _us(row)
+        if t <= fast:
+            return state, 1
+        if t <= middle:
+            return (t + one, middle, slow), 2
+        if slow and (not last_expires or t <= slow):
+            return (t + one, t + two, slow), 3
+        return (t + one, t + two, t + three), 0
+
+    return stepwise(accesses, key, step, (0, 0, 0), "fast bigint, middle bigint, slow bigint", "int")
+
+
+def cached_errors(calls: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(id, result): ok, failed, or suppressed for a call that an error of the last seconds answers."""
+    wait = seconds * 1_000_000
+
+    def step(state: tuple[int], row) -> tuple[tuple[int], str]:
+        t = _us(row)
+        if state[0] and t - state[0] <= wait:
+            return state, "suppressed"
+        return ((0,), "ok") if row.ok else ((t,), "failed")
+
+    return stepwise(calls, key, step, (0,), "error_at bigint", "string")
+
+
+def single_flights(calls: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(id, result): started, or joined for a call that comes while the one started before is still under way."""
+    long = seconds * 1_000_000
+
+    def step(state: tuple[int], row) -> tuple[tuple[int], str]:
+        t = _us(row)
+        return (state, "joined") if t < state[0] else ((t + long,), "started")
+
+    return stepwise(calls, key, step, (0,), "until bigint", "string")
 
 
 def sampled(points: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """The last point of each service and slice, once no more late points are awaited."""
+    """The last point of each service and slice: in append mode once no more late points are awaited, in update mode as far as known."""
     w = points.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "service")
     return w.agg(F.max_by("call_id", F.struct("ts", "call_id")).alias("call_id"), F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("slice"), "service", "call_id", "n")
 

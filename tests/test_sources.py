@@ -11,6 +11,30 @@ def test_scan_all_isolates_failures(spark, tmp_path):
     assert {(r.source, r.ok) for r in status.collect()} == {("doaj", True), ("core", False), ("arxiv", False)}
 
 
+def test_scan_all_isolates_what_fails_while_read(spark, tmp_path):
+    (tmp_path / "doaj.jsonl").write_text(SAMPLES["doaj"] + "\n")
+    broken = tmp_path / "broken.gz"
+    broken.write_bytes(b"no archive at all")
+    found, status = scan_all(spark, [Connector("core", str(broken)), Connector("doaj", str(tmp_path / "doaj.jsonl"))])
+    assert [r.id for r in found.collect()] == ["doaj:41"]
+    rows = {r.source: r for r in status.collect()}
+    assert not rows["core"].ok
+    assert rows["core"].error
+    assert (rows["doaj"].ok, rows["doaj"].rows) == (True, 1)
+    assert rows["doaj"].latency_ms > 0
+
+
+def test_a_partition_a_file(spark, tmp_path):
+    (tmp_path / "doaj").mkdir()
+    for i in range(3):
+        (tmp_path / "doaj" / f"{i}.jsonl").write_text("\n".join(SAMPLES["doaj"] for _ in range(4)))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PayloadSource)
+    rows = spark.read.format("quirelake").option("root", str(tmp_path)).load()
+    assert rows.rdd.getNumPartitions() == 3
+    assert rows.count() == 12
+
+
 def test_payload_source(spark, tmp_path):
     for name in ("doaj", "plos"):
         (tmp_path / name).mkdir()
