@@ -86,8 +86,8 @@ QUERIES["venue_info"] = lambda spark, d: citations.with_venue_parts(records(spar
 SQL["venue_info"] = _BASE + "SELECT ord, volume, issue, pages FROM c"
 QUERIES["cite_quick"] = lambda spark, d: records(spark, d).select("ord", citations.quick().alias("citation"))
 SQL["cite_quick"] = _BASE + "SELECT ord, array_to_string(authors[1:3], ', ') || CASE WHEN n > 3 THEN ' et al.' ELSE '' END || ' (' || coalesce(ye, 'n.d.') || '). ' || coalesce(title,'') || '. ' || coalesce(venue,'') AS citation FROM c"
-QUERIES["cite_batch"] = lambda spark, d: citations.cite(records(spark, d).where("source = 'datacite'"), "plain").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "citation"))), lambda x: x["citation"]), "\n\n").alias("batch"))
-SQL["cite_batch"] = _BASE + f"SELECT source, string_agg({_STYLED['plain']}, chr(10) || chr(10) ORDER BY ord) AS batch FROM c WHERE source = 'datacite' GROUP BY source"
+QUERIES["cite_batch"] = lambda spark, d: citations.cite(records(spark, d), "plain").groupBy(F.floor(F.col("ord") / 50).alias("batch_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "citation"))), lambda x: x["citation"]), "\n\n").alias("batch"))
+SQL["cite_batch"] = _BASE + f"SELECT ord // 50 AS batch_no, string_agg({_STYLED['plain']}, chr(10) || chr(10) ORDER BY ord) AS batch FROM c GROUP BY 1"
 
 # texts of the corpus
 QUERIES["html_strip"] = lambda spark, d: table(spark, d, "documents").select("doc_id", tx.strip_html(F.col("text")).alias("plain"))
@@ -95,14 +95,14 @@ SQL["html_strip"] = r"""SELECT doc_id, regexp_replace(regexp_replace(replace(rep
 
 
 def _inverted(spark, d):
-    words = F.split(F.col("title"), " ")
-    spread = records(spark, d).where("title is not null").select("ord", F.posexplode(words).alias("at", "word"))
+    words = F.split(F.col("abstract"), " ")
+    spread = records(spark, d).where("abstract is not null").select("ord", F.posexplode(words).alias("at", "word"))
     index = spread.groupBy("ord", "word").agg(F.array_sort(F.collect_list("at")).alias("places")).groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
     return index.select("ord", tx.abstract_from_index(F.col("index")).alias("text"))
 
 
 QUERIES["abstract_from_inverted_index"] = _inverted
-SQL["abstract_from_inverted_index"] = R + "SELECT ord, title AS text FROM r WHERE title IS NOT NULL"
+SQL["abstract_from_inverted_index"] = R + "SELECT ord, abstract AS text FROM r WHERE abstract IS NOT NULL"
 QUERIES["jaccard_similar"] = lambda spark, d: rounded(records(spark, d).where("title is not null and venue is not null").select("ord", tx.jaccard(tx.query_cache(F.col("title")), tx.query_cache(F.concat_ws(" ", "title", "venue"))).alias("similarity")), "similarity")
 _QC = r"regexp_replace(regexp_replace(regexp_replace(lower({x}), '^[\s\x{{FEFF}}\p{{Z}}]+|[\s\x{{FEFF}}\p{{Z}}]+$', '', 'g'), '\s+', ' ', 'g'), '[^\w\s]', '', 'g')"
 SQL["jaccard_similar"] = R.rstrip() + f", w AS (SELECT ord, list_distinct(string_split({_QC.format(x='title')}, ' ')) AS a, list_distinct(string_split({_QC.format(x='title || chr(32) || venue')}, ' ')) AS b FROM r WHERE title IS NOT NULL AND venue IS NOT NULL) SELECT ord, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM w"

@@ -112,10 +112,19 @@ def test_citations(spark):
     assert made["ris"].endswith("ER  - ")
 
 
+def test_export_writes_all_in_order(spark, tmp_path):
+    rows = table(spark, *(record(i, title=f"Title {i:03d}", authors=["Ada Lovelace"], year=2000) for i in (5, 1, 4, 2, 3)))
+    citations.export(rows, str(tmp_path / "out"), "plain")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert [f"Title {i:03d}" in t for i, t in zip(range(1, 6), text.strip().split("\n\n"), strict=True)] == [True] * 5
+
+
 def test_engine_and_index(spark):
     rows = table(spark, record(1, title="Deep rivers", doi="10.1000/a"), record(2, title="Rivers", doi="10.1000/A", source="crossref"), record(3, title="Lakes"))
     found = Engine(rows).search(Search("rivers"))
     assert (found.total, found.hits.count()) == (1, 1)
+    found.close()
     assert Engine(rows).search(Search("10.1000/a")).total == 1
     assert Engine(rows).paper("10.1000/a").count() == 1
     index = Index(rows).upsert(table(spark, record(9, id="x:1", title="Seas")))
