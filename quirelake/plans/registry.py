@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import activity, feeds, pages, records, texts
+from quirelake.plans import activity, feeds, pages, payloads, records, texts
 
 flagship = records.flagship
-_MODULES = (records, texts, activity, feeds, pages)
+_MODULES = (records, texts, activity, feeds, pages, payloads)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
