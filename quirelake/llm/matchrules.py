@@ -82,6 +82,11 @@ def _near(x: str, y: str) -> bool:
     return x in formal_names().get(y, ()) or y in formal_names().get(x, ()) or len(_letters(x) ^ _letters(y)) <= 2 * most and token_cost(x, y) <= most
 
 
+def _begins(token: str, initial: str) -> bool:
+    """Whether an initial can stand for a given name, or for one that it is short for."""
+    return token[0] == initial or any(f[0] == initial for f in formal_names().get(token, ()))
+
+
 def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> bool:
     """Whether two names can be one person's: a whole token agrees, and no other contradicts it."""
     (fa, ia), (fb, ib) = a, b
@@ -93,9 +98,9 @@ def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]])
     if ra and rb:
         return any(token_cost(s, t) <= (2.0 if x == y else 1.0) for s in ra for t in rb)
     if ra and ib:
-        return any(t[0] == ib[0] for t in ra)
+        return any(_begins(t, ib[0]) for t in ra)
     if rb and ia:
-        return any(t[0] == ia[0] for t in rb)
+        return any(_begins(t, ia[0]) for t in rb)
     return True
 
 
@@ -274,7 +279,8 @@ def confidence(c: dict, rows: int = 1) -> float:
     a = c["authors"]
     if a is not None:
         whole = c["words"] > 5 and c["title"] > 0.96 and not c["part"]
-        score += 3.2 * (a - 0.45) if a >= 0.34 else -1.2 if whole else -3.5
+        # other authors of the same title write another work, unless it stands in the same place
+        score += 3.2 * (a - 0.45) if a >= 0.34 else -1.2 if whole and (c["venue"] or 0.0) >= 0.6 else -3.5
     else:
         score -= common_title(rows)
     y = c["years"]
