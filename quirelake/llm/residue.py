@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import residue_seeds
 from quirelake.llm.held import held
+from quirelake.operators.staging import staged_table
 
 BITS = 18
 #: Log likelihood ratio a character from which a line, and from which a sentence among others, is residue.
@@ -97,25 +99,74 @@ def plain(text: str) -> str:
     return " ".join(_DIGIT.sub("0", text.casefold()).split())
 
 
-def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Counts of the 4-grams of all documents, by bucket, each different line counted once, lines under `SHORT` characters each time."""
+#: Bits by which lines that stand in several places are told.
+LINE_BITS = 22
+_ENDS = re.compile(r"[\r\n]+")
+_EVEN = str.maketrans("123456789", "0" * 9)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, np.int64)
-        for batch in batches:
-            seen += np.bincount(grams_of(batch.column(0).to_pylist()), minlength=1 << BITS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bucket", "n"])
 
-    lines = docs.select(F.explode(F.split(docs[text], r"[\r\n]+")).alias("text"))
-    lines = lines.select(F.trim(F.translate(F.lower("text"), "123456789", "0" * 9)).alias("text")).where("text <> ''")
-    once = lines.where(F.length("text") >= SHORT).distinct().unionAll(lines.where(F.length("text") < SHORT))
-    total = once.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+def _line_hash(line: str) -> int:
+    """As Spark's xxhash64 of a line."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), seed=42) & ((1 << LINE_BITS) - 1)
+
+
+def _summed(counted: DataFrame) -> np.ndarray:
+    total = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << BITS, np.int64)
     counts[total["bucket"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
     return counts
 
 
+def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """Counts of the 4-grams of all documents, by bucket, each different line counted once, lines under `SHORT` characters each time.
+
+    Hashes tell which lines stand in several places; as bits of a fixed number
+    they go to the workers. What has such a bit is set aside and counted once,
+    all other lines where they stand: so only repeated lines are shuffled.
+    """
+    lines = docs.select(F.explode(F.split(docs[text], r"[\r\n]+")).alias("line")).select(F.trim(F.translate("line", "123456789", "0" * 9)).alias("line"))
+    hashes = lines.where(F.length("line") >= SHORT).select(F.xxhash64("line").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    often = np.zeros(1 << LINE_BITS, bool)
+    for r in hashes.where("n > 1").select(F.col("h").bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("p")).distinct().collect():
+        often[r.p] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(often))
+
+    def counted(texts: list[str], seen: np.ndarray) -> None:
+        for _, some in _together(texts):
+            seen += np.bincount(grams_of(some), minlength=1 << BITS)
+
+    def given(seen: np.ndarray, aside: list[str]) -> pa.RecordBatch:
+        at = np.flatnonzero(seen)
+        none = len(aside)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, np.zeros(none, np.int64)]).astype(np.int32)), pa.array(np.concatenate([seen[at], np.zeros(none, np.int64)])), pa.array([None] * len(at) + aside, pa.string())], names=["bucket", "n", "line"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = held("lines", shared.value, lambda v: np.unpackbits(v).astype(bool).tolist())
+        for batch in batches:
+            here, aside = [], set()
+            for value in batch.column(0).to_pylist():
+                for line in _ENDS.split(value):
+                    even = line.translate(_EVEN).strip(" ")
+                    if len(even) >= SHORT and repeated[_line_hash(even)]:
+                        aside.add(even)
+                    elif even:
+                        here.append(even)
+            seen = np.zeros(1 << BITS, np.int64)
+            counted(here, seen)
+            yield given(seen, sorted(aside))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(1 << BITS, np.int64)
+            counted(batch.column(0).to_pylist(), seen)
+            yield given(seen, [])
+
+    shape = "bucket int, n bigint, line string"
+    both = staged_table(docs.select(docs[text]).mapInArrow(first, shape))
+    once = both.where("line is not null").select("line").distinct()
+    return _summed(both.where("line is null")) + _summed(once.mapInArrow(again, shape))
+
+
 def seed_counts(lines: str) -> np.ndarray:
     counts = np.zeros(1 << BITS, np.int64)
     for line in lines.strip().splitlines():
