@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.held import held
+
 #: More entries than this are no reference list to broadcast.
 MAX_ENTRIES = 200_000
 #: Values remembered by a worker; beyond it the cache starts anew.
@@ -333,10 +335,10 @@ def map_values(rows: DataFrame, key: str, value: str, entries: list[tuple[int, s
     shared = rows.sparkSession.sparkContext.broadcast(entries)
     taken = rows.select(rows[key].alias("__key"), rows[value].alias("__value")).where(F.trim(F.regexp_replace("__value", r"\s+", " ")) != "")
     kind = taken.schema["__key"].dataType.simpleString()
-    token = f"{key}/{value}"
+    token = f"list/{key}/{value}/{floor}/{lead}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared, token, floor, lead)
+        matcher = held(token, shared.value, lambda entries_: ReferenceMatcher(entries_, floor, lead))
         exact = {name for _, name, _ in shared.value}
         for batch in batches:
             keep, ids, scores = [], [], []
@@ -351,16 +353,3 @@ def map_values(rows: DataFrame, key: str, value: str, entries: list[tuple[int, s
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.int32()), pa.array(scores, pa.float64())], names=["key", "value", "ref_id", "score"])
 
     return taken.mapInArrow(run, f"key {kind}, value string, ref_id int, score double")
-
-
-_matchers: dict[tuple, ReferenceMatcher] = {}
-
-
-def _matcher(shared, token: str, floor: float, lead: float) -> ReferenceMatcher:
-    """One matcher for each list in each Python worker."""
-    at = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared), token, floor, lead)
-    if at not in _matchers:
-        if len(_matchers) > 8:
-            _matchers.clear()
-        _matchers[at] = ReferenceMatcher(shared.value, floor, lead)
-    return _matchers[at]
