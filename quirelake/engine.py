@@ -6,7 +6,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirelake import schema
 from quirelake.functions import pdf as pdf_functions
 from quirelake.functions.citations import Options, export
 from quirelake.functions.querylang import compile_query
@@ -68,6 +70,16 @@ INDEX_SORTS = {
 }
 
 
+# What an index searches, counts and sorts by.
+SEARCHED, COUNTED, SORTED = ("title", "authors", "abstract"), ("source", "oa_status", "year", "venue", "topics"), ("year", "created_at")
+
+
+def index_schema() -> T.StructType:
+    """The record's fields, each with what an index does with it as metadata; id, title, authors, source and its id are required."""
+    required = ("id", "title", "authors", "source", "source_id", "created_at")
+    return T.StructType([T.StructField(f.name, f.dataType, f.name not in required, {"searched": f.name in SEARCHED, "counted": f.name in COUNTED, "sorted": f.name in SORTED}) for f in schema.RECORD.fields])
+
+
 @dataclass
 class Index:
     """A searchable table: exact words over title, authors and abstract; lists of values filter, OR within a field, AND across fields."""

@@ -31,6 +31,14 @@ TAGS = {
 ESCAPES = (("\\", r"\textbackslash{}"), ("{", r"\{"), ("}", r"\}"), ("$", r"\$"), ("&", r"\&"), ("%", r"\%"), ("#", r"\#"), ("^", r"\textasciicircum{}"), ("_", r"\_"), ("~", r"\textasciitilde{}"))
 
 
+def media_type(style: str) -> str:
+    return MEDIA_TYPES.get(style, "text/plain")
+
+
+def ending(style: str) -> str:
+    return ENDINGS.get(style, "txt")
+
+
 @dataclass(frozen=True)
 class Options:
     """What a citation holds; `most_authors` 0 takes the format's own limit."""

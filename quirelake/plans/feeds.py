@@ -132,6 +132,8 @@ SQL["stream_cache_levels"] = _STEPS.format(key="user_id") + """s AS (SELECT call
 QUERIES["stream_cached_errors"] = _stepped(jobs.cached_errors, "source", 7200)
 SQL["stream_cached_errors"] = _STEPS.format(key="source") + """s AS (SELECT call_id, k, i, CASE WHEN ok THEN 0 ELSE t END AS e, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS result FROM o WHERE i = 1 UNION ALL
  SELECT o.call_id, o.k, o.i, CASE WHEN s.e > 0 AND o.t - s.e <= 7200000000 THEN s.e WHEN o.ok THEN 0 ELSE o.t END, CASE WHEN s.e > 0 AND o.t - s.e <= 7200000000 THEN 'suppressed' WHEN o.ok THEN 'ok' ELSE 'failed' END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) SELECT call_id, result FROM s"""
+QUERIES["stream_ring"] = _stepped(jobs.ring, "source", 100)
+SQL["stream_ring"] = CALLS + "SELECT call_id, coalesce(lag(call_id, 100) OVER (PARTITION BY source ORDER BY ts, call_id), -1) AS result FROM calls"
 QUERIES["stream_single_flight"] = _stepped(jobs.single_flights, "source", 1200)
 SQL["stream_single_flight"] = _STEPS.format(key="source") + """s AS (SELECT call_id, k, i, t + 1200000000 AS u, 'started' AS result FROM o WHERE i = 1 UNION ALL
  SELECT o.call_id, o.k, o.i, CASE WHEN o.t < s.u THEN s.u ELSE o.t + 1200000000 END, CASE WHEN o.t < s.u THEN 'joined' ELSE 'started' END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) SELECT call_id, result FROM s"""

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake import config, schema
-from quirelake.engine import Index
+from quirelake.engine import Index, index_schema
+from quirelake.functions import citations
 from quirelake.functions import text as tx
 from quirelake.operators import cache, pages, resolution, routing, search, telemetry
 from quirelake.operators.search import Filters, Search
 from quirelake.plans.common import CALLS, HOST, POINTS, R, Query, calls, joined, points, records, rounded, sql_doi, sql_joined
 from quirelake.plans.records import _FACETS, _merge_sql
 from quirelake.sources import parsers
+from quirelake.sources.registry import capped_by_source, upstream_filter
 from quirelake.sources.tables import table
 
 QUERIES: dict[str, Query] = {}
@@ -242,3 +244,18 @@ QUERIES["seed_records"] = lambda spark, d: config.seeds(spark).select("id", "sou
 SQL["seed_records"] = "SELECT * FROM (VALUES ('arxiv:2301.00001', 'arxiv', 'preprint', 2023, 2, 3, '2023-01-01T00:00:00Z'), ('core:12345', 'core', 'published', 2023, 2, 3, '2023-06-15T00:00:00Z'), ('europepmc:67890', 'europepmc', 'published', 2023, 2, 3, '2023-09-20T00:00:00Z')) t(id, source, oa_status, year, n_authors, n_topics, created_at)"
 QUERIES["aggregator_stats"] = lambda spark, d: config.aggregator_table(spark, {})
 SQL["aggregator_stats"] = "SELECT * FROM (VALUES ('core', false, 'https://api.core.ac.uk/v3'), ('openaire', true, 'https://api.openaire.eu/search'), ('europepmc', true, 'https://www.ebi.ac.uk/europepmc/webservices/rest'), ('ncbi', true, 'https://eutils.ncbi.nlm.nih.gov/entrez/eutils'), ('opencitations', true, 'https://opencitations.net/index/coci/api/v1'), ('datacite', true, 'https://api.datacite.org/dois')) t(source, enabled, base_url)"
+
+
+def _upstream(spark, d):  # noqa: ARG001
+    f = Filters(source=("arxiv", "core", "plos"), year_from=2001, year_to=2010)
+    return spark.createDataFrame([("legacy", upstream_filter(f)), ("live", upstream_filter(f, live=True)), ("none", upstream_filter(Filters()))], "profile string, sent string")
+
+
+QUERIES["upstream_filter"] = _upstream
+SQL["upstream_filter"] = "SELECT * FROM (VALUES ('legacy', 'publication_year:>=2001,publication_year:<=2010,(type:preprint OR primary_location.source.publisher:PLOS)'), ('live', 'is_oa:true,publication_year:>=2001,publication_year:<=2010'), ('none', NULL)) t(profile, sent)"
+QUERIES["source_caps"] = lambda spark, d: capped_by_source(records(spark, d), ["openalex", "crossref", "arxiv"]).select("ord", "source")
+SQL["source_caps"] = R + "SELECT ord, source FROM r WHERE source IN ('openalex', 'crossref', 'arxiv') QUALIFY row_number() OVER (PARTITION BY source ORDER BY ord) <= CASE source WHEN 'openalex' THEN 50 WHEN 'crossref' THEN 20 ELSE 100 END"
+QUERIES["index_schema"] = lambda spark, d: spark.createDataFrame([(f.name, f.nullable, *(f.metadata[k] for k in ("searched", "counted", "sorted"))) for f in index_schema().fields], "field string, optional boolean, searched boolean, counted boolean, sorted boolean").where("searched or counted or sorted or not optional")
+SQL["index_schema"] = "SELECT * FROM (VALUES ('id', false, false, false, false), ('title', false, true, false, false), ('authors', false, true, false, false), ('abstract', true, true, false, false), ('source', false, false, true, false), ('source_id', false, false, false, false), ('oa_status', true, false, true, false), ('year', true, false, true, true), ('venue', true, false, true, false), ('topics', true, false, true, false), ('created_at', false, false, false, true)) t(field, optional, searched, counted, sorted)"
+QUERIES["cite_media"] = lambda spark, d: spark.createDataFrame([(f, citations.media_type(f), citations.ending(f)) for f in (*citations.FORMATS, "unknown")], "format string, media string, ending string")
+SQL["cite_media"] = "SELECT * FROM (VALUES ('bibtex', 'application/x-bibtex', 'bib'), ('endnote', 'application/x-research-info-systems', 'enw'), ('ris', 'application/x-research-info-systems', 'ris'), ('wos', 'application/x-research-info-systems', 'wos'), ('apa', 'text/plain', 'txt'), ('mla', 'text/plain', 'txt'), ('chicago', 'text/plain', 'txt'), ('harvard', 'text/plain', 'txt'), ('vancouver', 'text/plain', 'txt'), ('plain', 'text/plain', 'txt'), ('unknown', 'text/plain', 'txt')) t(format, media, ending)"

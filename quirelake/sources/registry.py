@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from quirelake import schema
+from quirelake.operators.search import Filters
 from quirelake.sources import parsers
 
 
@@ -95,3 +97,28 @@ class PayloadReader(DataSourceReader):
                 yield from ((source, line.rstrip("\n")) for line in file if line.strip())
             else:
                 yield (source, file.read())
+
+
+# What an upstream search takes for some sources.
+UPSTREAM_SOURCES = {"arxiv": "type:preprint", "plos": "primary_location.source.publisher:PLOS", "mdpi": "primary_location.source.publisher:MDPI"}
+
+
+def upstream_filter(f: Filters, live: bool = False) -> str | None:
+    """The part of a search's filters that the upstream search is sent; live always asks for open works and never for sources."""
+    parts = ["is_oa:true"] if live else []
+    parts += [f"publication_year:{sign}{year}" for sign, year in ((">=", f.year_from), ("<=", f.year_to)) if year]
+    known = [] if live else [UPSTREAM_SOURCES[s] for s in f.source if s in UPSTREAM_SOURCES]
+    if known:
+        parts.append(f"({' OR '.join(known)})")
+    return ",".join(parts) or None
+
+
+# How many records a page of results takes from each upstream search at most.
+SOURCE_CAPS = {"openalex": 50, "crossref": 20}
+OTHER_CAP = 100
+
+
+def capped_by_source(records: DataFrame, sources: list[str], caps: dict[str, int] = SOURCE_CAPS, other: int = OTHER_CAP) -> DataFrame:
+    """The first records of each source, by `ord`: a top-k for each, not an order of all."""
+    found = [records.where(F.col("source") == s).orderBy("ord").limit(caps.get(s, other)) for s in sources]
+    return reduce(DataFrame.unionByName, found, records.limit(0))

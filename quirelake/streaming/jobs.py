@@ -136,6 +136,16 @@ def single_flights(calls: DataFrame, key: str, seconds: int) -> DataFrame:
     return stepwise(calls, key, step, (0,), "until bigint", "string")
 
 
+def ring(reports: DataFrame, key: str, most: int) -> DataFrame:
+    """(id, result): for each report the one that leaves the ring of the last `most` for it, -1 while there is room."""
+
+    def step(state: tuple[list], row) -> tuple[tuple[list], int]:
+        held = [*state[0], int(row.id)]
+        return (held[-most:],), held[0] if len(held) > most else -1
+
+    return stepwise(reports, key, step, ([],), "held array<bigint>", "bigint")
+
+
 def sampled(points: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """The last point of each service and slice: in append mode once no more late points are awaited, in update mode as far as known."""
     w = points.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "service")
