@@ -16,17 +16,28 @@ def moving_average(value: Column, at: Column, n: Column, start: Column, rate: fl
     return start * F.pow(F.lit(1 - rate), n) + F.sum(value * rate * F.pow(F.lit(1 - rate), n - at))
 
 
-#: Width of the slices of time in which rows of one key are numbered and summed; a key's slices are worked on apart.
-SLICE = "1 hour"
+#: Seconds of the slices of time in which rows of one key are numbered and summed; a key's slices are worked on apart.
+SLICE = 3600
 
 
-def _slices(rows: DataFrame, key: str, *parts: Column, every: str = SLICE) -> tuple[DataFrame, DataFrame]:
-    """(`rows` with their slice, a row for each key and slice with `parts` and the window of the slices before it)."""
-    sliced = rows.withColumn("slice", F.window("ts", every)["start"])
+def _slice(every: int = SLICE) -> Column:
+    """Number of the slice of `ts`; rows without a time come first, in a slice of their own."""
+    return F.coalesce(F.floor(F.unix_micros("ts") / (every * 1e6)), F.lit(-(1 << 62)))
+
+
+def _slices(rows: DataFrame, key: str, *parts: Column, every: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with their slice, a row for each key and slice with `parts`)."""
+    sliced = rows.withColumn("slice", _slice(every))
     return sliced, sliced.groupBy(key, "slice").agg(*parts)
 
 
-def numbered(rows: DataFrame, key: str, number: str, *order: str, every: str = SLICE) -> DataFrame:
+def _beside(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
+    """`rows` with the facts of their key and slice; a null key is one too."""
+    named = facts.withColumnsRenamed({key: "__key", "slice": "__slice"})
+    return rows.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.col("slice") == F.col("__slice"))).drop("__key", "__slice")
+
+
+def numbered(rows: DataFrame, key: str, number: str, *order: str, every: int = SLICE) -> DataFrame:
     """`rows` with their place within the key, from 1 on, in the order of `ts` and `order`.
 
     Slices are numbered apart and moved up by how many rows came before them,
@@ -36,7 +47,7 @@ def numbered(rows: DataFrame, key: str, number: str, *order: str, every: str = S
     before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "slice", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy(key, "slice").orderBy("ts", *order))
-    return sliced.withColumn("place", place).join(offsets, [key, "slice"]).withColumn(number, F.col("place") + F.col("offset")).drop("slice", "place", "offset")
+    return _beside(sliced.withColumn("place", place), key, offsets).withColumn(number, F.col("place") + F.col("offset")).drop("slice", "place", "offset")
 
 
 def learned_metrics(calls: DataFrame, priors: DataFrame) -> DataFrame:
@@ -48,7 +59,7 @@ def learned_metrics(calls: DataFrame, priors: DataFrame) -> DataFrame:
     """
     keep = F.lit(1 - RATE)
     sliced, sizes = _slices(calls, "source", F.count(F.lit(1)).alias("size"))
-    placed = sliced.withColumn("at", F.row_number().over(Window.partitionBy("source", "slice").orderBy("ts", "call_id"))).join(sizes, ["source", "slice"])
+    placed = _beside(sliced.withColumn("at", F.row_number().over(Window.partitionBy("source", "slice").orderBy("ts", "call_id"))), "source", sizes)
     weigh = lambda v: F.sum(v * RATE * F.pow(keep, F.col("size") - F.col("at")))
     sums = placed.groupBy("source", "slice", "size").agg(weigh(F.col("latency")).alias("l"), weigh(F.col("ok").cast("double")).alias("s"), weigh(F.least(F.col("results") / 10, F.lit(1.0))).alias("q"))
     later = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,7 +81,7 @@ def running_means(points: DataFrame, key: str, value: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(key, "slice", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("sum0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size0"))
     within = Window.partitionBy(key, "slice").orderBy("ts", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = sliced.withColumns({"sum1": F.coalesce(F.sum(value).over(within), F.lit(0.0)), "size1": F.count(value).over(within)}).join(offsets, [key, "slice"])
+    running = _beside(sliced.withColumns({"sum1": F.coalesce(F.sum(value).over(within), F.lit(0.0)), "size1": F.count(value).over(within)}), key, offsets)
     return running.withColumn("running_mean", F.try_divide(F.col("sum0") + F.col("sum1"), F.col("size0") + F.col("size1"))).drop("slice", "sum0", "size0", "sum1", "size1")
 
 
@@ -81,13 +92,13 @@ def throughput(points: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("service", "slice")
     up, down = w.orderBy("ts", "point_id"), w.orderBy(F.desc("ts"), F.desc("point_id"))
-    sliced = points.withColumn("slice", F.window("ts", SLICE)["start"])
+    sliced = points.withColumn("slice", _slice())
     now = F.struct(F.unix_micros("ts").alias("t"), F.col("requests").alias("r"))
     ends = sliced.withColumn("back", F.row_number().over(down)).where("back <= 2").groupBy("service", "slice").agg(F.max(F.when(F.col("back") == 1, now)).alias("last"), F.max(F.when(F.col("back") == 2, now)).alias("last2"))
     by = Window.partitionBy("service").orderBy("slice")
     one, two = F.lag("last", 1).over(by), F.coalesce(F.lag("last2", 1).over(by), F.lag("last", 2).over(by))
     carried = ends.select("service", "slice", one.alias("c1"), two.alias("c2"))
-    rows = sliced.withColumns({"p1": F.lag(now, 1).over(up), "p2": F.lag(now, 2).over(up)}).join(carried, ["service", "slice"])
+    rows = _beside(sliced.withColumns({"p1": F.lag(now, 1).over(up), "p2": F.lag(now, 2).over(up)}), "service", carried)
     first, second = F.coalesce("p1", "c1"), F.when(F.col("p1").isNull(), F.col("c2")).otherwise(F.coalesce("p2", "c1"))
     rate = F.when((first["t"] - second["t"]) > 0, (first["r"] - second["r"]) / ((first["t"] - second["t"]) / 1e6))
     return rows.withColumn("throughput", F.coalesce(rate, F.lit(0.0))).drop("slice", "p1", "p2", "c1", "c2")

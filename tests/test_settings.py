@@ -76,7 +76,7 @@ def _numbers(spark, n, keys=2):
 
 def test_slices_give_what_the_whole_gives(spark):
     rows, df = _numbers(spark, 300)
-    numbered = {r.point_id: r.requests for r in telemetry.numbered(df, "service", "requests", "point_id", every="10 minutes").collect()}
+    numbered = {r.point_id: r.requests for r in telemetry.numbered(df, "service", "requests", "point_id", every=600).collect()}
     means = {r.point_id: r.running_mean for r in telemetry.running_means(df, "service", "latency").collect()}
     rates = {r.point_id: r.throughput for r in telemetry.throughput(df.withColumn("requests", F.col("point_id"))).collect()}
     seen: dict[str, list] = {}
@@ -89,6 +89,13 @@ def test_slices_give_what_the_whole_gives(spark):
         before.append((i, t, v))
 
 
+def test_rows_without_time_or_key_stay(spark):
+    rows = spark.createDataFrame([(1, None, None, 5.0), (2, None, 10, 7.0), (3, "a", None, 1.0), (4, "a", 20, 3.0)], "point_id bigint, service string, s bigint, latency double").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r.point_id: r.n for r in telemetry.numbered(rows, "service", "n", "point_id").collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+    assert {r.point_id: r.running_mean for r in telemetry.running_means(rows, "service", "latency").collect()} == {1: 5.0, 2: 6.0, 3: 1.0, 4: 2.0}
+    assert telemetry.throughput(rows.withColumn("requests", F.col("point_id"))).count() == 4
+
+
 def test_first_seen_across_ranges(spark):
     rows = spark.createDataFrame([(i * 70_000, f"g{i % 7}") for i in range(30)], "ord bigint, g string")
     got = {r.g: (r.first_ord, r.n, r.place) for r in cache.first_seen(rows, "g").collect()}
