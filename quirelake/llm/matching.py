@@ -67,7 +67,7 @@ CROSS_ONE, CROSS_TWO = 6, 3
 #: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and with half the authors' share, and the cosine with both.
 SHARED_TITLE, SHARED_AUTHORS, SHARED, SHARED_NEAR = 0.78, 0.5, 1.2, 1.85
 #: Titles of fewer than `SHORT` words need only such a share.
-SHORT, SHARED_SHORT = 5, 0.5
+SHORT, SHARED_SHORT = 6, 0.5
 TITLE_BITS, AUTHOR_BITS = 256, 128
 SEED = 20240229
 
@@ -331,7 +331,7 @@ def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fine, pa.int64())), lists, pa.array(s0), pa.array(s1), *(pa.array(masks[:, k]) for k in range(len(_MASKS)))], names=["rec_no", "buckets", "s0", "s1", *_MASKS])
 
-    usable = rows.where(F.length(F.trim(F.coalesce("title", F.lit("")))) > 2)
+    usable = rows.where(F.col("rec_no").isNotNull() & (F.length(F.trim(F.coalesce("title", F.lit("")))) > 2))
     return usable.select("rec_no", "title", "authors").mapInArrow(run, _HASHED)
 
 
@@ -356,7 +356,7 @@ def title_frequency(rows: DataFrame) -> dict[int, int]:
 def _sample(rows: DataFrame, n: int, total: int) -> list[tuple]:
     share = min(1_000_000, round(1_000_000 * n / max(1, total)))
     taken = rows.where(F.pmod(F.xxhash64("rec_no"), F.lit(1_000_000)) < share).select("rec_no", *_FIELDS).limit(2 * n).collect()
-    return [tuple(r)[1:] for r in sorted(taken, key=lambda r: r.rec_no)]
+    return [tuple(r)[1:] for r in sorted(taken, key=lambda r: (r.rec_no is None, r.rec_no or 0))]
 
 
 def _compared(pairs: DataFrame, shared) -> DataFrame:
@@ -505,7 +505,7 @@ def find_matches(left: DataFrame, right: DataFrame) -> DataFrame:
 
     `left` may hold a work in many rows: rows with the same DOI or id as a
     matched one match as well, whatever their titles. Records without a title
-    are matched in no other way. An empty table gives an empty table; null
+    are matched in no other way, those without a number not at all. An empty table gives an empty table; null
     fields neither speak for nor against a match. Titles that many rows share
     match by their authors only.
     """

@@ -102,7 +102,7 @@ def plain(text: str) -> str:
 #: Bits by which lines that stand in several places are told.
 LINE_BITS = 22
 _ENDS = re.compile(r"[\r\n]+")
-_EVEN = str.maketrans("123456789", "0" * 9)
+_COUNTED = re.compile("[1-9]")
 
 
 def _line_hash(line: str) -> int:
@@ -146,7 +146,7 @@ def prose_counts(docs: DataFrame, text: str) -> np.ndarray:
             here, aside = [], set()
             for value in batch.column(0).to_pylist():
                 for line in _ENDS.split(value):
-                    even = line.translate(_EVEN).strip(" ")
+                    even = _COUNTED.sub("0", line).strip(" ")
                     if len(even) >= SHORT and repeated[_line_hash(even)]:
                         aside.add(even)
                     elif even:
