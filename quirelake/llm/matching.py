@@ -294,7 +294,7 @@ class RecordVectors:
         for t in range(self.tables):
             part = far[:, t * bits : (t + 1) * bits]
             into = looked_into(part) if probe else ((part > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64)))[:, None]
-            found.append(into + (np.int64(t) << np.int64(40)))
+            found.append(into + (np.int64(t) << np.int64(bits)))
         return np.concatenate(found, axis=1)
 
     def sketch(self, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
