@@ -58,8 +58,8 @@ AUTHORS = 0.5
 #: Two records whose sketches differ in `MEET_AT` bits shall meet in one of the tables with this probability, whatever the number of rows.
 MEET_AT, MEET = 30, 0.9
 LEAST_TABLES = 6
-#: Sampled records from which their middle is known; the hyperplanes of smaller tables go through the origin.
-BALANCED_FROM = 1_000
+#: Sampled records from which their middle is known, and from so many at most; the hyperplanes of smaller tables go through the origin.
+BALANCED_FROM, MIDDLE_OF = 1_000, 4_000
 #: Bits of the sketch, and how many of them may differ.
 SKETCH, DIFFER = 128, 47
 #: Nearest hyperplanes that are crossed alone, and in pairs.
@@ -218,11 +218,11 @@ def hyperplanes(tables: int, bits: int) -> np.ndarray:
 class RecordVectors:
     """Vectors of records and their hyperplane hashes."""
 
-    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int, common: dict[int, int] | None = None, middle: np.ndarray | None = None):
+    def __init__(self, vectors: np.ndarray, frequency: dict[str, int], records: int, bits: int, common: dict[int, int] | None = None, tables: int | None = None, middle: np.ndarray | None = None):
         self.vectors, self.frequency, self.bits = vectors.astype(np.float32), frequency, bits
         self.common = common or {}
         self.records = max(1, records)
-        self.tables = tables_for(bits)
+        self.tables = tables or tables_for(bits)
         self.planes = hyperplanes(self.tables, bits)
         self.middle = np.zeros(self.planes.shape[1], np.float32) if middle is None else middle
         self._forget()
@@ -409,13 +409,15 @@ def fit(left: DataFrame, right: DataFrame) -> tuple[tuple, tuple[float, float, f
     both = left.select("rec_no", *_FIELDS).unionByName(right.select("rec_no", *_FIELDS))
     sample = _sample(left, SAMPLED * 3 // 4, n_left) + _sample(right, SAMPLED // 4, n_right)
     vectors = train_vectors([graph_tokens(*r) for r in sample]).astype(np.float16)
-    model = (vectors, token_frequency(both), n_left + n_right, index_bits(n_left), title_frequency(left))
+    bits = index_bits(n_left)
+    model = (vectors, token_frequency(both), n_left + n_right, bits, title_frequency(left), tables_for(bits))
     filing = RecordVectors(*model)
     weights = calibrate(filing, sample)
     # each table's hyperplanes go through the middle of the sample, so that buckets are of like size; the sketch's through the origin, for the cosine
     middle = np.zeros(filing.planes.shape[1], np.float32)
     if len(sample) >= BALANCED_FROM:
-        middle[:-SKETCH] = np.median(filing.project([r[:2] for r in sample])[0], axis=0)[:-SKETCH]
+        some = np.random.default_rng(SEED + 4).permutation(len(sample))[:MIDDLE_OF]
+        middle[:-SKETCH] = np.median(filing.project([sample[i][:2] for i in some])[0], axis=0)[:-SKETCH]
     return (*model, middle), weights
 
 
@@ -430,7 +432,7 @@ def candidates(left: DataFrame, right: DataFrame, model: tuple | None = None) ->
 
 
 #: Sampled records that are perturbed to calibrate the confidence.
-CALIBRATED_ON = 2_000
+CALIBRATED_ON = 1_000
 
 
 def perturbed(record: tuple, rng: np.random.Generator) -> tuple:
