@@ -61,7 +61,7 @@ LEAST_TABLES = 6
 #: Sampled records from which their middle is known, and from so many at most; the hyperplanes of smaller tables go through the origin.
 BALANCED_FROM, MIDDLE_OF = 1_000, 4_000
 #: Bits of the sketch, and how many of them may differ.
-SKETCH, DIFFER = 128, 47
+SKETCH, DIFFER = 128, 45
 #: Nearest hyperplanes that are crossed alone, and in pairs.
 CROSS_ONE, CROSS_TWO = 6, 3
 #: Shares of the smaller set of trigrams, as bits, that titles and authors must both have, and with half the authors' share, and the cosine with both.
@@ -337,9 +337,8 @@ def _hashed(rows: DataFrame, shared, probe: bool) -> DataFrame:
 
 def token_frequency(rows: DataFrame) -> dict[str, int]:
     """In how many records the most frequent title words and name parts stand, over all rows."""
-    words = F.split(F.lower("title"), r"[^\p{L}\p{N}]+")
-    people = F.split(F.lower(F.array_join(F.filter("authors", lambda a: a.isNotNull()), " ")), r"[^\p{L}\p{N}]+")
-    tokens = rows.select(F.explode(F.array_union(F.coalesce(words, F.array().cast("array<string>")), F.coalesce(people, F.array().cast("array<string>")))).alias("t")).where("t <> ''")
+    both = F.lower(F.concat_ws(" ", "title", F.array_join(F.filter("authors", lambda a: a.isNotNull()), " ")))
+    tokens = rows.select(F.explode(F.array_distinct(F.split(both, r"[\s\p{Punct}“”‘’«»„‚‹›…¿¡–—]+"))).alias("t")).where("t <> ''")
     counted = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(COMMON_TOKENS)
     found: dict[str, int] = {}
     for r in counted.collect():

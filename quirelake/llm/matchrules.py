@@ -122,6 +122,30 @@ def _mistyped(x: str, y: str, most: int) -> bool:
     return abs(len(x) - len(y)) <= most and len(_letters(x) ^ _letters(y)) <= 2 * most and not _NUMERAL.match(y) and edits(x, y, most) <= most
 
 
+def _equal_words(wa: list[str], wb: list[str]) -> tuple[list[int], list[int], int, int]:
+    """(words of either title without an equal one in the other, the last words of either that have one)."""
+    if len(wa) == len(wb):
+        # nearly all candidates differ in a word or two of the same place
+        other = [i for i, (x, y) in enumerate(zip(wa, wb, strict=True)) if x != y]
+        if len(other) <= 3 and not any(wa[i] in wb or wb[i] in wa for i in other):
+            last = next((i for i in range(len(wa) - 1, -1, -1) if i not in other), -1)
+            return other, other.copy(), last, last
+    places: dict[str, list[int]] = {}
+    for j in range(len(wb) - 1, -1, -1):
+        places.setdefault(wb[j], []).append(j)
+    missed, taken = [], set()
+    reach_a = reach_b = -1
+    for i, w in enumerate(wa):
+        at = places.get(w)
+        if at:
+            j = at.pop()
+            taken.add(j)
+            reach_a, reach_b = i, max(reach_b, j)
+        else:
+            missed.append(i)
+    return missed, [j for j in range(len(wb)) if j not in taken], reach_a, reach_b
+
+
 def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int, bool]:
     """(agreement 0 to 1, whether one title is the beginning of the other, words that only `mine` has, whether a word that one of them lacks tells of another work).
 
@@ -135,16 +159,7 @@ def title_agreement(mine: tuple, other: tuple) -> tuple[float, bool, int, bool]:
         return 0.0, False, 0, False
     if wa == wb:
         return 1.0, False, 0, False
-    free = list(range(len(wb)))
-    missed: list[int] = []
-    reach_a = reach_b = -1
-    for i, w in enumerate(wa):
-        at = next((j for j in free if wb[j] == w), None)
-        if at is None:
-            missed.append(i)
-        else:
-            free.remove(at)
-            reach_a, reach_b = i, max(reach_b, at)
+    missed, free, reach_a, reach_b = _equal_words(wa, wb)
     lost, own = 0.0, 0
     spare: list[int] = []
     for i in missed:
