@@ -360,6 +360,16 @@ def test_match_edges(spark):
     assert matching.find_matches(left, right.limit(0)).count() == 0
 
 
+@needs_data
+def test_matching_broadcasts_no_table(spark, monkeypatch):
+    left, right = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("oa_records", "repo_records"))
+    seen, stage = [], matching.staged
+    monkeypatch.setattr(matching, "staged", lambda df: seen.append(df) or stage(df))
+    seen.append(matching.find_matches(left, right))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2 and not any("BroadcastExchange" in p for p in plans)
+
+
 @needs_data
 def test_vectors_are_trained(spark):
     import numpy as np
