@@ -39,7 +39,7 @@ from quirelake.llm.residue import BITS, grams, plain
 from quirelake.llm.truncation import digest, longer_copies
 from quirelake.operators.staging import staged_table
 
-#: Frequent words kept to tell typing errors; a bound on the model, not on the rows.
+#: Words of several works that the workers hold to tell typing errors; where there are more, all of them are joined as a table.
 FREQUENT_WORDS = 50_000
 #: Groups that must have a word for it to count as frequent.
 FREQUENT_GROUPS = 5
@@ -197,8 +197,8 @@ def _bare(key: str) -> str:
     return key.split("\x01", 2)[2]
 
 
-def learn_words(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """In how many works each frequent title word stands, and counts of letter sequences, over the titles of all rows."""
+def learn_words(texts: DataFrame) -> tuple[dict[str, int] | None, np.ndarray, DataFrame]:
+    """In how many works each title word of several works stands, None if they are too many to be held; counts of letter sequences; the words as a table. All of it over the titles of all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = np.zeros(1 << BITS, np.int64)
@@ -216,11 +216,33 @@ def learn_words(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
 
     counted = texts.where("field_name = 'canonical_title'").select("grp", "key").mapInArrow(count, "grp bigint, word string, n bigint")
     sums = counted.groupBy("grp", "word").agg(F.sum("n").alias("n"))
-    words = sums.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()
+    several = sums.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    words = several.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS + 1).collect()
     table = sums.where("word is null").select("grp", "n").toPandas()
     sequences = np.zeros(1 << BITS, np.int64)
     sequences[table["grp"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return {r.word: r.n for r in words}, sequences
+    return {r.word: r.n for r in words} if len(words) <= FREQUENT_WORDS else None, sequences, several
+
+
+def _mistyped_titles(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """(field_name, value, mistyped) of the fine titles with a mistyped word, as `WordModel.mistyped`, for any number of words."""
+    known = staged_table(several)
+    titles = texts.where("field_name = 'canonical_title' and fine").select("value", F.explode("words").alias("word")).distinct()
+    ends = lambda w: F.explode(F.array_distinct(F.array(F.substring(w, 1, 2), F.substring(w, -2, 2)))).alias("end")
+    size, most = F.length("word"), F.when(F.length("word") < 7, 1).otherwise(2)
+    rare = titles.select("word").distinct().join(known.select("word").hint("merge"), "word", "left_anti").select("word", most.alias("most"), ends("word"))
+    asked = rare.select("word", "most", "end", F.explode(F.sequence(size - F.col("most"), size + F.col("most"))).alias("size"))
+    filed = known.where(F.col("n") >= FREQUENT_GROUPS).select(F.col("word").alias("frequent"), size.alias("size"), ends("word"))
+    # a transposition is one error, but two for Spark
+    near = F.when(F.col("most") == 1, F.levenshtein("word", "frequent", 2)).otherwise(F.levenshtein("word", "frequent", 4)) >= 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list({w for w, f, m in pairs if edits(w, f, m) <= m}), pa.string())], names=["word"])
+
+    wrong = asked.join(filed.hint("merge"), ["size", "end"]).where(near).select("word", "frequent", "most").mapInArrow(run, "word string").distinct()
+    return titles.join(wrong.hint("merge"), "word").select(F.lit("canonical_title").alias("field_name"), "value", F.lit(True).alias("mistyped")).distinct()
 
 
 def _judged(texts: DataFrame, shared) -> DataFrame:
@@ -244,8 +266,11 @@ def _judged(texts: DataFrame, shared) -> DataFrame:
 def best_texts(rows: DataFrame) -> DataFrame:
     """(dup_group, field_name, rec_no) of the surviving titles and abstracts."""
     texts = staged_table(_texts(rows))
-    shared = rows.sparkSession.sparkContext.broadcast(learn_words(texts))
+    words, sequences, several = learn_words(texts)
+    shared = rows.sparkSession.sparkContext.broadcast((words or {}, sequences))
     values = _judged(texts, shared).groupBy("grp", "field_name", "core", "value").agg(F.count(F.lit(1)).alias("n"), F.min("rec_no").alias("rec_no"), F.max("fine").alias("fine"), F.max("sure").alias("sure"))
+    if words is None:
+        values = values.join(_mistyped_titles(texts, several).hint("merge"), ["field_name", "value"], "left").withColumn("fine", F.col("fine") & F.col("mistyped").isNull())
     cores = values.groupBy("grp", "field_name", "core").agg(
         F.sum("n").alias("votes"), F.max("sure").alias("sure"), F.max(F.when(F.col("fine"), F.struct("n", (-F.col("rec_no")).alias("neg")))).alias("best")
     )

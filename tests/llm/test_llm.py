@@ -326,6 +326,25 @@ def test_counts_that_later_rows_contradict(spark):
     assert got[300, "citation_count"] == 3002
 
 
+@pytest.mark.parametrize("held", [50_000, 1])
+def test_typing_errors_are_told_by_all_words(spark, monkeypatch, held):
+    monkeypatch.setattr(survivor, "FREQUENT_WORDS", held)
+    rows = [(g, 10 * g + k, f"The glaciers were melting when rivers rose, {'abcdefgh'[g] * 5}", None, None, None, None, None) for g in range(8) for k in range(2)]
+    # transpositions, a letter too many, and a word that is no error since two works have it
+    wrong = [(20, "When the glacires rose"), (21, "Melting wehre rivers rise"), (22, "Rivers risse"), (23, "Glaciers metling risse")]
+    rows += [(g, 10 * g + k, t, None, None, None, None, None) for g, t in wrong for k in range(2)]
+    got = {r.dup_group for r in survivor.find_survivors(_works(spark, rows)).where("field_name = 'canonical_title'").collect()}
+    assert got == {*range(8), 22}
+
+
+@needs_data
+def test_words_held_or_joined_tell_the_same(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/enriched_records.parquet")
+    want = set(survivor.find_survivors(rows).collect())
+    monkeypatch.setattr(survivor, "FREQUENT_WORDS", 20)
+    assert set(survivor.find_survivors(rows).collect()) == want
+
+
 def test_abstract_that_opens_with_stock_words(spark):
     text = "No abstract available. " + "See full text article. " * 6 + "Rivers rise in spring."
     got = survivor.find_survivors(_works(spark, [(1, 1, "Rivers", text, None, None, None, None), (1, 2, "Rivers", "No abstract available", None, None, None, None)])).collect()
