@@ -217,7 +217,7 @@ def learn_words(texts: DataFrame) -> tuple[dict[str, int] | None, np.ndarray, Da
     counted = texts.where("field_name = 'canonical_title'").select("grp", "key").mapInArrow(count, "grp bigint, word string, n bigint")
     sums = counted.groupBy("grp", "word").agg(F.sum("n").alias("n"))
     several = sums.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = several.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS + 1).collect()
+    words = several.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS + 1).coalesce(1).collect()
     table = sums.where("word is null").select("grp", "n").toPandas()
     sequences = np.zeros(1 << BITS, np.int64)
     sequences[table["grp"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
