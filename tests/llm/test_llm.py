@@ -469,6 +469,51 @@ def test_mistyped_titles_stay_candidates(spark):
     assert {(r[0], r[0] + 100) for r in left} <= got
 
 
+def test_a_batch_learns_its_tokens_at_once(monkeypatch):
+    import math
+
+    import numpy as np
+    import xxhash
+
+    vectors = np.random.default_rng(6).standard_normal((matching.SLOTS, matching.WIDTH)).astype(np.float32)
+    index = matching.RecordVectors(vectors, {"soil": 40, "ada": 7}, 300, 6)
+    calls, learn = [], matching.RecordVectors.learn
+    monkeypatch.setattr(matching.RecordVectors, "learn", lambda self, tokens, author: calls.append(author) or learn(self, tokens, author))
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(f"Soil {w} of Überlingen", ["Ada Lovelace", None, "", f"Ida {w}berg"]) for w in words] + [(None, None), ("", [])]
+    for _ in range(2):
+        unit, masks = index.vectors_of(rows)
+        assert calls == [False, True] * (len(calls) // 2) and unit.shape == (66, matching.WIDTH) and not unit[-2:].any() and not masks[-2:].any()
+    for author, size, tokens in ((0, matching.TITLE_BITS, ["soil", "uberlingen", *words]), (1, matching.AUTHOR_BITS, ["ada", "lovelace", *(f"{w}berg" for w in words)])):
+        for t in tokens:
+            parts = matching.trigrams(t)
+            rest = sum(vectors[matching.slot("3:" + x)].astype(np.float64) for x in parts)
+            want = 0.6 * vectors[matching.slot("a:" + t if author else t)] + 0.8 * rest / math.sqrt(rest @ rest)
+            at = index.at[author][t]
+            assert np.allclose(index.known[at], want * math.log(1 + 300 / index.frequency.get(t, 1)) ** matching.RARITY, atol=1e-4)
+            bits = sum(int(x) << 64 * k for k, x in enumerate(index.bits_of[at].view(np.uint64)))
+            assert bits == sum(1 << b for b in {xxhash.xxh3_64_intdigest(x) % size for x in parts})
+
+
+def test_tokens_are_counted_without_a_pattern_for_each_row(spark):
+    odd = "Alpha beta\tGAMMA\n“alpha”: beta–delta_…¿epsilon!\u00a0zeta\x0beta\x0ctheta\riota [kappa] l’amour \\ ^mu"
+    rows = spark.createDataFrame([(odd, ["Ada Lovelace", None, "Noether, Emmy"]), (odd, None), (None, ["Ada O'Hara"]), (None, None)], "title string, authors array<string>")
+    both = F.lower(F.concat_ws(" ", "title", F.array_join("authors", " ")))
+    want = rows.select(F.explode(F.array_distinct(F.split(both, r"[\s\p{Punct}“”‘’«»„‚‹›…¿¡–—]+"))).alias("t")).where("t <> ''").groupBy("t").count().where("count > 1").collect()
+    assert matching.token_frequency(rows) == {names.fold(r.t): r["count"] for r in want}
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_edits_without_shared_ends(most):
+    from itertools import product
+
+    words = ["".join(w) for n in range(6) for w in product("ab", repeat=n)] + ["abcab", "bacab", "cabab", "abccba"]
+    for a, b in product(words, repeat=2):
+        assert min(matchrules.edits(a, b, most), most + 1) == min(canon.edits(a, b, most), most + 1)
+        if canon.edits(a, b, most) <= most:
+            assert (matchrules._letters(a) ^ matchrules._letters(b)).bit_count() <= 2 * most
+
+
 # p8: mixing
 def test_capped_shares():
     got = mixing.capped_shares({"a": 0.5, "b": 0.5, "none": 0.2}, {"a": 10.0, "b": 1000.0}, 100.0)
